@@ -21,6 +21,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import cosine_links
+
+    return cosine_links(table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import pareto_mix
 
@@ -116,7 +122,7 @@ FROM v JOIN t ON v.host = t.host AND v.shape = t.shape JOIN c ON t.host = c.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_mix_sources, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_mix_sources, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
