@@ -33,6 +33,14 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + r["hi"] - r["lo"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -128,7 +136,7 @@ FROM v JOIN t ON v.host = t.host AND v.shape = t.shape JOIN c ON t.host = c.host
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_mix_sources, op5_near_dedup, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_mix_sources, op4_repeated_passages, op5_near_dedup, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
