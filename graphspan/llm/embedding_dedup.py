@@ -68,8 +68,7 @@ def learn_quantiser(sample: np.ndarray, rows: int, threshold: float, seed: int =
     tables = max(1, math.ceil(math.log(1 - RECALL) / math.log(1 - same)))
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
-    _, _, axes = np.linalg.svd(sample - mean, full_matrices=True)
-    pca = axes.T
+    _, pca = np.linalg.eigh((sample - mean).T @ (sample - mean))
     projected = (sample - mean) @ pca
     all_axes = [pca @ itq_rotation(projected, rng) for _ in range(-(-tables * width // d))]
     bits = np.concatenate([a[:, rng.permutation(d)] for a in all_axes], axis=1)[:, : tables * width]
@@ -123,9 +122,8 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     dim = length["d"]
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
     classes = cut(rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    drawn = classes.select("v", unit(F.col("rep"), 3).alias("u"), "rep").orderBy("u", "rep").limit(sample).select("v").collect()
-    x = np.array([r[0] for r in drawn])
-    quantiser = learn_quantiser(x / np.linalg.norm(x, axis=1, keepdims=True), classes.count(), threshold)
+    drawn = classes.select("v", unit(F.col("rep"), 3).alias("u"), "rep").orderBy("u", "rep").limit(sample).select("v").toArrow()
+    quantiser = learn_quantiser(unit_rows(drawn.column("v").combine_chunks(), dim), classes.count(), threshold)
 
     def to_entries(batches):
         for batch in batches:
