@@ -1 +1,4 @@
+"""Named queries over a folder of tables."""
 
+from . import datasets, graphs, metrics, names, vectors  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
