@@ -17,17 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df behind a reliable checkpoint, which survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, made the checkpoint folder if none is set yet.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder takes its place.
+    Only where that setting is missing (tests on one machine) a temporary folder
+    takes its place.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphspan-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df behind a reliable checkpoint, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -49,3 +54,23 @@ def unit(key: Column, seed: int) -> Column:
     """A number in (0, 1) that depends on nothing but the key as text and the seed."""
     digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+#: Bits of a bitmap of keys.
+CELLS = 1 << 20
+
+
+def likely_in(keys: DataFrame, key: str):
+    """A test, column -> boolean column, that is true for every value of keys[key] and
+    false for most others while there are fewer of them than CELLS.
+
+    The bitmap is a constant of CELLS bits in the plan, whatever the number of keys.
+    """
+    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
+    place = cell(F.col(key).cast("bigint"))
+    words = keys.select((place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), place % 64).alias("bit")).groupBy("w").agg(F.bit_or("bit"))
+    bits = [0] * (CELLS // 64)
+    for w, b in words.collect():  # CELLS / 64 rows at most
+        bits[w] = b
+    marks = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return lambda c: F.getbit(F.get(marks, (cell(c.cast("bigint")) / 64).cast("int")), cell(c.cast("bigint")) % 64) == 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
-from .common import cut
+from .common import cut, likely_in
 from .components import connected_components
 from .textscan import mix, random_values, shingle_set
 
@@ -202,9 +202,13 @@ def _search(members: DataFrame, across: bool) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, shingles (packed sorted hashes) of the documents whose id is in ids(rep)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    wanted = ids.select("rep").hint("shuffle_hash")
+    """rep, shingles (packed sorted hashes) of the documents whose id is in ids(rep).
+
+    A bitmap keeps most texts that are not asked for out of the shuffle.
+    """
+    ids = cut(ids.select("rep"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(likely_in(ids, "rep")(F.col("id")))
+    wanted = ids.hint("shuffle_hash")
 
     def make():
         def work(batch):
