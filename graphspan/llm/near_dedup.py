@@ -13,7 +13,8 @@ of the promising pairs is sent on, so pairs grow with members.  Larger buckets
 are cut into random pieces, other ones in each band.  When these links are
 confirmed, buckets that still hold documents of different components are
 searched again for every promising pair across them, with the members outside a
-bucket's largest component in all its pieces; nothing is capped.
+bucket's largest component in all its pieces.  That search has the members' sets
+with it and sends on only what is linked by them; nothing is capped.
 """
 
 from __future__ import annotations
@@ -138,25 +139,43 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
-    """rep, n, regs, key: a row for each band of each class."""
+    """rep, key, band: a row for each band of each class."""
 
     def make():
         def work(batch):
             regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
             places = random_values(ROWS, 104)
             keys = mix((regs * places).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            return {"rep": np.repeat(batch.column("rep").to_numpy(), BANDS), "key": keys.ravel().view(np.int64)}
+            return {"rep": np.repeat(batch.column("rep").to_numpy(), BANDS), "key": keys.ravel().view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(keys))}
 
         return work
 
-    return map_batches(classes.select("rep", "regs"), make, "rep bigint, key bigint")
+    return map_batches(classes.select("rep", "regs"), make, "rep bigint, key bigint, band int")
+
+
+def linked_across(regs: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, heads: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of the pairs meet first in this band and are linked by the upper halves of their hashes.
+
+    Upper halves of different hashes are seldom equal, so a pair within two
+    percent of the limit is kept for the full sets to decide.
+    """
+    out = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        a, b = regs[i[at : at + 4096]], regs[j[at : at + 4096]]
+        out[at : at + 4096] = (a == b).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    for k in np.flatnonzero(out):
+        x, y = heads[i[k]], heads[j[k]]
+        common = len(np.intersect1d(x, y))
+        out[k] = 100 * common >= (percent - 2) * (len(x) + len(y) - common)
+    return out
 
 
 def _search(members: DataFrame, across: bool) -> DataFrame:
-    """Promising pairs (a, b) of members(key, piece, rep, n, regs, comp[, guest]), bucket piece by bucket piece.
+    """Pairs (a, b) of members(key, band, piece, rep, n, regs[, comp, guest, heads]), bucket piece by bucket piece.
 
-    across: all pairs of different components in which not both are guests of
-    the piece; else a spanning forest of each piece.
+    across: all pairs of different components, of which not both are guests of
+    the piece, that the upper halves of the hashes (heads) link.  Else a spanning
+    forest of the promising pairs of each piece.
     """
     dealt = members.repartition("key", "piece").sortWithinPartitions("key", "piece", "rep")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -179,18 +198,21 @@ def _search(members: DataFrame, across: bool) -> DataFrame:
         if not last:
             rest = t.slice(int(starts[-1]))
             starts, ends = starts[:-1], ends[:-1]
-        rep, n, comp, guest = (t.column(c).to_numpy() for c in ("rep", "n", "comp", "guest"))
+        rep, n, band = (t.column(c).to_numpy() for c in ("rep", "n", "band"))
+        comp, guest = (t.column(c).to_numpy() for c in ("comp", "guest")) if across else (None, None)
         out_a, out_b = [], []
         for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
             if b - a < 2:
                 continue
             regs = np.frombuffer(b"".join(t.column("regs").slice(a, b - a).to_pylist()), np.uint16).reshape(b - a, REGISTERS)
-            allowed = None
             if across:
                 c, g = comp[a:b], guest[a:b]
-                allowed = (c[:, None] != c[None, :]) & ~(g[:, None] & g[None, :])
-            i, j, e = promising_pairs(regs, n[a:b], allowed)
-            pick = slice(None) if across else spanning_forest(b - a, i, j, e)
+                i, j, e = promising_pairs(regs, n[a:b], (c[:, None] != c[None, :]) & ~(g[:, None] & g[None, :]))
+                heads = [np.frombuffer(x, np.uint32) for x in t.column("heads").slice(a, b - a).to_pylist()]
+                pick = linked_across(regs, i, j, int(band[a]), heads)
+            else:
+                i, j, e = promising_pairs(regs, n[a:b])
+                pick = spanning_forest(b - a, i, j, e)
             out_a.append(rep[a:b][i[pick]])
             out_b.append(rep[a:b][j[pick]])
         if out_a:
@@ -201,6 +223,18 @@ def _search(members: DataFrame, across: bool) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def upper_halves(sets: DataFrame) -> DataFrame:
+    """rep, heads: the upper 32 bits of each hash."""
+
+    def make():
+        def work(batch):
+            return {"rep": batch.column(0), "heads": [(np.frombuffer(x, np.uint64) >> np.uint64(32)).astype(np.uint32).tobytes() for x in batch.column(1).to_pylist()]}
+
+        return work
+
+    return map_batches(sets.select("rep", "shingles"), make, "rep bigint, heads binary")
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """rep, shingles (packed sorted hashes) of the documents whose id is in ids(rep).
 
@@ -254,26 +288,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(classes)
     keys = band_keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    shared = cut(keys.join(shared, "key").select("key", "rep", "members"))
+    shared = cut(keys.join(shared, "key").select("key", "band", "rep", "members"))
     of_class = classes.select(F.col("rep").alias("r"), "n", "regs")
     pieces = F.ceil(F.col("members") / piece).cast("int")
     cell = F.pmod(F.xxhash64("rep", "key"), pieces).cast("int")
-    members = shared.join(of_class, F.col("rep") == F.col("r")).select("key", cell.alias("piece"), "rep", "n", "regs", F.lit(0).cast("long").alias("comp"), F.lit(False).alias("guest"))
+    members = shared.join(of_class, F.col("rep") == F.col("r")).select("key", "band", cell.alias("piece"), "rep", "n", "regs")
     pairs = cut(_search(members, across=False))
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
     sets = cut(shingle_sets(docs, ids, id_col, text_col).dropDuplicates(["rep"]))
     links = cut(verified(pairs, sets))
     components = cut(connected_components(links))
     # buckets that still hold several components
-    labelled = shared.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select("key", "rep", "members", F.coalesce("component", "rep").alias("comp"))
+    labelled = shared.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key", "comp").agg(F.count("*").alias("n_comp")).groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("k"), F.col("top.comp").alias("top"))
-    open_ = cut(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "rep", "members", "comp", "top"))
+    open_ = cut(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "band", "rep", "members", "comp", "top"))
+    missing = open_.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+    sets = sets.union(cut(shingle_sets(docs, missing, id_col, text_col).dropDuplicates(["rep"])))
+    facts = of_class.join(upper_halves(sets), F.col("r") == F.col("rep")).select("r", "n", "regs", "heads")
     everywhere = F.when((F.col("comp") != F.col("top")) & (pieces > 1), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(cell))
-    spread = open_.join(of_class, F.col("rep") == F.col("r")).withColumn("home", cell).select("key", F.explode(everywhere).alias("piece"), "home", "rep", "n", "regs", "comp")
-    spread = spread.withColumn("guest", F.col("piece") != F.col("home")).drop("home")
+    spread = open_.withColumn("home", cell).withColumn("piece", F.explode(everywhere)).withColumn("guest", F.col("piece") != F.col("home"))
+    spread = spread.join(facts, F.col("rep") == F.col("r")).select("key", "band", "piece", "rep", "n", "regs", "comp", "guest", "heads")
     more = cut(_search(spread, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    ids = more.select(F.col("a").alias("rep")).union(more.select(F.col("b").alias("rep"))).distinct().join(sets.select("rep"), "rep", "left_anti")
-    sets = sets.union(shingle_sets(docs, ids, id_col, text_col).dropDuplicates(["rep"]))
     links = links.union(verified(more, sets))
     components = cut(connected_components(links))
     known = reps.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select(F.col("n").alias("kn"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "rep").alias("component"))
