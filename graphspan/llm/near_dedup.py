@@ -315,3 +315,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = sketched.select("id", "n", "h1", "h2").join(known, (F.col("n") == F.col("kn")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest id.
+
+    Rows that `near_duplicates` drops are found by their ids, and a bitmap of
+    those ids lets most other texts stay where they are.  Of rows that repeat an
+    id one stays.
+    """
+    judged = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("judged_id"), "kept"))
+    dropped = judged.where("NOT kept").select("judged_id").distinct()
+    again = judged.where("kept AND judged_id IS NOT NULL").groupBy("judged_id").count().where("count > 1").select("judged_id")
+    likely = F.coalesce(likely_in(dropped.union(again), "judged_id")(F.col(id_col)), F.lit(False))
+    rest = docs.where(likely).join(dropped, F.col(id_col) == F.col("judged_id"), "left_anti")
+    if not again.isEmpty():
+        rest = rest.dropDuplicates([id_col])
+    return docs.where(~likely).unionByName(rest)

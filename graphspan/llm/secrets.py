@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
+from .common import cut, likely_in
 
 #: Raised whenever RULES change, so that old blobs are scanned again.
 RULE_VERSION = 1
@@ -54,7 +55,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
 def redact(text: str | None, spans: list[dict]) -> str | None:
     """The text with every span replaced by [kind]; spans that overlap become one."""
     out, at = [], 0
-    for s in spans:
+    for s in spans or []:
         if s["start"] >= at:
             out += [text[at : s["start"]], f"[{s['kind']}]"]
         at = max(at, s["end"])
@@ -109,15 +110,19 @@ def spans_text(spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret in text_col replaced by its kind in brackets.
 
-    Documents are joined to the findings of their blob, of which only those with
-    spans are sent.  length_col, if docs has it, becomes the new length.
+    Documents are joined to the findings of their blob; a bitmap of the blobs with
+    findings lets most other texts stay where they are.  length_col, if docs has
+    it, becomes the new length.  Null texts stay null.
     """
     new = scan_new_blobs(docs, ledger, id_col, text_col).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
     if ledger is not None:
         new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")))
-    new = new.where(F.size("found_spans") > 0)
-    clean = F.udf(redact, "string")
-    joined = docs.join(new, blob_of(F.col(text_col)) == F.col("found_blob"), "left")
-    text = F.when(F.col("found_spans").isNotNull(), clean(F.col(text_col), F.col("found_spans"))).otherwise(F.col(text_col))
-    changed = {text_col: text} | ({length_col: F.when(F.col("found_spans").isNotNull(), F.length(text).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))} if length_col in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    new = cut(new.where(F.size("found_spans") > 0).withColumn("found_key", F.xxhash64("found_blob")))
+    key = F.xxhash64(blob_of(F.col(text_col)))
+    likely = likely_in(new, "found_key")(key)
+    joined = docs.where(likely).join(new, blob_of(F.col(text_col)) == F.col("found_blob"), "left")
+    text = F.udf(lambda t, spans: redact(t, spans), "string")(F.col(text_col), F.col("found_spans"))
+    joined = joined.withColumn(text_col, text)
+    if length_col in docs.columns:
+        joined = joined.withColumn(length_col, F.when(F.col("found_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
+    return docs.where(~likely).unionByName(joined.select(*docs.columns))

@@ -169,12 +169,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, id_col: s
 def score_texts(docs: DataFrame, model, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
     """keep (default: id_col) and model.scores(text) as score."""
     keep = keep or [id_col]
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("scored_text"))
+    columns = keep if text_col in keep else [*keep, text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    at = columns.index(text_col)
 
     def make():
         def work(batch):
-            score = model.scores(batch.column(len(keep)).to_pylist())
+            score = model.scores(batch.column(at).to_pylist())
             return {f"k{i}": batch.column(i) for i in range(len(keep))} | {"score": score}
 
         return work
