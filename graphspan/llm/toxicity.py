@@ -100,20 +100,30 @@ def terms(words: list[str]) -> set[str]:
     return {t for w in words for t in ((w, "^" + w[:5], "^" + w[:4]) if len(w) > 5 else (w,))}
 
 
-def term_log_odds(toxic: list[set[str]], clean: list[set[str]]) -> dict[str, float]:
+def term_log_odds(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Log-odds of the terms that more toxic texts have than chance allows.
 
     Counts are of texts.  A term's signed root of the likelihood ratio has to
-    reach what the largest of as many chance terms would.
+    reach what the largest of as many chance terms would.  Texts are taken apart
+    one at a time, and of clean ones only terms that can be tested are counted.
     """
-    y1s, y0s = (Counter(t for d in part for t in d) for part in (toxic, clean))
-    n1, n0 = sum(y1s.values()), sum(y0s.values())
+    y1s: Counter = Counter()
+    for text in toxic:
+        y1s.update(terms(tokens(text)))
+    n1 = sum(y1s.values())
+    tested = {w: y for w, y in y1s.items() if y >= LEAST_DOCS}
+    del y1s
+    y0s: Counter = Counter()
+    n0 = 0
+    for text in clean:
+        found = terms(tokens(text))
+        n0 += len(found)
+        y0s.update(found & tested.keys())
     d1, d0 = len(toxic), len(clean)
-    tested = [w for w, y in y1s.items() if y >= LEAST_DOCS]
     z_least = math.sqrt(2 * math.log(max(2, len(tested)))) + 0.5
     out = {}
-    for w in tested:
-        y1, y0 = y1s[w], y0s[w]
+    for w, y1 in tested.items():
+        y0 = y0s[w]
         e1 = (y1 + y0) * d1 / (d1 + d0)
         if y1 > e1 and math.sqrt(2 * (y1 * math.log(y1 / e1) + (y0 * math.log(y0 / (y1 + y0 - e1)) if y0 else 0))) >= z_least:
             prior = PRIOR_SHARE * (y1 + y0) / (n1 + n0)
@@ -141,14 +151,17 @@ def fit_toxicity(sample: list[tuple[int, int, str]], counts: dict[int, int]) ->
     if not (y == 1).any() or not (y == 0).any():
         return model
     kept = one_of_each_family([t for _, _, t in sample])
-    split = {i: tokens(sample[i][2]) for i in kept}
-    model.weights = term_log_odds([terms(split[i]) for i in kept if y[i]], [terms(split[i]) for i in kept if not y[i]])
+    texts = {v: [sample[i][2] for i in kept if y[i] == v] for v in (0, 1)}
+    model.weights = term_log_odds(texts[1], texts[0])
     model.__post_init__()
-    clean = [split[i] for i in kept if not y[i]]
-    found = [s for words in clean for _, _, s in model.passages(words)]
+    found, n_clean = [], 0
+    for text in texts[0]:
+        words = tokens(text)
+        n_clean += len(words)
+        found += [s for _, _, s in model.passages(words)]
     least = min(model.weights.values(), default=1.0)
     model.lam = (len(found) + 1) / (sum(max(0.0, s - least) for s in found) + 1.0)
-    model.k = (len(found) + 0.5) / (sum(map(len, clean)) + 1) * math.exp(min(50.0, model.lam * least))
+    model.k = (len(found) + 0.5) / (n_clean + 1) * math.exp(min(50.0, model.lam * least))
     x = np.array([model.features(t) for _, _, t in sample])
     model.curve = tuple(fit_logistic(x, y, prior_weights(y, counts)))
     return model
