@@ -216,11 +216,12 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
         return work
 
     found = map_batches(rows, make, "k bigint, f bigint, id bigint, h bigint, p bigint, lo bigint, hi bigint")
-    twice = found.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("k2"))
+    # behind a checkpoint both sides of the join are plain shuffles, so that a frequent anchor can be split
+    twice = cut(found.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("k2")))
     alive = cut(found.join(twice, F.col("k") == F.col("k2")).drop("k2"))
     # extents that are equal as a whole; one of them stands for all in pass 3
     extents = alive.groupBy("k", "f").agg(F.count("*").alias("m"), F.min(F.struct("id", "h", "p")).alias("one"))
-    groups = extents.groupBy("k").agg(F.count(F.when(F.col("m") == 1, 1)).alias("open"), F.count("*").alias("kinds")).where("open > 0 AND kinds > 1").select(F.col("k").alias("k3"), "kinds")
+    groups = cut(extents.groupBy("k").agg(F.count(F.when(F.col("m") == 1, 1)).alias("open"), F.count("*").alias("kinds")).where("open > 0 AND kinds > 1").select(F.col("k").alias("k3"), "kinds"))
     classes = cut(extents.join(groups, F.col("k") == F.col("k3"), "left").select(F.col("k").alias("k2"), F.col("f").alias("f2"), "m", "one", "kinds"))
     marked = alive.join(classes, (F.col("k") == F.col("k2")) & (F.col("f") == F.col("f2")))
     done = marked.where("m > 1").select("id", "h", F.col("lo").alias("first"), F.col("hi").alias("last"))
