@@ -1,4 +1,4 @@
 """Named queries over a folder of tables."""
 
-from . import datasets, graphs, metrics, names, programs, vectors  # noqa: F401
+from . import datasets, graphs, lookups, metrics, names, programs, vectors  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
