@@ -12,15 +12,19 @@ MAX_ROUNDS = 60
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of a node is linked to the node's smallest neighbour."""
+    """Every larger neighbour of a node is linked to the node's smallest neighbour.
+
+    The smallest neighbours are behind a checkpoint: both sides of the join are then
+    plain shuffles, so the links of a node with very many neighbours can be split.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")))
     return both.where("b > a").join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the smallest of them.  edges: a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = cut(edges.groupBy("a").agg(F.min("b").alias("m")))
     moved = edges.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
