@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
 
-#: Pieces between white space, and words, whose encodings a worker keeps.
-CACHE_PIECES = 400_000
-CACHE_WORDS = 200_000
+#: Pieces between white space, and words, whose encodings a task keeps.
+CACHE_PIECES = 200_000
+CACHE_WORDS = 100_000
 # Fixed values.  White space as the vocabulary file's library has it; code points
 # that are letters or numbers in the regex module's Unicode but not in that
 # library's; letters (first, last, first lower-case one) that its Unicode has
 # lower-case forms of and Python's has not.
-SPACE = r"\x09-\x0d\x20\x85\xa0  -     　"
+SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 LATER = (
-    r"՘֋֌࢏౜೜₏₝-₟꟎꟏꟒꟔꟝꟢꟱꭬꭭"
+    r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d"
     r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
     r"\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
     r"\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
@@ -151,7 +151,7 @@ class WordBpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -240,6 +240,11 @@ class WordBpe:
                 out += [ids if (ids := get(w)) is not None else piece(w) for w in pieces]
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drops what was kept of the texts so far."""
+        self.cache.clear()
+        self.word_cache.clear()
+
     def decode(self, ids: bytes) -> str:
         """Names of the tokens, with spaces between them, as a vocabulary file without a decoder has it."""
         return " ".join(map(self.names.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
@@ -273,6 +278,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = [bpe.encode(text) for text in batch.column(len(keep)).to_pylist()]
             return {f"k{i}": batch.column(i) for i in range(len(keep))} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]}
 
+        work.close = bpe.forget
         return work
 
     out = map_batches(rows, make, f"{kinds}, n_tokens bigint, ids binary, decoded string")

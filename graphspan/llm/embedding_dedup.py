@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_map import map_stream
 from .common import cut, small, unit
 from .components import connected_components
 
@@ -112,7 +113,6 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     most, link with nothing and are components of their own.  Repeated ids with
     equal vectors count as different vectors.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     rows = cut(rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(2), "v")))
@@ -132,7 +132,7 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
                 flat = pa.array(codes.ravel())
                 yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("v"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, quantiser.tables, dtype=np.int32)), flat)], names=["rep", "copies", "v", "codes"])
 
-    coded = cut(classes.select("rep", "copies", "v").mapInArrow(to_entries, "rep bigint, copies bigint, v array<double>, codes array<bigint>"))
+    coded = cut(map_stream(classes.select("rep", "copies", "v"), to_entries, "rep bigint, copies bigint, v array<double>, codes array<bigint>"))
     places = coded.select("rep", "copies", "v", "codes", F.posexplode("codes").alias("table", "code"))
     sizes = places.groupBy("table", "code").agg(F.count("*").alias("n")).where("n > 1")
     crowded = small(cut(sizes.where(F.col("n") > block).select("table", "code", F.ceil(F.col("n") / block).cast("int").alias("blocks"))))
@@ -183,7 +183,7 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], schema=out)
 
-    links = cut(dealt.mapInArrow(compare, "rep bigint, links bigint, root bigint"))
+    links = cut(map_stream(dealt, compare, "rep bigint, links bigint, root bigint"))
     components = connected_components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct())
     totals = links.groupBy(F.col("rep").alias("rep_of")).agg(F.sum("links").alias("links"))
     facts = classes.select("h1", "h2", "rep", "copies").join(totals, F.col("rep") == F.col("rep_of"), "left").join(components, F.col("rep") == F.col("id"), "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_map import map_batches
+from .arrow_map import map_batches, map_stream
 from .common import cut, likely_in
 from .components import connected_components
 from .textscan import mix, random_values, shingle_set
@@ -220,7 +220,7 @@ def _search(members: DataFrame, across: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
         return rest
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_stream(dealt, run, "a bigint, b bigint").distinct()
 
 
 def upper_halves(sets: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], schema=schema)
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return map_stream(both.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:

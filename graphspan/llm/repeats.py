@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_map import map_batches
+from .arrow_map import map_batches, map_stream
 from .common import cut
 from .textscan import BYTES, mix, powers, stretch_hashes, sums
 
@@ -172,7 +172,7 @@ def _sorted_in_tasks(extents: DataFrame) -> DataFrame:
             some = last >= first
             yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (i, h, first, last)], schema=schema)
 
-    return dealt.mapInArrow(run, "id bigint, h bigint, first bigint, last bigint")
+    return map_stream(dealt, run, "id bigint, h bigint, first bigint, last bigint")
 
 
 def _counted_apart(named: DataFrame) -> DataFrame:
