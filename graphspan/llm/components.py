@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, sweep
 
 #: More rounds than that do not occur: each at least halves the longest path.
 MAX_ROUNDS = 60
@@ -46,6 +46,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+        sweep(edges.sparkSession)
     else:
         raise RuntimeError("components did not settle")
     return ids.join(stars.select(F.col("a").alias("s"), F.col("b").alias("root")), F.col("id") == F.col("s"), "left").select("id", F.coalesce("root", "id").alias("component"))

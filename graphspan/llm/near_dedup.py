@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches, map_stream
-from .common import cut, likely_in
+from .common import cut, likely_in, sweep
 from .components import connected_components
 from .textscan import mix, random_values, shingle_set
 
@@ -298,6 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(shingle_sets(docs, ids, id_col, text_col).dropDuplicates(["rep"]))
     links = cut(verified(pairs, sets))
     components = cut(connected_components(links))
+    sweep(docs.sparkSession)
     # buckets that still hold several components
     labelled = shared.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key", "comp").agg(F.count("*").alias("n_comp")).groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("k"), F.col("top.comp").alias("top"))
@@ -309,8 +310,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = open_.withColumn("home", cell).withColumn("piece", F.explode(everywhere)).withColumn("guest", F.col("piece") != F.col("home"))
     spread = spread.join(facts, F.col("rep") == F.col("r")).select("key", "band", "piece", "rep", "n", "regs", "comp", "guest", "heads")
     more = cut(_search(spread, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    links = links.union(verified(more, sets))
+    links = cut(links.union(verified(more, sets)))
+    sweep(docs.sparkSession)
     components = cut(connected_components(links))
+    sweep(docs.sparkSession)
     known = reps.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select(F.col("n").alias("kn"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "rep").alias("component"))
     joined = sketched.select("id", "n", "h1", "h2").join(known, (F.col("n") == F.col("kn")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     component = F.coalesce("component", "id")
