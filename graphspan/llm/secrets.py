@@ -19,7 +19,7 @@ from .arrow_map import map_batches
 from .common import cut, likely_in
 
 #: Raised whenever RULES change, so that old blobs are scanned again.
-RULE_VERSION = 1
+RULE_VERSION = 2
 LEDGER_SCHEMA = "blob binary, rule_version int, spans array<struct<kind:string,start:int,end:int>>"
 
 # The patterns of the base kinds, and public formats of well-known tokens.
@@ -27,17 +27,31 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ASSIGN_HINT = re.compile(r"assw|ecret|oken|api", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
+#: What looks like the inside of a key: headers and long base64 lines, one shorter line at last; breaks may be escaped, as in JSON.
+PEM_LINES = re.compile(r"(?:(?:\s|\\[rn])+(?:(?:Proc-Type|DEK-Info|Comment):[^\n\\]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]{1,15}={0,2}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?", re.ASCII)
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 SLACK = re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """Private keys from BEGIN to the END of the same kind that is the next mark; without it, to the end of the key-like lines."""
+    marks = list(PEM.finditer(text))
+    spans = []
+    for m, after in zip(marks, [*marks[1:], None], strict=True):
+        if m[1] == "BEGIN":
+            whole = after is not None and after[1] == "END" and after[2] == m[2]
+            spans.append((m.start(), after.end() if whole else PEM_LINES.match(text, m.end()).end()))
+    return spans
+
+
 #: kind -> spans of a text.  The first three are the base kinds.
 RULES: dict[str, Callable[[str], list[tuple[int, int]]]] = {
     "assign": lambda t: [m.span() for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 8] if ASSIGN_HINT.search(t) else [],
     "access": lambda t: [m.span() for m in ACCESS.finditer(t) if m.end() - m.start() >= 16],
     "hex": lambda t: [m.span() for m in HEX.finditer(t)],  # runs are maximal, so the limit can be part of the pattern
-    "pem": lambda t: [m.span() for m in PEM.finditer(t)],
+    "pem": lambda t: pem_spans(t) if "PRIVATE KEY-----" in t else [],
     "github": lambda t: [m.span() for m in GITHUB.finditer(t)] if "gh" in t else [],
     "slack": lambda t: [m.span() for m in SLACK.finditer(t)] if "xox" in t else [],
     "jwt": lambda t: [m.span() for m in JWT.finditer(t)] if "eyJ" in t else [],

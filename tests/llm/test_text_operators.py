@@ -200,6 +200,25 @@ def test_redaction(spark):
     assert got[1].text == "a [assign] b" and got[1].n_chars == 12 and got[2].text == "clean" and got[3].text is None and got[4].text == '[assign]"###'
 
 
+def test_private_keys_go_whole(spark):
+    line, last = "MIIEpAIBAAKCAQEA7bq+" * 3 + "Zw/1", "q0Zt8A=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{line}\n{line}\n{last}\n-----END RSA PRIVATE KEY-----"
+    cut = key[: key.index("\n-----END")]
+    locked = cut.replace("KEY-----\n", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n")
+    texts = {
+        f"a\n{key}\nb": "a\n[pem]\nb", f"{key} {key}": "[pem] [pem]", key.replace("\n", "\r\n"): "[pem]", key.replace("\n", "\\n") + '"': '[pem]"',
+        f"a\n{cut}\nand then prose": "a\n[pem]\nand then prose", locked: "[pem]", f"{cut}\n\n{key}\nb": "[pem]\n\n[pem]\nb",
+        cut.replace("\n", "\\n") + '", "x": 1': '[pem]", "x": 1', f"{cut}\n-----END EC PRIVATE KEY-----": "[pem]\n-----END EC PRIVATE KEY-----",
+        "see -----BEGIN PRIVATE KEY----- in the manual": "see [pem] in the manual", "-----END PRIVATE KEY-----": "-----END PRIVATE KEY-----",
+        f"secret: {key} b": "[assign] b", f"{cut[:80]}": "[pem]", f"{cut[: -len(last)]}and then prose": "[pem]\nand then prose",
+    }
+    rows = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in secrets.redact_secrets(rows).collect()}
+    assert [got[i].text for i in range(len(texts))] == list(texts.values())
+    assert all(r.n_chars == len(r.text) for r in got.values() if "[pem]" in r.text)
+    assert secrets.find_secrets(f"é{key}") == [("pem", 1, 1 + len(key))]
+
+
 # byte-pair encoding
 
 
