@@ -6,7 +6,9 @@ be a literal in the plan however large the vocabulary is; terms that share a
 cell share its document frequency.  A document keeps the distinct terms of the
 band; each of SUBSETS random subsets of the lexicon sorts those of its terms and
 hashes them.  Subsets thin out with the length of the text, by powers of two, so
-that each keeps about one term of a document and survives small edits.  All is
+that each keeps about one term of a document and survives small edits.  The
+hashes at the next power are kept as well, and two texts are compared at a power
+that both have, so a copy on the other side of a boundary stays alike.  All is
 DataFrame functions: no Python on the executors.
 """
 
@@ -59,28 +61,42 @@ def lexicon(terms: DataFrame, band: tuple[float, float] = BAND) -> Column:
     return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
 
 
+def slot_of(term: Column, level: Column) -> Column:
+    """Subset of a term at a level, if less than SUBSETS; a term that has one at a level has the same at all lower ones."""
+    return F.shiftright(term, 18).bitwiseAND(F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), level) - 1)
+
+
+def digests(chosen: Column) -> Column:
+    """SUBSETS hashes (hexadecimal, or NONE) of sorted structs (s, t)."""
+    mine = lambda s: F.concat_ws(" ", F.transform(F.filter(chosen, lambda x: x["s"] == s), lambda x: F.hex(x["t"])))
+    joined = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), mine)
+    return F.transform(joined, lambda x: F.when(x == "", NONE).otherwise(F.substring(F.md5(x.cast("binary")), 1, 8)))
+
+
+def at_level(chosen: Column, level: Column) -> Column:
+    """Those of the chosen terms that a level not lower than theirs also chooses."""
+    return F.filter(chosen, lambda x: slot_of(x["t"], level) < SUBSETS)
+
+
 def fingerprint_of(terms: Column, n_chars: Column, marks: Column) -> Column:
-    """SUBSETS hashes (hexadecimal, or NONE) of a document's terms.
+    """Struct of level, chosen terms and fp: SUBSETS hashes of a document's terms at its level, and as many at the next.
 
     The subset s has the terms h with h / CELLS mod (SUBSETS * thin) = s, thin
-    being the power of two that fits the length.
+    being 2 to the level, the power of two that fits the length.
     """
     in_band = lambda t: F.getbit(F.get(marks, (cell_of(t) / 64).cast("int")), cell_of(t) % 64) == 1
     level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / CHARS_PER_LEVEL)).cast("int"))
-    mask = F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), level) - 1
 
-    def choose(mask: Column) -> Column:
+    def choose(level: Column) -> Column:
         """Structs (subset, term), sorted."""
-        slot = lambda t: F.shiftright(t, 18).bitwiseAND(mask)
-        kept = F.filter(terms, lambda t: (slot(t) < SUBSETS) & in_band(t))
-        return F.sort_array(F.transform(kept, lambda t: F.struct(slot(t).alias("s"), t.alias("t"))))
+        kept = F.filter(terms, lambda t: (slot_of(t, level) < SUBSETS) & in_band(t))
+        return F.struct(level.alias("level"), F.sort_array(F.transform(kept, lambda t: F.struct(slot_of(t, level).alias("s"), t.alias("t")))).alias("chosen"))
 
-    def digests(chosen: Column) -> Column:
-        mine = lambda s: F.concat_ws(" ", F.transform(F.filter(chosen, lambda x: x["s"] == s), lambda x: F.hex(x["t"])))
-        joined = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), mine)
-        return F.transform(joined, lambda x: F.when(x == "", NONE).otherwise(F.substring(F.md5(x.cast("binary")), 1, 8)))
+    def complete(x: Column) -> Column:
+        above = let(at_level(x["chosen"], x["level"] + 1), digests)
+        return F.struct(x["level"].alias("level"), x["chosen"].alias("chosen"), F.concat(digests(x["chosen"]), above).alias("fp"))
 
-    return let(let(mask, choose), digests)
+    return let(let(level, choose), complete)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -92,6 +108,14 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: (p["x"] != NONE) | (p["y"] != NONE)), share)
 
 
+def alike(a: Column, b: Column) -> Column:
+    """likeness of two results of fingerprint_of, both at the higher of their levels."""
+    own, above = (lambda x: F.slice(x["fp"], 1, SUBSETS)), (lambda x: F.slice(x["fp"], SUBSETS + 1, SUBSETS))
+    apart = b["level"] - a["level"]
+    common = lambda x: let(at_level(x["chosen"], F.greatest(a["level"], b["level"])), digests)
+    return F.when(apart == 0, likeness(own(a), own(b))).when(apart == 1, likeness(above(a), own(b))).when(apart == -1, likeness(own(a), above(b))).otherwise(likeness(common(a), common(b)))
+
+
 def ordered_runs(rows: DataFrame, id_col: str, run_rows: int = RUN) -> DataFrame:
     """rows with _run and _guest, so that the order by descending id is found run by run.
 
@@ -140,17 +164,17 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = pairs.withColumn("efp", fingerprint_of(terms_of(F.col("e")), F.length("e").cast("long"), marks))
     return pairs.select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"),
-        F.concat_ws(",", "fp").alias("fingerprint"), F.concat_ws(",", "efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.concat_ws(",", "fp.fp").alias("fingerprint"), F.concat_ws(",", "efp.fp").alias("edited_fingerprint"),
+        alike(F.col("fp"), F.col("efp")).alias("near_edited"), alike(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
 
 
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
-    """id_col, fingerprint: the SUBSETS hashes of each text, joined by commas.
+    """id_col, fingerprint: the SUBSETS hashes of each text at its level and those at the next, joined by commas.
 
     Null texts count as empty; texts without terms of the band have NONE in all
     places.  Equal texts have equal fingerprints.  One row per input row.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     marks = lexicon(rows.select(terms_of(F.col("t")).alias("terms")), band)
-    return rows.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(terms_of(F.col("t")), F.length("t"), marks)).alias("fingerprint"))
+    return rows.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(terms_of(F.col("t")), F.length("t"), marks)["fp"]).alias("fingerprint"))

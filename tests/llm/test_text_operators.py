@@ -280,6 +280,22 @@ def test_equal_texts_have_equal_fingerprints_and_edits_stay_near(spark):
     assert (pdf["near_edited"] > pdf["near_next"]).mean() > 0.95
 
 
+def test_near_copies_across_a_length_boundary(spark):
+    rng = random.Random(13)
+    words = [word(rng) for _ in range(6000)]
+    text = " ".join(words)[:16500]
+    assert len(text) == 16500
+    cases = {10: 2060, 9: 2035, 8: 4110, 7: 4080, 6: 16400, 5: 16370}
+    cases = {i: text[:n] for i, n in cases.items()} | {4: " ".join([text[:2000]] * 5), 3: text[:2000]}
+    rows = docs_of(spark, [(i, t, "s") for i, t in cases.items()])
+    got = {r.doc_id: r for r in fingerprints.edited_fingerprints(rows, band=(0.0, 1.0)).collect()}
+    assert min(got[i].near_next for i in (10, 8, 6)) > 0.75
+    assert got[4].near_next > 0.95  # two levels apart, but the same terms
+    for i in (10, 8, 6):
+        long, short = (got[k].fingerprint.split(",") for k in (i, i - 1))
+        assert len(long) == 128 and sum(x == y for x, y in zip(long[:64], short[64:], strict=True)) > 48
+
+
 # mixing
 
 
