@@ -141,12 +141,15 @@ def patch_any(t: Tables) -> DataFrame:
 
 
 def _search_input(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Per market segment: customers of a nation as nodes with three candidate types, neighbours should agree."""
-    rows = t.nation.select(F.col("n_regionkey").cast("string").alias("project"), F.col("n_nationkey").cast("bigint").alias("node"))
-    options = rows.select("*", F.explode(F.array(*[F.struct(F.lit(x).alias("type_id"), F.lit(i).alias("i")) for i, x in enumerate("ABC")])).alias("o"))
-    proposals = options.select("project", "node", "o.type_id", ((F.pmod(F.col("node") + F.col("o.i"), F.lit(3)) + 1) / 6.0).alias("prob"))
+    """Per market segment and nation: customers as nodes, types by the quantities of their order lines, neighbours should agree."""
+    project = F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    rows, others = (t.customer.select(project.alias("project"), F.col("c_custkey").alias("node")) for _ in range(2))
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("node"), F.col("l_returnflag").alias("type_id")).agg(F.sum("l_quantity").alias("q"))
+    options = rows.select("*", F.explode(F.array(*[F.lit(x) for x in "ANR"])).alias("type_id"))
+    weight = 1 + F.coalesce("q", F.lit(0.0))
+    proposals = options.join(lines, ["node", "type_id"], "left").select("project", "node", "type_id", (weight / F.sum(weight).over(Window.partitionBy("node"))).alias("prob"))
     w = Window.partitionBy("project").orderBy("node")
-    bonds = rows.withColumn("b", F.lead("node").over(w)).where("b IS NOT NULL").select("project", F.col("node").alias("a"), "b")
+    bonds = others.withColumn("b", F.lead("node").over(w)).where("b IS NOT NULL").select("project", F.col("node").alias("a"), "b")
     return proposals, bonds
 
 
