@@ -32,6 +32,12 @@ def give_back() -> None:
         trim(0)
 
 
+def _column(values, kind: pa.DataType) -> pa.Array:
+    if isinstance(values, pa.Array):
+        return values if values.type == kind else values.cast(kind)
+    return pa.array(values, kind)
+
+
 def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over bounded batches, giving memory back at the end of each task."""
     bound_batches(df)
@@ -45,7 +51,7 @@ def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(whole, schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow with a function that is made once per task.
 
     make() returns a function from a batch to columns by name; the columns may
@@ -61,10 +67,10 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dic
         work = make()
         try:
             for batch in batches:
-                rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+                rows = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes))
                 for at in range(0, batch.num_rows, rows):
                     columns = work(batch.slice(at, rows))
-                    arrays = [c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in arrow]
+                    arrays = [_column(columns[f.name], f.type) for f in arrow]
                     yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
         finally:
             getattr(work, "close", lambda: None)()

@@ -10,6 +10,7 @@ gives, in linear time and without a priority queue.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import struct
@@ -23,9 +24,13 @@ from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
 
-#: Pieces between white space, and words, whose encodings a task keeps.
-CACHE_PIECES = 200_000
-CACHE_WORDS = 100_000
+#: Bytes of words and their encodings that a worker keeps, and what an entry takes besides its own bytes.
+CACHE_BYTES = 32_000_000
+ENTRY_BYTES = 240
+#: Pairs of tokens whose compatibility a worker keeps.
+CACHE_PAIRS = 200_000
+#: Bytes of text that are encoded at once, unless a single text has more.
+SLICE_BYTES = 1_000_000
 # Fixed values.  White space as the vocabulary file's library has it; code points
 # that are letters or numbers in the regex module's Unicode but not in that
 # library's; letters (first, last, first lower-case one) that its Unicode has
@@ -48,6 +53,9 @@ LOWER = [
 LOWERED = {a + i: to + i for a, b, to in LOWER for i in range(b - a + 1)}
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
 NEVER = 1 << 60
+MARKS = frozenset(".,;:!?")
+#: Below, letters are the same in all versions of Unicode.
+LATIN = "\u0250"
 
 
 def byte_letters() -> list[str]:
@@ -71,7 +79,7 @@ class WordBpe:
     """The encoder of a vocabulary file with word ends (JSON of the tokenizers library).
 
     Last letters of words are other letters than the same ones within a word:
-    they are moved up by a million code points here, so that a token is a string
+    they are moved up by LIFT code points here, so that a token is a string
     of letters and a word end needs no special case.
     """
 
@@ -98,10 +106,12 @@ class WordBpe:
             self.made.setdefault(ids[own(a + b)], (r, *pair))
         self.pairs: dict[int, bool] = {}
         self.spines: dict[int, tuple] = {}
+        self.single: dict[str, int] = {}
         self.automaton = ahocorasick.Automaton()
         for t, i in ids.items():
             if len(t) == 1 or self._whole(i):
                 self.automaton.add_word(t, (i, len(t)))
+                self.single[t] = i
         self.automaton.make_automaton()
         letters = byte_letters()
         self.letters = {b: letters[b] for b in range(256)}
@@ -110,8 +120,11 @@ class WordBpe:
         known = pattern.replace(r"\s", SPACE).replace(r"\p{L}", rf"[\p{{L}}--[{LATER}]]").replace(r"\p{N}", rf"[\p{{N}}--[{LATER}]]")
         self.known_words = regex.compile(known, regex.V1)
         self.later = re.compile(f"[{LATER}]")
-        self.cache: dict[str, bytes] = {}
-        self.word_cache: dict[str, bytes] = {}
+        # pieces that are one word, or a word and one mark, need no pattern if the pattern says so of all of them
+        self.plain = self.words.findall("word") == ["word"] and all(self.words.findall("word" + m) == ["word", m] for m in MARKS)
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank of what comes next) from the outermost letter (side 2: the last, 1: the first) up to the token."""
@@ -151,7 +164,7 @@ class WordBpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = known
         return known
@@ -182,17 +195,29 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token, by the last token of each prefix."""
-        letters = self.letters
-        s = "".join([letters[b] for b in word.encode("utf-8")])
+        if word.isascii() and word.isprintable():  # such bytes stand for themselves
+            s = word
+        else:
+            letters = self.letters
+            s = "".join([letters[b] for b in word.encode("utf-8")])
         s = s[:-1] + chr(ord(s[-1]) + self.LIFT)
+        if (token := self.single.get(s)) is not None:
+            return [token]
         last: list[int] = [-1] * (len(s) + 1)
         size: list[int] = [0] * (len(s) + 1)
-        compatible = self.compatible
+        known = self.pairs.get
         for end, (token, n) in self.automaton.iter(s):
             end += 1
-            start = end - n
-            if last[end] < 0 and (start == 0 or last[start] >= 0 and compatible(last[start], token)):
-                last[end], size[end] = token, n
+            if last[end] >= 0:
+                continue
+            if n < end:
+                before = last[end - n]
+                if before < 0:
+                    continue
+                fits = known(before << 20 | token)
+                if not (self.compatible(before, token) if fits is None else fits):
+                    continue
+            last[end], size[end] = token, n
         out, at = [], len(s)
         while at:
             out.append(last[at])
@@ -205,46 +230,49 @@ class WordBpe:
         return words.findall(text)
 
     def _word(self, word: str) -> bytes:
-        ids = self.encode_word(word)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self.word_cache) >= CACHE_WORDS:
-            self.word_cache.clear()
+        """Ids of a word that is not among the kept ones; the older half is let go of when the newer one is full."""
+        packed = self.older.get(word)
+        if packed is None:
+            ids = self.encode_word(word)
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= 64:
-            self.word_cache[word] = packed
-        return packed
-
-    def _piece(self, piece: str) -> bytes:
-        packed = b"".join([self.word_cache.get(word) or self._word(word) for word in self.pre_tokens(piece)])
-        if len(self.cache) >= CACHE_PIECES:
-            self.cache.clear()
-        if len(piece) <= 64:
-            self.cache[piece] = packed
+            if self.kept_bytes >= CACHE_BYTES // 2:
+                self.older, self.kept, self.kept_bytes = self.kept, {}, 0
+            self.kept_bytes += ENTRY_BYTES + len(word) + len(packed)
+            self.kept[word] = packed
         return packed
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
-        No word goes across white space, so what stands between is encoded, and
-        kept, piece by piece.
+        No word goes across white space, so what stands between is encoded piece
+        by piece; words that were met before are looked up.
         """
         out: list[bytes] = []
         text = text or ""
-        get, piece = self.cache.get, self._piece
+        add, word = out.append, self._word
         for part in self.special_pattern.split(text) if self.special_pattern and "<|" in text else [text]:
             if part in self.special:
-                out.append(struct.pack("<I", self.special[part]))
+                add(struct.pack("<I", self.special[part]))
             elif part:
                 lower = part.lower() if part.isascii() else lower_case(part)
                 # str.split also cuts at these four, which are no white space here
                 pieces = re.split(f"[{SPACE}]+", lower) if SEPARATORS.search(lower) else lower.split()
-                out += [ids if (ids := get(w)) is not None else piece(w) for w in pieces]
+                for piece in pieces:
+                    if (ids := self.kept.get(piece)) is not None:
+                        add(ids)
+                    elif self.plain and max(piece, default="") < LATIN:
+                        if piece.isalpha():
+                            add(word(piece))
+                        elif piece[-1:] in MARKS and (head := piece[:-1]).isalpha():
+                            add(self.kept.get(head) or word(head))
+                            add(self.kept.get(piece[-1]) or word(piece[-1]))
+                        else:
+                            out += [self.kept.get(w) or word(w) for w in self.words.findall(piece)]
+                    else:
+                        out += [self.kept.get(w) or word(w) for w in self.pre_tokens(piece)]
         return b"".join(out)
 
-    def forget(self) -> None:
-        """Drops what was kept of the texts so far."""
-        self.cache.clear()
-        self.word_cache.clear()
-
     def decode(self, ids: bytes) -> str:
         """Names of the tokens, with spaces between them, as a vocabulary file without a decoder has it."""
         return " ".join(map(self.names.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids)))
@@ -260,26 +288,44 @@ def encoder(path: str) -> WordBpe:
     return _loaded[path]
 
 
-def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep (default: id_col), n_tokens, ids (packed little-endian unsigned 32-bit) and decoded, one row per row of docs.
+#: What can be asked for: column -> its type and how it comes from the packed ids.
+OUTPUTS = {
+    "n_tokens": ("bigint", lambda bpe, ids: len(ids) // 4),
+    "ids": ("binary", lambda bpe, ids: ids),
+    "decoded": ("string", lambda bpe, ids: bpe.decode(ids)),
+    "ids_sha256": ("string", lambda bpe, ids: hashlib.sha256(ids).hexdigest()),
+    "decoded_sha256": ("string", lambda bpe, ids: hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest()),
+}
+
+
+def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """keep (default: id_col) and outputs, one row per row of docs.
 
-    path: a vocabulary file that every worker can open.  Null texts count as
-    empty: no tokens, an empty decoded text.  Special tokens' strings in a text
-    become their ids.  Repeated rows are encoded alike; other columns are ignored.
+    outputs: some of n_tokens, ids (packed little-endian unsigned 32-bit), decoded
+    and the SHA-256 of either, which a worker makes text by text without keeping
+    the ids or the decoded text.  path: a vocabulary file that every worker can
+    open.  Null texts count as empty: no tokens, an empty decoded text.  Special
+    tokens' strings in a text become their ids.  Repeated rows are encoded alike;
+    an empty table gives no rows; other columns are ignored, whatever their names.
+    Memory is bounded by SLICE_BYTES of text or one longer text, and CACHE_BYTES.
     """
     keep = keep or [id_col]
     rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("bpe_text"))
-    kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    kinds = [f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)] + [f"o_{c} {OUTPUTS[c][0]}" for c in outputs]
 
     def make():
         bpe = encoder(path)
+        makers = [(f"o_{c}", OUTPUTS[c][1]) for c in outputs]
 
         def work(batch):
-            ids = [bpe.encode(text) for text in batch.column(len(keep)).to_pylist()]
-            return {f"k{i}": batch.column(i) for i in range(len(keep))} | {"n_tokens": [len(x) // 4 for x in ids], "ids": ids, "decoded": [bpe.decode(x) for x in ids]}
+            out = {name: [] for name, _ in makers}
+            for text in batch.column(len(keep)):
+                ids = bpe.encode(text.as_py())
+                for name, maker in makers:
+                    out[name].append(maker(bpe, ids))
+            return {f"k{i}": batch.column(i) for i in range(len(keep))} | out
 
-        work.close = bpe.forget
         return work
 
-    out = map_batches(rows, make, f"{kinds}, n_tokens bigint, ids binary, decoded string")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids", "decoded")
+    out = map_batches(rows, make, ", ".join(kinds), SLICE_BYTES)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"o_{c}").alias(c) for c in outputs])

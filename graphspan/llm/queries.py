@@ -80,8 +80,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_encode
 
-    out = bpe_encode(table(spark, sf_dir, "documents"), vocabulary())
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
