@@ -21,16 +21,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``, made the checkpoint folder if none is set yet.
 
-    Only where that setting is missing (tests on one machine) a temporary folder
-    takes its place.
+    Where that setting is missing a temporary folder takes its place, but only
+    with a local master: on a cluster executors would not see it.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphspan-"))
     return context.getCheckpointDir()
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    """Whether Spark's file system has the folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this code has written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sealed(df: DataFrame) -> DataFrame:
+    """df with its columns called k0, k1, ..: no name of the caller's can clash with a helper column."""
+    return df.toDF(*[f"k{i}" for i in range(len(df.columns))])
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df behind a reliable checkpoint, which survives lost executors."""
     shared_folder(df.sparkSession)

@@ -1,9 +1,10 @@
 """Quality classifier from compression with dictionaries.
 
 One zstandard dictionary comes from good labelled text and one from bad.  A text
-is compressed in blocks with either; the difference of the compressed sizes over
-their sum says which kind it is like, and a logistic curve fitted on labelled
-rows that went into no dictionary turns it into a probability.
+is compressed in blocks with either and with none.  Differences of two such sizes
+over their sum, of the whole text and of its extreme blocks, say which kind it is
+like; a logistic curve fitted on labelled rows that went into no dictionary
+turns them into a probability.
 """
 
 from __future__ import annotations
@@ -13,21 +14,31 @@ from dataclasses import dataclass
 import numpy as np
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .labelled import TRAIN_ROWS, fit_logistic, logistic, prior_weights, training_sample
+from .arrow_map import map_batches
+from .common import unit
+from .labelled import TRAIN_ROWS, fit_logistic, labelled_texts, logistic, prior_weights
 from .toxicity import score_texts
 
 LEVEL = 3
 DICT_BYTES = 112_640
 #: Bytes that are compressed at once: in longer blocks a text's own repeats outweigh the dictionary.
 BLOCK = 2048
-FEATURES = 6
-SCALE = np.array([10.0, 10.0, 10.0, 10.0, 10.0, 1.0])
+#: Blocks of all blocks of the sample that a dictionary is made from; its trainer wants a hundred times the dictionary.
+DICT_BLOCKS = 5000
+FEATURES = 9
+SCALE = 10.0
 
 
-def train_dictionary(texts: list[str]) -> bytes:
-    """A dictionary of DICT_BYTES at most from blocks of the texts; few or tiny texts are used as they are."""
-    blocks = [b[i : i + BLOCK] for b in (t.encode("utf-8", "replace") for t in texts) for i in range(0, len(b), BLOCK)]
+def blocks_of(data: bytes) -> list[bytes]:
+    """Blocks of BLOCK bytes; a rest of less than a quarter goes with the block before it."""
+    starts = range(0, max(1, len(data) - BLOCK // 4), BLOCK)
+    return [data[i : i + BLOCK] if i != starts[-1] else data[i:] for i in starts]
+
+
+def train_dictionary(blocks: list[bytes]) -> bytes:
+    """A dictionary of DICT_BYTES at most; few or tiny blocks are used as they are."""
     blocks = [b for b in blocks if len(b) >= 8]
     try:
         return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
@@ -49,47 +60,78 @@ class QualityModel:
 
     def compressors(self):
         if self._ready is None:
+            bare = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
             made = []
             for raw in (self.good, self.bad):
                 d = zstandard.ZstdCompressionDict(raw)
                 d.precompute_compress(level=LEVEL)
-                made.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
-            self._ready = made
+                made.append(zstandard.ZstdCompressor(dict_data=d, **bare))
+            self._ready = [*made, zstandard.ZstdCompressor(**bare)]
         return self._ready
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Normalised size differences (positive for good) of the whole and of the
-        blocks at either end, and how far the text and its smallest block shrink."""
+        """Normalised differences of the sizes raw, compressed, compressed with the good and with the bad dictionary.
+
+        All are differences of two sizes over their sum: bad and good (whole, and
+        the least and greatest of all blocks), each of these and none, raw and the
+        smaller of these, raw and none (whole and greatest).
+        """
         data = (text or "").encode("utf-8", "replace")
         if not data or not self.good or not self.bad:
-            return 0.0, 0.0, 0.0, 0.5, 0.5, 1.0
-        good, bad = (c.compress for c in self.compressors())
-        ends = range(0, max(1, len(data) - BLOCK // 4), BLOCK)
-        blocks = [data[i : i + BLOCK] if i != ends[-1] else data[i:] for i in ends]
-        g = np.array([len(good(b)) for b in blocks], dtype=float)
-        d = np.array([len(bad(b)) for b in blocks], dtype=float)
-        each = (d - g) / (d + g)
-        shrunk = np.minimum(g, d) / np.array([len(b) + 12 for b in blocks])
-        whole = np.minimum(g, d).sum() / (len(data) + 12)
-        return float((d.sum() - g.sum()) / (d.sum() + g.sum())), float(each.min()), float(each.max()), min(0.5, float(whole)), min(0.5, float(shrunk.min())), float(np.exp(-len(data) / 100))
+            return (0.0,) * FEATURES
+        blocks = blocks_of(data)
+        g, d, p = (np.array([len(c.compress(b)) for b in blocks], dtype=float) for c in self.compressors())
+        raw = np.array([len(b) + 12 for b in blocks], dtype=float)  # a frame takes so much
+        apart = lambda a, b: (a - b) / (a + b)
+        least = np.minimum(g, d)
+        each = apart(d, g)
+        whole = apart(d.sum(), g.sum()), apart(p.sum(), g.sum()), apart(p.sum(), d.sum()), apart(raw.sum(), min(g.sum(), d.sum())), apart(raw.sum(), p.sum())
+        return *map(float, whole), float(each.min()), float(each.max()), float(apart(raw, least).max()), float(apart(raw, p).max())
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([self.features(t) for t in texts], dtype=float).reshape(-1, FEATURES) * SCALE
         return logistic(np.array(self.curve), x)
 
 
-def fit_quality(sample: list[tuple[int, int, str]], counts: dict[int, int]) -> QualityModel:
-    """Two thirds of each label make the dictionaries, the rest the curve.  Without both labels all scores are 0.5."""
+def fit_quality(sample: DataFrame, counts: dict[int, int]) -> QualityModel:
+    """From id, label, t: about two thirds of each label make the dictionaries, the rest the curve.
+
+    A dictionary is made from DICT_BLOCKS blocks of those texts at most, chosen by
+    a hash of the block; the rest's texts give a row of features each.  Without
+    both labels all scores are 0.5.
+    """
     model = QualityModel()
-    y = np.array([label for _, label, _ in sample], dtype=float)
-    if not (y == 1).any() or not (y == 0).any():
+    part = sample.withColumn("made_of", unit(F.col("id"), 9) < 2 / 3)
+
+    def cut_up():
+        def work(batch):
+            out = {"label": [], "block": []}
+            for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = blocks_of(t.encode("utf-8", "replace"))
+                out["block"] += found
+                out["label"] += [label] * len(found)
+            return out
+
+        return work
+
+    blocks = map_batches(part.where("made_of").select("label", "t"), cut_up, "label int, block binary").withColumn("u", F.xxhash64(F.lit(5), "block"))
+    by = {v: [bytes(r[0]) for r in blocks.where(F.col("label") == v).orderBy("u", "block").limit(DICT_BLOCKS).select("block").collect()] for v in (0, 1)}
+    if not by[0] or not by[1]:
         return model
-    by = {v: [t for _, label, t in sample if label == v] for v in (0, 1)}
-    cut = {v: max(1, 2 * len(by[v]) // 3) for v in by}
-    model.good, model.bad = train_dictionary(by[1][: cut[1]]), train_dictionary(by[0][: cut[0]])
-    rest = [(v, t) for v in by for t in (by[v][cut[v] :] or by[v])]
-    y = np.array([v for v, _ in rest], dtype=float)
-    x = np.array([model.features(t) for _, t in rest]) * SCALE
+    model.good, model.bad = train_dictionary(by[1]), train_dictionary(by[0])
+
+    def measure():
+        def work(batch):
+            return {"label": batch.column(0), "id": batch.column(1), "x": [model.features(t) for t in batch.column(2).to_pylist()]}
+
+        return work
+
+    seen = lambda rows: sorted(tuple(r) for r in map_batches(rows.select("label", "id", "t"), measure, "label int, id bigint, x array<double>").collect())
+    rest = seen(part.where("NOT made_of"))
+    if len({r[0] for r in rest}) < 2:  # too few rows to set any aside
+        rest = seen(part)
+    y = np.array([r[0] for r in rest], dtype=float)
+    x = np.array([r[2] for r in rest]) * SCALE
     model.curve = tuple(fit_logistic(x, y, prior_weights(y, counts)))
     return model
 
@@ -98,9 +140,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, usable: Column, id_col: st
     """keep (default: id_col) and score in [0, 1], one row per row of docs.
 
     The model is fitted on at most train_rows labelled rows of each label for
-    which `usable` holds; every whole text is scored.  Null and empty texts get
-    the score of no difference.  Equal texts get equal scores.  No other column
-    of docs is read.
+    which `usable` holds, chosen by their ids; every whole text is scored.  Null
+    and empty texts get the score of no difference.  Equal texts get equal scores,
+    an empty table no rows.  No other column of docs is read, whatever its name.
     """
-    model = fit_quality(*training_sample(docs, labels, label_col, usable, id_col, text_col, train_rows))
+    model = fit_quality(*labelled_texts(docs, labels, label_col, usable, id_col, text_col, train_rows))
     return score_texts(docs, model, id_col, text_col, keep)

@@ -78,3 +78,76 @@ def test_empty_tables(spark, kind, score):
     docs, labels = corpus(spark, kind)
     assert score(docs.where("false"), labels, F.lit(True)).count() == 0
     assert score(docs, labels.where("false"), F.lit(True)).toPandas()["score"].nunique() == 1
+
+
+def test_quality_scores_against_plain_compression(spark):
+    """Every score from four sizes per block, taken with compressors of the test's own."""
+    import math
+
+    import zstandard
+    from graphspan.llm.labelled import labelled_texts
+
+    docs, labels = corpus(spark, "quality")
+    long = spark.createDataFrame([(5000, "abc hgf " * 900 + "###", None, None), (5001, None, None, None)], DOC)
+    docs = docs.union(long)
+    model = quality.fit_quality(*labelled_texts(docs, labels, "quality", F.lit(True)))
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels, F.lit(True)).collect()}
+    options = dict(level=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    kinds = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **options) for d in (model.good, model.bad)] + [zstandard.ZstdCompressor(**options)]
+    for i, text in docs.select("doc_id", "text").collect():
+        data = (text or "").encode()
+        x = [0.0] * 9
+        if data:
+            cuts = [k for k in range(0, len(data), 2048) if k == 0 or len(data) - k > 512]
+            blocks = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)], strict=True)]
+            g, b, p = ([len(c.compress(x)) for x in blocks] for c in kinds)
+            raw = [len(x) + 12 for x in blocks]
+            nd = lambda u, v: (u - v) / (u + v)
+            each = [nd(v, u) for u, v in zip(g, b, strict=True)]
+            x = [nd(sum(b), sum(g)), nd(sum(p), sum(g)), nd(sum(p), sum(b)), nd(sum(raw), min(sum(g), sum(b))), nd(sum(raw), sum(p)), min(each), max(each)]
+            x += [max(nd(r, min(u, v)) for r, u, v in zip(raw, g, b, strict=True)), max(nd(r, u) for r, u in zip(raw, p, strict=True))]
+        z = model.curve[0] + sum(c * 10 * v for c, v in zip(model.curve[1:], x, strict=True))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_toxicity_scores_against_plain_segments(spark):
+    import math
+
+    from graphspan.llm.labelled import labelled_texts
+
+    docs, labels = corpus(spark, "toxic")
+    model = toxicity.fit_toxicity(*labelled_texts(docs, labels, "toxic", F.lit(True)))
+    assert {"vileword", "nastyword", "foulword"} <= set(model.weights)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, labels, F.lit(True)).collect()}
+    for i, text in docs.select("doc_id", "text").collect():
+        words = text.split()
+        scores = [model.weigh(w) or -model.drift for w in words]
+        worth = [max(0.0, model.lam * t - math.log(model.k * max(20, len(words)))) for _, _, t in brute_segments(scores)]
+        z = model.curve[0] + model.curve[1] * max(worth, default=0) + model.curve[2] * math.log1p(sum(worth))
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_very_long_labelled_texts_and_copies_count(spark):
+    """A term that only a labelled text of 1 MB and its likes have is learnt; copies of one text are one vote."""
+    long = [(i, f"padding{i} " * 100_000 + f"rareword rareword{i}" if i == 0 else f"rareword in text {i} " + " ".join(f"z{i * 9 + j}" for j in range(9)), None, None) for i in range(30)]
+    copies = [(100 + i, "copyword chance in one text that is spread by copies of itself all over the place", None, None) for i in range(30)]
+    clean = [(200 + i, " ".join(f"y{i * 13 + j}" for j in range(15)), None, None) for i in range(100)]
+    docs = spark.createDataFrame(long + copies + clean, DOC)
+    labels = spark.createDataFrame([(r[0], int(r[0] < 200)) for r in long + copies + clean], "doc_id long, toxic int")
+    from graphspan.llm.labelled import labelled_texts, shares_of_copies
+
+    sample, counts = labelled_texts(docs, labels, "toxic", F.lit(True))
+    assert sample.count() == 160 and counts == {0: 100, 1: 60}
+    shares = shares_of_copies(sample)
+    assert abs(sum(shares[i] for i in range(100, 130)) - 1) < 1e-9 and shares[0] == 1.0
+    model = toxicity.fit_toxicity(sample, counts)
+    assert "rareword" in model.weights and "copyword" not in model.weights
+
+
+def test_an_id_with_several_texts_is_trained_on_the_same_one(spark):
+    from graphspan.llm.labelled import labelled_texts
+
+    rows = [(1, f"text {i}", None, None) for i in range(20)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    picks = {labelled_texts(spark.createDataFrame(rows[k:] + rows[:k], DOC).repartition(3), labels, "toxic", F.lit(True))[0].first()["t"] for k in range(3)}
+    assert len(picks) == 1
