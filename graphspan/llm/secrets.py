@@ -4,19 +4,21 @@ Every version of a document is a blob, addressed by the SHA-256 of its text.
 The ledger has one row per (blob, rule version) that has been scanned, with its
 spans, findings or not.  A scan reads only blobs that the ledger lacks under the
 present rule version, once each, and the findings are joined back to all
-documents that have the blob.
+documents that have the blob.  A ledger is a folder of Parquet files that scans
+append to, so the next scan, of these or of changed documents, reads new blobs only.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
-from .common import cut, likely_in
+from .common import cut, exists, likely_in, sealed, shared_folder
 
 #: Raised whenever RULES change, so that old blobs are scanned again.
 RULE_VERSION = 2
@@ -102,41 +104,75 @@ def scan_new_blobs(docs: DataFrame, ledger: DataFrame | None = None, id_col: str
     return map_batches(texts, make, LEDGER_SCHEMA).groupBy("blob", "rule_version").agg(F.first("spans").alias("spans"))
 
 
-def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fresh_ledger(spark: SparkSession) -> str:
+    """The folder that the setting graphspan.secrets.ledger names, which later scans go on with; else a new one in the shared folder."""
+    return spark.conf.get("graphspan.secrets.ledger", None) or f"{shared_folder(spark)}/secret-ledger-{uuid.uuid4().hex}"
+
+
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The rows of a ledger, or None if nothing was scanned yet."""
+    return spark.read.schema(LEDGER_SCHEMA).parquet(folder) if exists(spark, folder) else None
+
+
+def extend_ledger(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Scans the blobs of docs that the ledger lacks, appends them, and returns known, spans for each blob of the ledger.
+
+    Two scans at once may both add a blob: equal rows, of which one is returned.
+    """
+    spark = docs.sparkSession
+    scan_new_blobs(docs, read_ledger(spark, folder), id_col, text_col).write.mode("append").parquet(folder)
+    rows = spark.read.schema(LEDGER_SCHEMA).parquet(folder).where(F.col("rule_version") == RULE_VERSION)
+    return rows.groupBy(F.col("blob").alias("known")).agg(F.first("spans").alias("spans"))
+
+
+def secret_spans(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, blob and spans (array of kind, start, end): one row per row of docs.
 
     Null texts count as empty and have no spans.  Offsets are code points, the end
-    is exclusive.  ledger: what earlier scans returned (LEDGER_SCHEMA); its blobs
-    are not read again.  Repeated rows get the same spans; other columns of docs
-    are ignored; an empty table gives no rows.
+    is exclusive; spans come by start, at one start in the order of RULES, so the
+    result of equal texts is equal.  ledger: the folder of a ledger (default: that
+    of fresh_ledger), whose blobs are not read again.  Repeated rows get the same
+    spans; other columns of docs are ignored, whatever their names; an empty table
+    gives no rows.  Texts are scanned whole, however long.
     """
-    new = scan_new_blobs(docs, ledger, id_col, text_col).select(F.col("blob").alias("known"), "spans")
-    if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("known"), "spans"))
+    known = extend_ledger(docs, ledger or fresh_ledger(docs.sparkSession), id_col, text_col)
     paths = docs.select(F.col(id_col).alias("id"), blob_of(F.col(text_col)).alias("blob"))
-    return paths.join(new, F.col("blob") == F.col("known"), "left").select(F.col("id").alias(id_col), "blob", "spans")
+    return paths.join(known, F.col("blob") == F.col("known"), "left").select(F.col("id").alias(id_col), "blob", "spans")
 
 
 def spans_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
 
 
-def redact_secrets(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact_secrets(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every secret in text_col replaced by its kind in brackets.
 
     Documents are joined to the findings of their blob; a bitmap of the blobs with
     findings lets most other texts stay where they are.  length_col, if docs has
-    it, becomes the new length.  Null texts stay null.
+    it, becomes the new length.  Null texts stay null, texts without secrets and
+    all other columns as they are, whatever their names; repeated rows stay
+    repeated; an empty table gives no rows.  ledger as in secret_spans.
     """
-    new = scan_new_blobs(docs, ledger, id_col, text_col).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans"))
-    if ledger is not None:
-        new = new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")))
-    new = cut(new.where(F.size("found_spans") > 0).withColumn("found_key", F.xxhash64("found_blob")))
-    key = F.xxhash64(blob_of(F.col(text_col)))
-    likely = likely_in(new, "found_key")(key)
-    joined = docs.where(likely).join(new, blob_of(F.col(text_col)) == F.col("found_blob"), "left")
-    text = F.udf(lambda t, spans: redact(t, spans), "string")(F.col(text_col), F.col("found_spans"))
-    joined = joined.withColumn(text_col, text)
-    if length_col in docs.columns:
-        joined = joined.withColumn(length_col, F.when(F.col("found_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return docs.where(~likely).unionByName(joined.select(*docs.columns))
+    columns = docs.columns
+    known = extend_ledger(docs, ledger or fresh_ledger(docs.sparkSession), id_col, text_col)
+    found = cut(known.where(F.size("spans") > 0).select(F.col("known").alias("found_blob"), F.xxhash64("known").alias("found_key"), F.col("spans").alias("found_spans")))
+    rows = sealed(docs)
+    text = columns.index(text_col)
+    length = columns.index(length_col) if length_col in columns else None
+    blob = blob_of(F.col(f"k{text}"))
+    likely = likely_in(found, "found_key")(F.xxhash64(blob))
+    joined = rows.where(likely).join(found.select("found_blob", "found_spans"), blob == F.col("found_blob"), "left").select(*rows.columns, "found_spans")
+
+    def make():
+        def work(batch):
+            out = {f"k{i}": batch.column(i) for i in range(len(columns))}
+            spans = batch.column(len(columns)).to_pylist()
+            texts = [redact(t, s) for t, s in zip(batch.column(text).to_pylist(), spans, strict=True)]
+            if length is not None:
+                out[f"k{length}"] = [len(t) if s else n for t, s, n in zip(texts, spans, batch.column(length).to_pylist(), strict=True)]
+            return out | {f"k{text}": texts}
+
+        return work
+
+    kinds = ", ".join(f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return rows.where(~likely).unionByName(map_batches(joined, make, kinds)).toDF(*columns)
