@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches, map_stream
-from .common import cut, likely_in, sweep
+from .common import cut, likely_in, sealed, sweep
 from .components import connected_components
 from .textscan import mix, random_values, shingle_set
 
@@ -53,11 +53,6 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(30_000 - np.log(exponential) / math.log(BASE)), 0, 65_535).astype(np.uint16)
 
 
-def union_registers(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Registers of the union of two sets."""
-    return np.maximum(a, b)
-
-
 def _p(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / math.log(BASE)
 
@@ -117,21 +112,21 @@ def spanning_forest(size: int, i: np.ndarray, j: np.ndarray, e: np.ndarray) -> l
     return out
 
 
+def marks(shingles: np.ndarray) -> tuple[int, int, int]:
+    """Size and two 64-bit sums of a set; sets with equal marks are taken as equal."""
+    a, b = np.array([shingles.sum(dtype=np.uint64), mix(shingles).sum(dtype=np.uint64)]).view(np.int64)
+    return len(shingles), int(a), int(b)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (shingles), h1 and h2 (of the set), regs; one row per row of docs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def make():
         def work(batch):
-            n, h1, h2, regs = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(text, WORDS)
-                n.append(len(s))
-                total = np.array([s.sum(dtype=np.uint64), mix(s).sum(dtype=np.uint64)]).view(np.int64)
-                h1.append(int(total[0]))
-                h2.append(int(total[1]))
-                regs.append(registers(s).tobytes() if len(s) else None)
-            return {"id": batch.column(0), "n": n, "h1": h1, "h2": h2, "regs": regs}
+            sets = (shingle_set(text, WORDS) for text in batch.column(1).to_pylist())
+            found = [(*marks(s), registers(s).tobytes() if len(s) else None) for s in sets]
+            return {"id": batch.column(0)} | dict(zip(("n", "h1", "h2", "regs"), zip(*found, strict=True), strict=True))
 
         return work
 
@@ -235,22 +230,28 @@ def upper_halves(sets: DataFrame) -> DataFrame:
     return map_batches(sets.select("rep", "shingles"), make, "rep bigint, heads binary")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, shingles (packed sorted hashes) of the documents whose id is in ids(rep).
+def shingle_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """rep, shingles (packed sorted hashes) of classes(rep, owner, n, h1, h2), each from a document with id = owner.
 
     A bitmap keeps most texts that are not asked for out of the shuffle.
     """
-    ids = cut(ids.select("rep"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(likely_in(ids, "rep")(F.col("id")))
-    wanted = ids.hint("shuffle_hash")
+    wanted = cut(classes.select("rep", "owner", "n", "h1", "h2"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(likely_in(wanted, "owner")(F.col("id")))
 
     def make():
         def work(batch):
-            return {"rep": batch.column(0), "shingles": [shingle_set(t, WORDS).tobytes() for t in batch.column(1).to_pylist()]}
+            out = {"rep": [], "shingles": []}
+            for t, rep, *want in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingle_set(t, WORDS)
+                if marks(s) == tuple(want):  # an id may have several texts
+                    out["rep"].append(rep)
+                    out["shingles"].append(s.tobytes())
+            return out
 
         return work
 
-    return map_batches(rows.join(wanted, F.col("id") == F.col("rep")).select("id", "t"), make, "rep bigint, shingles binary")
+    asked = rows.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("owner")).select("t", "rep", "n", "h1", "h2")
+    return map_batches(asked, make, "rep bigint, shingles binary").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -279,13 +280,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split at ASCII white space; a text with fewer words is one shingle.  Null,
     empty and blank texts are linked with nothing.  The banding finds a pair at
     the limit with a probability of 0.999995.  kept marks the smallest id of each
-    component; rows that repeat an id count as one document.  Ids are integers;
-    rows with a null id are components of their own and kept.
+    component; rows that repeat an id count as one document, with the links of all
+    its texts.  Ids are integers; rows with a null id are components of their own
+    and kept.  Texts of any length are taken whole; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
     sketched = cut(sketches(docs, id_col, text_col))
-    reps = cut(sketched.where("n > 0 AND id IS NOT NULL").groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")))
-    classes = sketched.where("n > 0").join(reps.select(F.col("rep"), F.col("n").alias("rn"), F.col("h1").alias("r1"), F.col("h2").alias("r2")), (F.col("id") == F.col("rep")) & (F.col("n") == F.col("rn")) & (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).select("rep", "n", "regs").dropDuplicates(["rep", "n"])
-    classes = cut(classes)
+    named = sketched.where("n > 0 AND id IS NOT NULL")
+    classes = named.groupBy("n", "h1", "h2").agg(F.min("id").alias("owner"), F.first("regs").alias("regs"))
+    several = cut(named.groupBy("id").agg(F.min(F.struct("n", "h1", "h2")).alias("lo"), F.max(F.struct("n", "h1", "h2")).alias("hi")).where("lo <> hi").select(F.col("id").alias("several_id")))
+    versions = not several.isEmpty()
+    if versions:  # classes may share their smallest id: these get a negative number of their own
+        shared_owner = classes.groupBy(F.col("owner").alias("o")).count().where("count > 1").select("o")
+        own = -1 - F.shiftrightunsigned(F.xxhash64("owner", "n", "h1", "h2"), 1)
+        classes = classes.join(shared_owner, F.col("owner") == F.col("o"), "left").withColumn("rep", F.when(F.col("o").isNull(), F.col("owner")).otherwise(own)).drop("o")
+    else:
+        classes = classes.withColumn("rep", F.col("owner"))
+    classes = cut(classes.select("rep", "owner", "n", "h1", "h2", "regs"))
     keys = band_keys(classes)
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = cut(keys.join(shared, "key").select("key", "band", "rep", "members"))
@@ -294,8 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cell = F.pmod(F.xxhash64("rep", "key"), pieces).cast("int")
     members = shared.join(of_class, F.col("rep") == F.col("r")).select("key", "band", cell.alias("piece"), "rep", "n", "regs")
     pairs = cut(_search(members, across=False))
+    facts_of = lambda ids: ids.join(classes.select("rep", "owner", "n", "h1", "h2"), "rep")
     ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = cut(shingle_sets(docs, ids, id_col, text_col).dropDuplicates(["rep"]))
+    sets = cut(shingle_sets(docs, facts_of(ids), id_col, text_col))
     links = cut(verified(pairs, sets))
     components = cut(connected_components(links))
     sweep(docs.sparkSession)
@@ -304,34 +316,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = labelled.groupBy("key", "comp").agg(F.count("*").alias("n_comp")).groupBy("key").agg(F.max(F.struct("n_comp", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select(F.col("key").alias("k"), F.col("top.comp").alias("top"))
     open_ = cut(labelled.join(mixed, F.col("key") == F.col("k")).select("key", "band", "rep", "members", "comp", "top"))
     missing = open_.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
-    sets = sets.union(cut(shingle_sets(docs, missing, id_col, text_col).dropDuplicates(["rep"])))
+    sets = sets.union(cut(shingle_sets(docs, facts_of(missing), id_col, text_col)))
     facts = of_class.join(upper_halves(sets), F.col("r") == F.col("rep")).select("r", "n", "regs", "heads")
     everywhere = F.when((F.col("comp") != F.col("top")) & (pieces > 1), F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(cell))
     spread = open_.withColumn("home", cell).withColumn("piece", F.explode(everywhere)).withColumn("guest", F.col("piece") != F.col("home"))
     spread = spread.join(facts, F.col("rep") == F.col("r")).select("key", "band", "piece", "rep", "n", "regs", "comp", "guest", "heads")
     more = cut(_search(spread, across=True).join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    links = cut(links.union(verified(more, sets)))
+    # the first components stand for the links that made them
+    links = cut(components.select(F.col("id").alias("a"), F.col("component").alias("b")).union(verified(more, sets)))
     sweep(docs.sparkSession)
+    owners = classes.select(F.col("rep").alias("c"), "owner", F.col("n").alias("kn"), F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    if versions:  # from classes to documents, and all classes of a document with one another
+        renamed = cut(owners.where("c <> owner").select("c", "owner"))
+        for end in ("a", "b"):
+            links = links.join(renamed.withColumnRenamed("owner", "as"), F.col(end) == F.col("c"), "left").withColumn(end, F.coalesce("as", end)).drop("c", "as")
+        of_one = named.join(several, F.col("id") == F.col("several_id")).join(owners, (F.col("n") == F.col("kn")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+        links = cut(links.select("a", "b").union(of_one.select(F.col("id").alias("a"), F.col("owner").alias("b"))).distinct())
     components = cut(connected_components(links))
     sweep(docs.sparkSession)
-    known = reps.join(components.select(F.col("id").alias("c"), "component"), F.col("rep") == F.col("c"), "left").select(F.col("n").alias("kn"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.coalesce("component", "rep").alias("component"))
+    known = owners.drop("c").join(components.select(F.col("id").alias("c"), "component"), F.col("owner") == F.col("c"), "left").select("kn", "k1", "k2", F.coalesce("component", "owner").alias("component"))
     joined = sketched.select("id", "n", "h1", "h2").join(known, (F.col("n") == F.col("kn")) & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left")
     component = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest id.
+    """docs with one row of each component: that of the smallest id; all columns as they are, whatever their names.
 
     Rows that `near_duplicates` drops are found by their ids, and a bitmap of
     those ids lets most other texts stay where they are.  Of rows that repeat an
-    id one stays.
+    id, which count as one document, that of the least hash of the text (then of
+    the row) stays.  Rows without words or without an id stay; an empty table
+    gives no rows.
     """
+    rows = sealed(docs)
+    key, text = (F.col(f"k{docs.columns.index(c)}") for c in (id_col, text_col))
     judged = cut(near_duplicates(docs, id_col, text_col).select(F.col(id_col).cast("bigint").alias("judged_id"), "kept"))
     dropped = judged.where("NOT kept").select("judged_id").distinct()
     again = judged.where("kept AND judged_id IS NOT NULL").groupBy("judged_id").count().where("count > 1").select("judged_id")
-    likely = F.coalesce(likely_in(dropped.union(again), "judged_id")(F.col(id_col)), F.lit(False))
-    rest = docs.where(likely).join(dropped, F.col(id_col) == F.col("judged_id"), "left_anti")
+    likely = F.coalesce(likely_in(dropped.union(again), "judged_id")(key), F.lit(False))
+    rest = rows.where(likely).join(dropped, key == F.col("judged_id"), "left_anti")
     if not again.isEmpty():
-        rest = rest.dropDuplicates([id_col])
-    return docs.where(~likely).unionByName(rest)
+        hashed = [f"k{i}" for i, f in enumerate(docs.schema.fields) if f.dataType.typeName() != "map"]
+        order = F.struct(F.xxhash64(text), F.md5(text), F.xxhash64(*hashed))
+        rest = rest.groupBy(key.alias("group")).agg(F.min_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+    return rows.where(~likely).unionByName(rest).toDF(*docs.columns)
