@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The three places at which camel case is cut.
@@ -33,16 +33,13 @@ def select_by_frequency(counts: DataFrame, key: str, count: str, coverage: float
     """Rows of counts above min_count, most frequent first (ties by key), as long as the share before
     a row is under coverage; at_least rows if there are so many.
 
-    Counts are summed before this.  The running sums are first over the distinct
-    counts, of which there are few, and then within the keys of one count.
+    Counts are summed before this; running sums go range by range of the order.
     """
+    from ..operators.order import running
+
     kept = counts.select(F.col(key).alias("_key"), F.col(count).alias("_count")).where(F.col("_count") > min_count)
-    total = kept.agg(F.sum("_count").alias("_total"))
-    above = Window.orderBy(F.desc("_count")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = kept.groupBy("_count").agg(F.count("*").alias("_n"))
-    levels = levels.select(F.col("_count").alias("_level"), F.coalesce(F.sum(F.col("_count") * F.col("_n")).over(above), F.lit(0)).alias("_before"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_rank_before"))
-    within = F.row_number().over(Window.partitionBy("_count").orderBy("_key")) - 1
-    ranked = kept.join(levels, F.col("_count") == F.col("_level")).withColumn("_i", within).join(F.broadcast(total))
-    covered = (F.col("_before") + F.col("_i") * F.col("_count")) / F.col("_total")
+    ranked = running(kept, [F.desc("_count"), F.asc("_key")], {"_before": F.col("_count"), "_rank": F.lit(1)})
+    total = F.broadcast(kept.agg(F.sum("_count").alias("_total")))  # one row
+    covered = F.col("_before") / F.col("_total")
     # if the goal leaves fewer rows than at_least, the first at_least are taken
-    return ranked.where((covered < coverage) | (F.col("_rank_before") + F.col("_i") < at_least)).select(F.col("_key").alias(key), F.col("_count").alias(count))
+    return ranked.join(total).where((covered < coverage) | (F.col("_rank") < at_least)).select(F.col("_key").alias(key), F.col("_count").alias(count))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,11 +34,13 @@ def gaussian_fourth_order(x: Column, half: float) -> Column:
     return F.pow(F.lit(2.0), -F.pow(x / half, F.lit(4.0)))
 
 
-def digits(n: Column, base: int, places: int = 20) -> Column:
-    """Digits of a natural number, most significant first; [0] for 0."""
-    powers = F.transform(F.sequence(F.lit(places - 1), F.lit(0), F.lit(-1)), lambda k: F.floor(n / F.pow(F.lit(float(base)), k)).cast("long") % base)
-    text = F.ltrim(F.array_join(powers, ""), F.lit("0")) if base <= 10 else None
-    return F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.split(text, ""), lambda d: d.cast("long")))
+def digits(n: Column, base: int) -> Column:
+    """Digits of a natural number of 64 bits in any base from 2, most significant first; [0] for 0."""
+    start = F.struct(n.cast("long").alias("rest"), F.array().cast("array<bigint>").alias("out"))
+    most = math.ceil(64 / math.log2(base))
+    step = lambda s: F.struct(F.call_function("div", s["rest"], F.lit(base)).alias("rest"), F.concat(F.array(s["rest"] % base), s["out"]).alias("out"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, lambda s, _: F.when(s["rest"] > 0, step(s)).otherwise(s), lambda s: s["out"])
+    return F.when(n == 0, F.array(F.lit(0).cast("long"))).otherwise(found)
 
 
 def pretty_time(nanos: Column, places: int = 3) -> Column:

@@ -8,14 +8,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A side is broadcast only if a count has shown that it has no more rows than this.
+BROADCAST_ROWS = 20_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df with its lineage cut by a reliable checkpoint in spark.checkpoint.dir.
+
+    A temporary folder takes its place where that is unset, but only with a local master.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphspan-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphspan-"))
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most so many rows, else df as it is, for a join that shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def equality_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the least node that equalities connect it with.
 

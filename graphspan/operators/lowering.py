@@ -79,14 +79,14 @@ def parse_export(text: Column) -> Column:
     )
 
 
-def type_texts(types: DataFrame, children: DataFrame, depth: int = 16) -> DataFrame:
+def type_texts(types: DataFrame, children: DataFrame) -> DataFrame:
     """type_id, text: `any`, a name, `(a,b)->c`, `{l: t, m: u}`; for types that do not contain themselves."""
     from .graph import checkpointed
 
     leaf = types.where("kind IN ('any', 'var')").select("type_id", F.coalesce("name", F.lit("any")).alias("text"))
     done = leaf
     composite = types.where("kind IN ('func', 'object')").select("type_id", "kind")
-    for _ in range(depth):
+    while True:  # one level of nesting in each round
         known = done.select(F.col("type_id").alias("child"), "text")
         rows = composite.join(done.select("type_id"), "type_id", "left_anti").join(children, "type_id").join(known, "child", "left")
         ready = rows.groupBy("type_id", "kind").agg(F.count_if(F.col("text").isNull()).alias("open"), F.sort_array(F.collect_list(F.struct("pos", "label", "text"))).alias("kids")).where("open = 0")
@@ -96,6 +96,5 @@ def type_texts(types: DataFrame, children: DataFrame, depth: int = 16) -> DataFr
         text = F.when(F.col("kind") == "func", F.concat(F.lit("("), args, F.lit(")->"), result)).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
         new = checkpointed(done.union(ready.select("type_id", text.alias("text"))))
         if new.count() == done.count():
-            break
+            return done
         done = new
-    return done

@@ -28,20 +28,12 @@ def attention(messages: DataFrame, key: str = "dst", query: str = "query", value
     return sum_vectors(weighted.select(key, F.transform(value, lambda x: x * F.col("alpha")).alias("w")), [key], "w", "vec")
 
 
-def residual_update(embeddings: DataFrame, merged: DataFrame, weight: float = 1.0) -> DataFrame:
-    """node, vec: the old vector plus weight times the merged message, if there is one."""
-    step = merged.select(F.col("dst").alias("node"), F.col("vec").alias("message"))
-    new = F.zip_with("vec", "message", lambda a, b: a + b * weight)
-    return embeddings.join(step, "node", "left").select("node", F.when(F.col("message").isNull(), F.col("vec")).otherwise(new).alias("vec"))
-
+def residual(vector: Column, message: Column, weight: float = 1.0) -> Column:
+    """The old vector plus weight times the merged message, if there is one."""
+    return F.when(message.isNull(), vector).otherwise(F.zip_with(vector, message, lambda a, b: a + b * weight))
 
-def adam_fold(gradients: Column, lr: float, b1: float = 0.9, b2: float = 0.999, eps: float = 1e-8) -> Column:
-    """Total change of a parameter over an ordered array of gradients (bias-corrected Adam)."""
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("v"), F.lit(0.0).alias("t"), F.lit(0.0).alias("x"))
 
-    def step(s: Column, g: Column) -> Column:
-        t, m, v = s["t"] + 1, s["m"] * b1 + g * (1 - b1), s["v"] * b2 + g * g * (1 - b2)
-        change = F.lit(lr) * (m / (1 - F.pow(F.lit(b1), t))) / (F.sqrt(v / (1 - F.pow(F.lit(b2), t))) + eps)
-        return F.struct(m.alias("m"), v.alias("v"), t.alias("t"), (s["x"] - change).alias("x"))
-
-    return F.aggregate(gradients, zero, step, lambda s: s["x"])
+def residual_update(embeddings: DataFrame, merged: DataFrame, weight: float = 1.0) -> DataFrame:
+    """node, vec: embeddings(node, vec) after a step by merged(dst, vec)."""
+    step = merged.select(F.col("dst").alias("node"), F.col("vec").alias("message"))
+    return embeddings.join(step, "node", "left").select("node", residual(F.col("vec"), F.col("message"), weight).alias("vec"))

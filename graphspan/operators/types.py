@@ -50,14 +50,13 @@ def nongenerify(types: DataFrame) -> DataFrame:
     return types.select("type_id", F.expr("CASE kind WHEN 'func' THEN 'Function' WHEN 'object' THEN 'any' WHEN 'any' THEN 'any' ELSE name END").alias("target"))
 
 
-def ast_sizes(types: DataFrame, children: DataFrame, depth: int = 16) -> DataFrame:
-    """type_id, size: nodes of the type's tree, for acyclic types no deeper than depth."""
+def ast_sizes(types: DataFrame, children: DataFrame) -> DataFrame:
+    """type_id, size: nodes of the type's tree, for types of any depth that do not contain themselves."""
     sizes = types.join(children.select("type_id").distinct(), "type_id", "left_anti").select("type_id", F.lit(1).cast("long").alias("size"))
-    for _ in range(depth):
+    while True:  # one level of nesting in each round
         done = sizes.select(F.col("type_id").alias("child"), "size")
         ready = children.join(sizes.select("type_id"), "type_id", "left_anti").join(done, "child", "left").groupBy("type_id").agg((F.sum("size") + 1).alias("size"), F.count_if(F.col("size").isNull()).alias("open")).where("open = 0")
         new = checkpointed(sizes.union(ready.select("type_id", "size")))
         if new.count() == sizes.count():
-            break
+            return sizes
         sizes = new
-    return sizes

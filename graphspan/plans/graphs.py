@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph, messages
+from ..operators.order import numbered
 from ..operators.types import ast_sizes, nongenerify, subtype_pairs
 from ..sources.tables import Tables, binary_relations, nodes
 from .registry import query
@@ -128,10 +129,12 @@ def exports_fixpoint(t: Tables) -> DataFrame:
     up = F.regexp_replace("module", r"^[^.]*\.", "")
     chain = own.select("module").distinct()
     links = None
-    for _ in range(4):  # labels of a host name
+    while not chain.isEmpty():  # one label less in each round
         step = chain.select(up.alias("parent"), F.col("module").alias("from_module")).where("parent <> from_module AND instr(parent, '.') > 0").distinct()
         links = step if links is None else links.union(step).distinct()
-        chain = step.select(F.col("parent").alias("module"))
+        chain = graph.checkpointed(step.select(F.col("parent").alias("module")))
+    if links is None:
+        links = own.select(F.col("module").alias("parent"), F.col("module").alias("from_module")).where("false")
     out = graph.resolve_exports(own, links.select(F.col("parent").alias("module"), "from_module"))
     return out.join(own.select("module").distinct(), "module", "left_anti")
 
@@ -191,9 +194,8 @@ def type_ast_size(t: Tables) -> DataFrame:
 
 @query(f"WITH {NODES} SELECT node, row_number() OVER (ORDER BY from_lib DESC, node)::INT - 1 AS idx FROM nodes WHERE is_type")
 def prediction_space_index(t: Tables) -> DataFrame:
-    """Library types first.  The index runs over the space of types, which is small against the nodes."""
-    order = Window.orderBy(F.desc("from_lib"), "node")
-    return nodes(t).where("is_type").select("node", (F.row_number().over(order) - 1).alias("idx"))
+    """Library types first, numbered range by range of the order."""
+    return numbered(nodes(t).where("is_type").select("node", "from_lib"), [F.desc("from_lib"), F.asc("node")], "idx").select("node", F.col("idx").cast("int"))
 
 
 @query("""SELECT 'digraph ' || r_name || ' {' || string_agg(n_name, '; ' ORDER BY n_nationkey) || '}' AS text FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name""")

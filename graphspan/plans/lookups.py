@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.graph import small
+from ..operators.messages import residual
+from ..operators.order import numbered
 from ..sources.tables import Tables
 from .registry import query
-from .vectors import CENTROIDS, centroids, head
+from .vectors import CENTROIDS, DIM, centroids, elements, whole
 
 
 @query("""SELECT event_type AS series, min(ts) AS x_from, max(ts) AS x_to, min(value) AS y_from, max(value) AS y_to FROM events GROUP BY 1""")
@@ -25,25 +28,21 @@ def label_stats(t: Tables) -> DataFrame:
     return rows.withColumn("ratio", F.round(F.when(F.col("proj") == 0, 1.0).otherwise(F.try_divide("lib", "proj")), 6))
 
 
-@query("""SELECT coalesce(c_nationkey, s_nationkey) AS k, CASE WHEN c_nationkey IS NULL THEN 'left' ELSE 'right' END AS missing FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey % 3 <> 0) FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier WHERE s_nationkey % 4 <> 0) ON c_nationkey = s_nationkey WHERE c_nationkey IS NULL OR s_nationkey IS NULL""")
+@query("""SELECT coalesce(d, l) AS k, CASE WHEN d IS NULL THEN 'left' ELSE 'right' END AS missing FROM (SELECT DISTINCT doc_id AS d FROM documents) FULL JOIN (SELECT DISTINCT doc_id AS l FROM labels) ON d = l WHERE d IS NULL OR l IS NULL""")
 def symmetric_key_check(t: Tables) -> DataFrame:
-    """Keys that only one of two tables has."""
-    a = t.customer.where("c_nationkey % 3 <> 0").select(F.col("c_nationkey").alias("a")).distinct()
-    b = t.supplier.where("s_nationkey % 4 <> 0").select(F.col("s_nationkey").alias("b")).distinct()
+    """Keys that only one of two tables has: documents and the documents that labels name."""
+    a = t.documents.select(F.col("doc_id").alias("a")).distinct()
+    b = t.labels.select(F.col("doc_id").alias("b")).distinct()
     return a.join(b, F.col("a") == F.col("b"), "full").where("a IS NULL OR b IS NULL").select(F.coalesce("a", "b").alias("k"), F.when(F.col("a").isNull(), "left").otherwise("right").alias("missing"))
 
 
 @query("""WITH n AS (SELECT DISTINCT CASE WHEN p_size > 40 THEN NULL ELSE p_type END AS name, CASE WHEN p_size > 40 THEN p_partkey END AS own FROM part), b AS (SELECT max(p_partkey) AS top FROM part) SELECT name, own, row_number() OVER (ORDER BY name NULLS LAST, own) + top AS id FROM n, b""")
 def unknown_definitions(t: Tables) -> DataFrame:
-    """One new id, above all old ones, for each unknown name, and one for each use without a name.
-
-    The table of unknowns is small against the nodes; it is numbered in one order.
-    """
+    """One new id, above all old ones, for each unknown name, and one for each use without a name."""
     big = F.col("p_size") > 40
     unknown = t.part.select(F.when(~big, F.col("p_type")).alias("name"), F.when(big, F.col("p_partkey")).alias("own")).distinct()
-    top = t.part.agg(F.max("p_partkey").alias("top"))
-    number = F.row_number().over(Window.orderBy(F.col("name").asc_nulls_last(), "own"))
-    return unknown.withColumn("id", number).join(F.broadcast(top)).select("name", "own", (F.col("id") + F.col("top")).alias("id"))
+    top = t.part.agg(F.max("p_partkey")).first()[0] or 0
+    return numbered(unknown, [F.col("name").asc_nulls_last(), F.col("own")], "id", top + 1)
 
 
 @query("""SELECT conv_id, map_keys(m)::VARCHAR AS roles, list_sum(map_values(m))::BIGINT AS total FROM (SELECT conv_id, map_from_entries(list((role, n) ORDER BY role)) AS m FROM (SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY 1, 2) GROUP BY 1)""")
@@ -61,29 +60,29 @@ def maxwell_distribution(t: Tables) -> DataFrame:
     return rows.select("p_partkey", F.round(F.col("d") / F.sum("d").over(Window.partitionBy("p_brand")), 8).alias("p"))
 
 
-@query(f"""WITH {CENTROIDS}, one AS (SELECT vec_id, label, list_transform(range(1, 9), lambda i: v[i] + 0.5 * c[i]) AS v FROM emb JOIN cent ON label = cls),
-p2 AS (SELECT label, i, avg(v[i + 1]) AS x FROM one, range(8) r(i) GROUP BY 1, 2), c2 AS (SELECT label AS cls, list(x ORDER BY i) AS c FROM p2 GROUP BY 1)
-SELECT vec_id, round(v[1] + 0.5 * c[1], 5) AS first, round(v[8] + 0.5 * c[8], 5) AS last FROM one JOIN c2 ON label = cls""")
+@query(f"""WITH {CENTROIDS}, one AS (SELECT vec_id, label, list_transform(range(1, {DIM} + 1), lambda i: v[i] + 0.5 * c[i]) AS v FROM emb JOIN cent ON label = cls),
+p2 AS (SELECT label, i, avg(v[i + 1]) AS x FROM one, range({DIM}) r(i) GROUP BY 1, 2), c2 AS (SELECT label AS cls, list(x ORDER BY i) AS c FROM p2 GROUP BY 1)
+SELECT vec_id, (i - 1)::INT AS i, round(v[i] + 0.5 * c[i], 5) AS x FROM one JOIN c2 ON label = cls, range(1, {DIM} + 1) r(i)""")
 def gnn_two_iterations(t: Tables) -> DataFrame:
     """Two rounds of gathering the mean of the neighbours and adding half of it."""
-    rows = head(t)
+    rows = whole(t)
     for _ in range(2):
         merged = V.sum_vectors(rows, ["label"], "v", "c", mean=True)
-        rows = rows.join(F.broadcast(merged), "label").select("vec_id", "label", F.zip_with("v", "c", lambda a, b: a + b * 0.5).alias("v"))
-    return rows.select("vec_id", F.round(F.element_at("v", 1), 5).alias("first"), F.round(F.element_at("v", 8), 5).alias("last"))
+        rows = rows.join(small(merged), "label").select("vec_id", "label", residual(F.col("v"), F.col("c"), 0.5).alias("v"))
+    return elements(rows, "v", "vec_id")
 
 
-@query(f"""WITH {CENTROIDS}, s AS (SELECT vec_id, label, cls, round(list_sum(list_transform(range(1, 9), lambda i: v[i] * c[i])), 6) AS d FROM emb, cent), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, cls) AS rank FROM s),
+@query(f"""WITH {CENTROIDS}, s AS (SELECT vec_id, label, cls, round(list_sum(list_transform(range(1, {DIM} + 1), lambda i: v[i] * c[i])), 6) AS d FROM emb, cent), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d DESC, cls) AS rank FROM s),
 b AS (SELECT label AS cls, row_number() OVER (ORDER BY count(*) DESC, label) AS base FROM emb GROUP BY 1)
 SELECT CASE WHEN rank < base THEN 'better' WHEN rank = base THEN 'same' ELSE 'worse' END AS outcome, count(*) AS n FROM r JOIN b USING (cls) WHERE label = r.cls GROUP BY 1""")
 def naming_helpfulness(t: Tables) -> DataFrame:
     """Whether the model ranks the truth better than a baseline by frequency does."""
-    scored = head(t).join(F.broadcast(centroids(t))).withColumn("d", F.round(V.dot(F.col("v"), F.col("c")), 6))
+    scored = whole(t).join(small(centroids(t))).withColumn("d", F.round(V.dot(F.col("v"), F.col("c")), 6))
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("d"), "cls"))
     truth = scored.withColumn("rank", rank).where(F.col("label") == F.col("cls"))
-    base = head(t).groupBy(F.col("label").alias("cls")).agg(F.count("*").alias("n")).withColumn("base", F.row_number().over(Window.orderBy(F.desc("n"), "cls"))).drop("n")
+    base = whole(t).groupBy(F.col("label").alias("cls")).agg(F.count("*").alias("n")).withColumn("base", F.row_number().over(Window.orderBy(F.desc("n"), "cls"))).drop("n")
     outcome = F.when(F.col("rank") < F.col("base"), "better").when(F.col("rank") == F.col("base"), "same").otherwise("worse")
-    return truth.join(F.broadcast(base), "cls").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return truth.join(small(base), "cls").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT a.conv_id, a.turn, b.page_id FROM conversations a JOIN (SELECT page_id, page_id % 50 AS c, page_id % 4 AS u FROM pages) b ON a.conv_id = b.c AND a.turn = b.u""")

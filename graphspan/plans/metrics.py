@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import accuracy
 from ..operators.metrics import confusion, counted, mutual_information, r_squared, upper_median
+from ..operators.order import affine_fold, in_ranges
 from ..sources.tables import Tables
 from .registry import query
 
@@ -98,15 +100,13 @@ def running_extremes(t: Tables) -> DataFrame:
 f AS (SELECT user_id, i, value AS mean FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, f.mean * (1 - 1.0::DOUBLE / least(e.i, 10)) + e.value * (1.0::DOUBLE / least(e.i, 10)) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, round(arg_max(mean, i), 4) AS mean FROM f GROUP BY user_id""")
 def running_average(t: Tables) -> DataFrame:
-    """Mean over the first 10 values, then an exponential one, in order: a fold for each user."""
-    zero = F.struct(F.lit(0.0).alias("m"), F.lit(0.0).alias("t"))
+    """Mean over the first 10 values, then an exponential one, in order: a fold for each user, range by range of the order."""
+    def steps(before: int, values):
+        share = 1 / np.minimum(np.arange(before + 1, before + 1 + len(values)), 10)
+        return 1 - share, values * share
 
-    def mix(s, x):
-        share = 1.0 / F.least(s["t"] + 1, F.lit(10.0))
-        return F.struct((s["m"] * (1 - share) + x["value"] * share).alias("m"), (s["t"] + 1).alias("t"))
-
-    ordered = t.events.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("xs"))
-    return ordered.select("user_id", F.round(F.aggregate("xs", zero, mix, lambda s: s["m"]), 4).alias("mean"))
+    pieces = in_ranges(t.events.select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id")
+    return affine_fold(pieces, "user_id", "value", steps, "bigint").select("user_id", F.round("state", 4).alias("mean"))
 
 
 @query("""WITH d AS (SELECT ts::DATE AS day, round(max(value), 6) AS y FROM events GROUP BY 1), b AS (SELECT day, y, row_number() OVER (ORDER BY day) AS epoch, max(y) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d),

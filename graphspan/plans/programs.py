@@ -10,7 +10,7 @@ from ..operators import graph, layers, lowering
 from ..sources.tables import Tables, binary_relations, nodes
 from .graphs import NODES, RELS, literal_types
 from .registry import query
-from .vectors import EMB, head
+from .vectors import DIM, EMB, elements, whole
 
 
 def statements(t: Tables) -> DataFrame:
@@ -82,46 +82,45 @@ def merge_equalities(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {NODES}, {RELS}, s AS (SELECT lhs AS a, rhs AS b FROM rels UNION SELECT rhs, lhs FROM rels), lib AS (SELECT node FROM nodes WHERE from_lib),
-r AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_custkey % 50 = 0 UNION SELECT b FROM r JOIN s ON a = node WHERE node NOT IN (SELECT node FROM lib)) SELECT node FROM r""")
+r AS (SELECT 'c:' || c_custkey AS node FROM customer WHERE c_acctbal < 0 UNION SELECT b FROM r JOIN s ON a = node WHERE node NOT IN (SELECT node FROM lib)) SELECT node FROM r""")
 def prune_graph(t: Tables) -> DataFrame:
-    """What the needed nodes reach, without walking through library nodes."""
+    """What the needed nodes (customers in debt) reach, without walking through library nodes."""
     edges = binary_relations(t).select(F.col("lhs").alias("src"), F.col("rhs").alias("dst"))
-    seeds = t.customer.where("c_custkey % 50 = 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"))
+    seeds = t.customer.where("c_acctbal < 0").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"))
     return graph.reachable(edges, seeds, nodes(t).where("from_lib"), undirected=True).select("node")
 
 
-@query(f"""WITH {EMB} SELECT vec_id, round(list_sum(v), 6) AS sum, round(list_avg(v), 6) AS mean, round(list_product(v), 9) AS prod, round(list_max(v), 6) AS max, round(list_min(v), 6) AS min,
+@query(f"""WITH {EMB} SELECT vec_id, round(list_sum(v), 6) AS sum, round(list_avg(v), 6) AS mean, round(log10(abs(list_product(v))), 5) AS prod_digits, round(list_max(v), 6) AS max, round(list_min(v), 6) AS min,
 (list_position(v, list_max(v)) - 1)::INT AS argmax, (list_position(v, list_min(v)) - 1)::INT AS argmin, round(list_avg(list_transform(v, lambda x: x * x)) - list_avg(v) * list_avg(v), 6) AS variance FROM emb""")
 def tensor_reductions(t: Tables) -> DataFrame:
     v = F.col("v")
     mean = V.total(v) / F.size(v)
     place = lambda x: (F.array_position(v, x) - 1).cast("int")
     prod = F.aggregate(v, F.lit(1.0), lambda a, x: a * x)
-    return head(t).select("vec_id", F.round(V.total(v), 6).alias("sum"), F.round(mean, 6).alias("mean"), F.round(prod, 9).alias("prod"), F.round(F.array_max(v), 6).alias("max"), F.round(F.array_min(v), 6).alias("min"), place(F.array_max(v)).alias("argmax"), place(F.array_min(v)).alias("argmin"), F.round(V.dot(v, v) / F.size(v) - mean * mean, 6).alias("variance"))
+    return whole(t).select("vec_id", F.round(V.total(v), 6).alias("sum"), F.round(mean, 6).alias("mean"), F.round(F.log10(F.abs(prod)), 5).alias("prod_digits"), F.round(F.array_max(v), 6).alias("max"), F.round(F.array_min(v), 6).alias("min"), place(F.array_max(v)).alias("argmax"), place(F.array_min(v)).alias("argmin"), F.round(V.dot(v, v) / F.size(v) - mean * mean, 6).alias("variance"))
 
 
-@query(f"""WITH {EMB} SELECT vec_id, (i - 1)::INT AS i, round(v[i] + v[9 - i], 6) AS plus, round(v[i] * v[9 - i], 6) AS times, round(greatest(v[i], v[9 - i]), 6) AS maximum, v[i] > v[9 - i] AS greater FROM emb, range(1, 9) r(i)""")
+@query(f"""WITH {EMB} SELECT vec_id, (i - 1)::INT AS i, round(v[i] + v[{DIM} + 1 - i], 6) AS plus, round(v[i] * v[{DIM} + 1 - i], 6) AS times, round(greatest(v[i], v[{DIM} + 1 - i]), 6) AS maximum, v[i] > v[{DIM} + 1 - i] AS greater FROM emb, range(1, {DIM} + 1) r(i)""")
 def tensor_binary(t: Tables) -> DataFrame:
     """Element-wise operations of a vector and its reverse."""
     pairs = F.zip_with("v", F.reverse("v"), lambda a, b: F.struct(F.round(a + b, 6).alias("plus"), F.round(a * b, 6).alias("times"), F.round(F.greatest(a, b), 6).alias("maximum"), (a > b).alias("greater")))
-    return head(t).select("vec_id", F.posexplode(pairs).alias("i", "p")).select("vec_id", "i", "p.*")
+    return whole(t).select("vec_id", F.posexplode(pairs).alias("i", "p")).select("vec_id", "i", "p.*")
 
 
-@query(f"""WITH {EMB}, x AS (SELECT vec_id, label, i, v[i + 1] AS a FROM emb, range(8) r(i)) SELECT x.i::INT AS i, y.i::INT AS j, round(sum(x.a * y.a), 5) AS dot FROM x JOIN x y USING (vec_id) GROUP BY 1, 2""")
+@query(f"""WITH {EMB}, x AS (SELECT vec_id, label, i, v[i + 1] AS a FROM emb, range({DIM}) r(i)) SELECT x.i::INT AS i, y.i::INT AS j, round(sum(x.a * y.a), 5) AS dot FROM x JOIN x y USING (vec_id) GROUP BY 1, 2""")
 def matrix_dot(t: Tables) -> DataFrame:
-    """A matrix times itself, transposed: joined on the inner dimension and summed."""
-    x = head(t).select("vec_id", F.posexplode("v").alias("i", "a"))
-    y = x.select("vec_id", F.col("i").alias("j"), F.col("a").alias("b"))
-    return x.join(y, "vec_id").groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("dot"))
+    """A matrix, transposed, times itself: outer products of rows where they lie, summed before the shuffle."""
+    x = whole(t).select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b"))
+    return x.groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("dot"))
 
 
-WEIGHTS = layers.seeded_weights("linear", 3, 8)
+WEIGHTS = layers.seeded_weights("linear", 3, DIM)
 
 
 @query(f"WITH {EMB} SELECT vec_id, " + ", ".join(f"round(0.1 + {' + '.join(f'v[{j + 1}] * ({w})::DOUBLE' for j, w in enumerate(row))}, 5) AS y{k}" for k, row in enumerate(WEIGHTS)) + " FROM emb")
 def linear_layer(t: Tables) -> DataFrame:
     y = layers.linear(F.col("v"), WEIGHTS, [0.1] * 3)
-    return head(t).select("vec_id", y.alias("y")).select("vec_id", *[F.round(F.element_at("y", k + 1), 5).alias(f"y{k}") for k in range(3)])
+    return whole(t).select("vec_id", y.alias("y")).select("vec_id", *[F.round(F.element_at("y", k + 1), 5).alias(f"y{k}") for k in range(3)])
 
 
 @query("""WITH m AS (SELECT avg(value) AS m, var_pop(value) AS v FROM events) SELECT event_id, round((value - m) / sqrt(v + 1e-5), 6) AS value FROM events, m""")
@@ -129,10 +128,10 @@ def batch_norm(t: Tables) -> DataFrame:
     return layers.batch_norm(t.events.select("event_id", "value"), "value").select("event_id", F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH {EMB} SELECT vec_id, (i - 1)::INT AS i, round(CASE WHEN ('0x' || substr(md5('1|' || vec_id || '|' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.9 THEN v[i] / 0.9 ELSE 0 END, 6) AS x FROM emb, range(1, 9) r(i)""")
+@query(f"""WITH {EMB} SELECT vec_id, (i - 1)::INT AS i, round(CASE WHEN ('0x' || substr(md5('1|' || vec_id || '|' || (i - 1)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.9 THEN v[i] / 0.9 ELSE 0 END, 6) AS x FROM emb, range(1, {DIM} + 1) r(i)""")
 def dropout(t: Tables) -> DataFrame:
     kept = layers.dropout(F.col("v"), F.col("vec_id"), 0.9)
-    return head(t).select("vec_id", F.posexplode(kept).alias("i", "x")).select("vec_id", "i", F.round("x", 6).alias("x"))
+    return elements(whole(t).select("vec_id", kept.alias("kept")), "kept", "vec_id", digits=6)
 
 
 @query("""WITH RECURSIVE c AS (SELECT conv_id, length(text) / 1000.0::DOUBLE AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
@@ -140,9 +139,53 @@ g AS (SELECT conv_id, 0::BIGINT AS i, 0.0::DOUBLE AS h FROM c WHERE i = 1 UNION
 (1 - 1 / (1 + exp(-(c.x * 0.5 + g.h * 0.3)))) * g.h + 1 / (1 + exp(-(c.x * 0.5 + g.h * 0.3))) * tanh(c.x * 0.8 + 1 / (1 + exp(-(c.x * -0.2 + g.h * 0.4))) * g.h * 0.6) FROM g JOIN c ON c.conv_id = g.conv_id AND c.i = g.i + 1)
 SELECT conv_id, round(arg_max(h, i), 6) AS state FROM g GROUP BY 1""")
 def gru_state(t: Tables) -> DataFrame:
-    rows = t.conversations.select("conv_id", "turn", (F.length("text") / 1000.0).alias("x"))
-    seq = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "x"))), lambda r: r["x"]).alias("xs"))
-    return seq.select("conv_id", F.round(layers.gru_fold(F.col("xs"), 0.5, 0.3, -0.2, 0.4, 0.8, 0.6), 6).alias("state"))
+    cell = layers.Gru({"wz": [[0.5]], "uz": [[0.3]], "wr": [[-0.2]], "ur": [[0.4]], "wh": [[0.8]], "uh": [[0.6]]})
+    return layers.recurrent(_turns(t), "conv_id", "turn", "x", cell).select("conv_id", F.round(F.col("state")[0], 6).alias("state"))
+
+
+def _turns(t: Tables) -> DataFrame:
+    """Turns of a conversation as vectors of one element: thousands of characters."""
+    return t.conversations.select("conv_id", "turn", F.array(F.length("text") / 1000.0).alias("x"))
+
+
+SIGMOID = "1 / (1 + exp(-({})))"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, length(text) / 1000.0::DOUBLE AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+g AS (SELECT conv_id, 0::BIGINT AS i, 0.0::DOUBLE AS h, 0.0::DOUBLE AS c FROM c WHERE i = 1 UNION ALL SELECT conv_id, i, o * tanh(c), c FROM (
+SELECT g.conv_id, c.i, {SIGMOID.format("c.x * 0.5 + g.h * 0.4")} AS o, {SIGMOID.format("c.x * 0.2 + g.h * 0.1 + 1")} * g.c + {SIGMOID.format("c.x * 0.7 - g.h * 0.3")} * tanh(c.x * 0.9 + g.h * 0.6) AS c FROM g JOIN c ON c.conv_id = g.conv_id AND c.i = g.i + 1))
+SELECT conv_id, round(arg_max(h, i), 6) AS state FROM g GROUP BY 1""")
+def lstm_state(t: Tables) -> DataFrame:
+    cell = layers.Lstm({"wi": [[0.7]], "ui": [[-0.3]], "wf": [[0.2]], "uf": [[0.1]], "wo": [[0.5]], "uo": [[0.4]], "wg": [[0.9]], "ug": [[0.6]]})
+    return layers.recurrent(_turns(t), "conv_id", "turn", "x", cell).select("conv_id", F.round(F.col("state")[0], 6).alias("state"))
+
+
+def _gru_sql(order: str) -> str:
+    return f"""SELECT conv_id, turn, x, row_number() OVER (PARTITION BY conv_id ORDER BY turn {order}) AS i FROM turns"""
+
+
+@query(f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, length(text) / 1000.0::DOUBLE AS x FROM conversations), a AS ({_gru_sql("")}), b AS ({_gru_sql("DESC")}),
+f AS (SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS i, 0.0::DOUBLE AS h FROM a WHERE i = 1 UNION ALL SELECT f.conv_id, a.turn, a.i, (1 - {SIGMOID.format("a.x * 0.5 + f.h * 0.3")}) * f.h + {SIGMOID.format("a.x * 0.5 + f.h * 0.3")} * tanh(a.x * 0.8 + {SIGMOID.format("a.x * -0.2 + f.h * 0.4")} * f.h * 0.6) FROM f JOIN a ON a.conv_id = f.conv_id AND a.i = f.i + 1),
+r AS (SELECT conv_id, 0::BIGINT AS turn, 0::BIGINT AS i, 0.0::DOUBLE AS h FROM b WHERE i = 1 UNION ALL SELECT r.conv_id, b.turn, b.i, (1 - {SIGMOID.format("b.x * 0.5 + r.h * 0.3")}) * r.h + {SIGMOID.format("b.x * 0.5 + r.h * 0.3")} * tanh(b.x * 0.8 + {SIGMOID.format("b.x * -0.2 + r.h * 0.4")} * r.h * 0.6) FROM r JOIN b ON b.conv_id = r.conv_id AND b.i = r.i + 1)
+SELECT f.conv_id, f.turn, round(f.h, 6) AS forward, round(r.h, 6) AS backward FROM f JOIN r ON f.conv_id = r.conv_id AND f.turn = r.turn WHERE f.i > 0 AND r.i > 0""")
+def bidirectional_gru(t: Tables) -> DataFrame:
+    weights = {"wz": [[0.5]], "uz": [[0.3]], "wr": [[-0.2]], "ur": [[0.4]], "wh": [[0.8]], "uh": [[0.6]]}
+    out = layers.bidirectional(_turns(t), "conv_id", "turn", "x", layers.Gru(weights), layers.Gru(weights))
+    return out.select("conv_id", "turn", F.round(F.col("state")[0], 6).alias("forward"), F.round(F.col("state")[1], 6).alias("backward"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT day(ts)::INT AS batch, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY batch) AS i FROM d),
+r AS (SELECT 0::INT AS batch, 0::BIGINT AS i, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS variance UNION ALL SELECT o.batch, o.i, mean * 0.9 + m * (1 - 0.9::DOUBLE), variance * 0.9 + v * (1 - 0.9::DOUBLE) FROM r JOIN o ON o.i = r.i + 1)
+SELECT batch, round(mean, 6) AS mean, round(variance, 4) AS variance FROM r WHERE i > 0""")
+def batch_norm_moments(t: Tables) -> DataFrame:
+    """Moving moments over days as batches."""
+    rows = t.events.select(F.dayofmonth("ts").alias("batch"), "value")
+    return layers.running_moments(rows, "batch", "value").select("batch", F.round("mean", 6).alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+@query("""SELECT p_partkey, i::INT AS i, round(CASE WHEN i % 2 = 0 THEN sin((p_size - 1) / pow(10000.0, (i - i % 2) / 8.0::DOUBLE)) ELSE cos((p_size - 1) / pow(10000.0, (i - i % 2) / 8.0::DOUBLE)) END, 6) AS x FROM part, range(8) r(i)""")
+def position_encoding(t: Tables) -> DataFrame:
+    return elements(t.part.select("p_partkey", layers.encode_position(F.col("p_size") - 1, 8).alias("v")), "v", "p_partkey", digits=6)
 
 
 @query("""WITH c AS (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_returnflag)::INT AS rank FROM c) SELECT l_suppkey, l_returnflag, n, rank FROM r""")
@@ -191,12 +234,12 @@ def dependencies_available(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey").distinct().join(missing, "l_orderkey", "left_anti")
 
 
-@query(f"""WITH {EMB}, e AS (SELECT vec_id % 100 AS grp, i, exp(v[i + 1] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS p FROM emb, range(8) r(i)),
+@query(f"""WITH {EMB}, e AS (SELECT vec_id % 100 AS grp, i, exp(v[i + 1] - list_max(v)) / list_sum(list_transform(v, lambda x: exp(x - list_max(v)))) AS p FROM emb, range({DIM}) r(i)),
 s AS (SELECT grp, i, round(sum(p), 6) AS p FROM e GROUP BY 1, 2) SELECT grp, arg_max(i, (p, -i))::INT AS cls FROM s GROUP BY 1""")
 def grouped_accuracy_argmax(t: Tables) -> DataFrame:
     """Class of a group of rows: their softmax rows summed, then the best."""
     top = F.array_max("v")
     e = F.transform("v", lambda x: F.exp(x - top))
-    rows = head(t).select((F.col("vec_id") % 100).alias("grp"), e.alias("e")).select("grp", F.posexplode(F.transform("e", lambda x: x / V.total(F.col("e")))).alias("i", "p"))
+    rows = whole(t).select((F.col("vec_id") % 100).alias("grp"), e.alias("e")).select("grp", F.posexplode(F.transform("e", lambda x: x / V.total(F.col("e")))).alias("i", "p"))
     sums = rows.groupBy("grp", "i").agg(F.round(F.sum("p"), 6).alias("p"))
     return sums.groupBy("grp").agg(F.max_by("i", F.struct("p", -F.col("i"))).alias("cls"))

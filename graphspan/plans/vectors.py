@@ -7,42 +7,50 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vectors as V
-from ..operators.messages import adam_fold, attention, residual_update
+from ..operators.graph import small
+from ..operators.messages import attention, residual
+from ..operators.order import adam_moves, in_ranges
 from ..operators.ranking import best, top_n
 from ..sources.tables import Tables
 from .registry import query
 
-#: Sums of eight elements, in order, so that both engines add alike.
-EMB = """emb AS (SELECT vec_id, label, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v FROM embeddings)"""
-LOGITS = f"""{EMB}, logits AS (SELECT vec_id, label, i::INT AS candidate, v[i + 1] AS logit FROM emb, range(8) r(i))"""
+#: Elements of a vector in the tables; only the SQL needs it.
+DIM = 64
+EMB = """emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"""
+LOGITS = f"""{EMB}, logits AS (SELECT vec_id, label, i::INT AS candidate, v[i + 1] AS logit FROM emb, range({DIM}) r(i))"""
 
 
-def head(t: Tables) -> DataFrame:
-    """vec_id, label, v: the first eight elements as doubles."""
-    return t.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("v"))
+def whole(t: Tables) -> DataFrame:
+    """vec_id, label, v: all elements as doubles."""
+    return t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
+def elements(rows: DataFrame, vector: str, *keys: str, digits: int = 5) -> DataFrame:
+    """keys, i, x: a row for each element, rounded."""
+    return rows.select(*keys, F.posexplode(vector).alias("i", "x")).select(*keys, "i", F.round("x", digits).alias("x"))
 
 
 def logits(t: Tables) -> DataFrame:
-    return head(t).select("vec_id", "label", F.posexplode("v").alias("candidate", "logit"))
+    return whole(t).select("vec_id", "label", F.posexplode("v").alias("candidate", "logit"))
 
 
 @query(f"WITH {EMB} SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS self_dot, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM emb")
 def l2_norm(t: Tables) -> DataFrame:
-    return head(t).select("vec_id", F.round(V.dot(F.col("v"), F.col("v")), 6).alias("self_dot"), F.round(V.norm(F.col("v")), 6).alias("norm"))
+    return whole(t).select("vec_id", F.round(V.dot(F.col("v"), F.col("v")), 6).alias("self_dot"), F.round(V.norm(F.col("v")), 6).alias("norm"))
 
 
-CENTROIDS = f"""{EMB}, parts AS (SELECT label, i, avg(v[i + 1]) AS x FROM emb, range(8) r(i) GROUP BY 1, 2), cent AS (SELECT label AS cls, list(x ORDER BY i) AS c FROM parts GROUP BY 1)"""
+CENTROIDS = f"""{EMB}, parts AS (SELECT label, i, avg(v[i + 1]) AS x FROM emb, range({DIM}) r(i) GROUP BY 1, 2), cent AS (SELECT label AS cls, list(x ORDER BY i) AS c FROM parts GROUP BY 1)"""
 
 
 def centroids(t: Tables) -> DataFrame:
-    return V.sum_vectors(head(t), ["label"], "v", "c", mean=True).withColumnRenamed("label", "cls")
+    return V.sum_vectors(whole(t), ["label"], "v", "c", mean=True).withColumnRenamed("label", "cls")
 
 
-@query(f"""WITH {CENTROIDS} SELECT vec_id, cls, round(list_sum(list_transform(range(1, 9), lambda i: v[i] * c[i])), 5) AS dot,
-round(list_sum(list_transform(range(1, 9), lambda i: v[i] * c[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 5) AS cosine FROM emb, cent""")
+@query(f"""WITH {CENTROIDS} SELECT vec_id, cls, round(list_sum(list_transform(range(1, {DIM} + 1), lambda i: v[i] * c[i])), 5) AS dot,
+round(list_sum(list_transform(range(1, {DIM} + 1), lambda i: v[i] * c[i])) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(c, lambda x: x * x)))), 5) AS cosine FROM emb, cent""")
 def similarity_decode(t: Tables) -> DataFrame:
     """Every vector against the centroid of every class; there is one centroid per label."""
-    rows = head(t).join(F.broadcast(centroids(t)))
+    rows = whole(t).join(small(centroids(t)))
     return rows.select("vec_id", "cls", F.round(V.dot(F.col("v"), F.col("c")), 5).alias("dot"), F.round(V.cosine(F.col("v"), F.col("c")), 5).alias("cosine"))
 
 
@@ -56,36 +64,39 @@ def argmax_predictions(t: Tables) -> DataFrame:
     return best(logits(t), ["vec_id"], "logit", "candidate")
 
 
-@query(f"WITH {LOGITS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, candidate)::INT AS rank FROM logits) SELECT vec_id, rank AS position FROM r WHERE candidate = label % 8")
+@query(f"WITH {LOGITS}, r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, candidate)::INT AS rank FROM logits) SELECT vec_id, rank AS position FROM r WHERE candidate = label")
 def truth_position(t: Tables) -> DataFrame:
     """Rank of the truth among all candidates."""
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("logit"), "candidate"))
-    return logits(t).withColumn("position", rank).where(F.col("candidate") == F.col("label") % 8).select("vec_id", "position")
+    return logits(t).withColumn("position", rank).where(F.col("candidate") == F.col("label")).select("vec_id", "position")
 
 
-@query(f"WITH {EMB} SELECT vec_id, CASE WHEN v[1] > 0 THEN list_position(v[2:4], list_max(v[2:4])) - 1 ELSE list_position(v[5:8], list_max(v[5:8])) - 1 + 3 END::INT AS predicted FROM emb")
+@query(f"WITH {EMB}, s AS (SELECT vec_id, v[1] AS gate, v[2:len(v) // 2] AS lib, v[len(v) // 2 + 1:] AS proj FROM emb) SELECT vec_id, CASE WHEN gate > 0 THEN list_position(lib, list_max(lib)) - 1 ELSE list_position(proj, list_max(proj)) - 1 + len(lib) END::INT AS predicted FROM s")
 def two_stage_predictions(t: Tables) -> DataFrame:
-    """The first logit decides between three library and four project candidates."""
-    v = F.col("v")
-    part = lambda at, n: (F.array_position(F.slice(v, at, n), F.array_max(F.slice(v, at, n))) - 1).cast("int")
-    return head(t).select("vec_id", F.when(F.element_at(v, 1) > 0, part(2, 3)).otherwise(part(5, 4) + 3).alias("predicted"))
+    """The first logit decides between library candidates, the rest of the first half, and project candidates, the second half."""
+    v, half = F.col("v"), F.floor(F.size("v") / 2).cast("int")
+    place = lambda part: (F.array_position(part, F.array_max(part)) - 1).cast("int")
+    lib, proj = F.slice(v, F.lit(2), half - 1), F.slice(v, half + 1, F.size("v") - half)
+    return whole(t).select("vec_id", F.when(F.element_at(v, 1) > 0, place(lib)).otherwise(place(proj) + half - 1).alias("predicted"))
 
 
-@query(f"WITH {EMB} SELECT vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) + list_max(v) - v[label % 8 + 1], 6) AS loss FROM emb")
+@query(f"WITH {EMB} SELECT vec_id, round(ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) + list_max(v) - v[label + 1], 6) AS loss FROM emb")
 def cross_entropy_softmax(t: Tables) -> DataFrame:
-    return head(t).select("vec_id", F.round(V.cross_entropy_softmax(F.col("v"), F.col("label") % 8), 6).alias("loss"))
+    return whole(t).select("vec_id", F.round(V.cross_entropy_softmax(F.col("v"), F.col("label")), 6).alias("loss"))
 
 
-@query(f"WITH {EMB}, z AS (SELECT vec_id, v[1] AS z, (label % 2)::DOUBLE AS t FROM emb) SELECT vec_id, round(ln(1 + exp(-z)) * t + (1 - t) * (z + ln(1 + exp(-z))), 6) AS loss FROM z")
+@query(f"WITH {EMB} SELECT vec_id, round(list_avg(list_transform(v, lambda z: ln(1 + exp(-z)) * (label % 2)::DOUBLE + (1 - (label % 2)::DOUBLE) * (z + ln(1 + exp(-z))))), 6) AS loss FROM emb")
 def cross_entropy_sigmoid(t: Tables) -> DataFrame:
-    return head(t).select("vec_id", F.round(V.cross_entropy_sigmoid(F.element_at("v", 1), (F.col("label") % 2).cast("double")), 6).alias("loss"))
+    """Mean over all elements, as logits of the same truth."""
+    losses = F.transform("v", lambda z: V.cross_entropy_sigmoid(z, (F.col("label") % 2).cast("double")))
+    return whole(t).select("vec_id", F.round(V.total(losses) / F.size("v"), 6).alias("loss"))
 
 
-@query(f"WITH {EMB}, l AS (SELECT label, ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) + list_max(v) - v[label % 8 + 1] AS loss FROM emb) SELECT label, round(ln(avg(exp(loss))), 5) AS sum_loss, round(avg(loss), 5) AS product_loss FROM l GROUP BY 1")
+@query(f"WITH {EMB}, l AS (SELECT label, ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) + list_max(v) - v[label + 1] AS loss FROM emb) SELECT label, round(ln(avg(exp(loss))), 5) AS sum_loss, round(avg(loss), 5) AS product_loss FROM l GROUP BY 1")
 def loss_sum_product(t: Tables) -> DataFrame:
     """Losses of a group by log-mean-exp and by mean."""
-    loss = V.cross_entropy_softmax(F.col("v"), F.col("label") % 8)
-    return head(t).select("label", loss.alias("loss")).groupBy("label").agg(F.round(F.log(F.avg(F.exp("loss"))), 5).alias("sum_loss"), F.round(F.avg("loss"), 5).alias("product_loss"))
+    loss = V.cross_entropy_softmax(F.col("v"), F.col("label"))
+    return whole(t).select("label", loss.alias("loss")).groupBy("label").agg(F.round(F.log(F.avg(F.exp("loss"))), 5).alias("sum_loss"), F.round(F.avg("loss"), 5).alias("product_loss"))
 
 
 @query(f"WITH {EMB} SELECT vec_id, list_transform(range(10), lambda k: CASE WHEN k = label THEN 1.0::DOUBLE ELSE 0.0 END)::VARCHAR AS code FROM emb")
@@ -94,56 +105,55 @@ def one_hot(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.concat(F.lit("["), F.array_join(code, ", "), F.lit("]")).alias("code"))
 
 
-@query(f"WITH {EMB}, n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM emb) SELECT vec_id, round(CASE WHEN n > 0.3 THEN v[1] * 0.3 / n ELSE v[1] END, 6) AS first, round(CASE WHEN n > 0.3 THEN 0.3 ELSE n END, 6) AS norm FROM n")
+@query(f"WITH {EMB}, n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM emb) SELECT vec_id, (i - 1)::INT AS i, round(CASE WHEN n > 0.3 THEN v[i] * 0.3 / n ELSE v[i] END, 5) AS x FROM n, range(1, {DIM} + 1) r(i)")
 def clip_norm(t: Tables) -> DataFrame:
-    c = V.clip_norm(F.col("v"), 0.3)
-    return head(t).select("vec_id", c.alias("c")).select("vec_id", F.round(F.element_at("c", 1), 6).alias("first"), F.round(V.norm(F.col("c")), 6).alias("norm"))
+    return elements(whole(t).select("vec_id", V.clip_norm(F.col("v"), 0.3).alias("c")), "c", "vec_id")
 
 
-@query(f"WITH {EMB} SELECT vec_id, round(greatest(v[1], 0), 6) AS relu, round(CASE WHEN v[1] > 0 THEN v[1] ELSE v[1] * 0.2 END, 6) AS leaky, round(1 / (1 + exp(-v[1])), 6) AS sigmoid, round(tanh(v[1]), 6) AS tanh, round(ln(1 + exp(v[1])), 6) AS softplus, round(v[1] * v[1], 6) AS square FROM emb")
+@query(f"WITH {EMB}, e AS (SELECT vec_id, i::INT AS i, v[i + 1] AS x FROM emb, range({DIM}) r(i)) SELECT vec_id, i, round(greatest(x, 0), 6) AS relu, round(CASE WHEN x > 0 THEN x ELSE x * 0.2 END, 6) AS leaky, round(1 / (1 + exp(-x)), 6) AS sigmoid, round(tanh(x), 6) AS tanh, round(ln(1 + exp(x)), 6) AS softplus, round(x * x, 6) AS square, round(x * x * x, 6) AS cubic FROM e")
 def activations(t: Tables) -> DataFrame:
-    x = F.element_at("v", 1)
-    return head(t).select("vec_id", *[F.round(c, 6).alias(n) for n, c in (("relu", V.relu(x)), ("leaky", V.leaky_relu(x)), ("sigmoid", V.sigmoid(x)), ("tanh", F.tanh(x)), ("softplus", F.log(1 + F.exp(x))), ("square", x * x))])
+    x = F.col("x")
+    rows = whole(t).select("vec_id", F.posexplode("v").alias("i", "x"))
+    return rows.select("vec_id", "i", *[F.round(c, 6).alias(n) for n, c in (("relu", V.relu(x)), ("leaky", V.leaky_relu(x)), ("sigmoid", V.sigmoid(x)), ("tanh", F.tanh(x)), ("softplus", F.log(1 + F.exp(x))), ("square", x * x), ("cubic", x * x * x))])
 
 
 def _labelled_messages(t: Tables) -> DataFrame:
     """Each vector sends itself to its label, which asks with the centroid."""
-    return head(t).select(F.col("label").alias("dst"), F.col("v").alias("value")).join(F.broadcast(centroids(t).select(F.col("cls").alias("dst"), F.col("c").alias("query"))), "dst")
+    return whole(t).select(F.col("label").alias("dst"), F.col("v").alias("value")).join(small(centroids(t).select(F.col("cls").alias("dst"), F.col("c").alias("query"))), "dst")
 
 
-ATTENTION = f"""{CENTROIDS}, scored AS (SELECT label AS dst, v, list_sum(list_transform(range(1, 9), lambda i: v[i] * c[i])) AS d FROM emb JOIN cent ON label = cls),
+ATTENTION = f"""{CENTROIDS}, scored AS (SELECT label AS dst, v, list_sum(list_transform(range(1, {DIM} + 1), lambda i: v[i] * c[i])) AS d FROM emb JOIN cent ON label = cls),
 leaky AS (SELECT dst, v, CASE WHEN d > 0 THEN d ELSE d * 0.2 END AS s FROM scored), e AS (SELECT dst, v, exp(s - max(s) OVER (PARTITION BY dst)) AS e FROM leaky),
-a AS (SELECT dst, v, e / sum(e) OVER (PARTITION BY dst) AS alpha FROM e), att AS (SELECT dst, i, sum(v[i + 1] * alpha) AS x FROM a, range(8) r(i) GROUP BY 1, 2)"""
+a AS (SELECT dst, v, e / sum(e) OVER (PARTITION BY dst) AS alpha FROM e), att AS (SELECT dst, i, sum(v[i + 1] * alpha) AS x FROM a, range({DIM}) r(i) GROUP BY 1, 2)"""
 
 
 @query(f"WITH {ATTENTION} SELECT dst, i::INT AS i, round(x, 5) AS x FROM att")
 def segment_attention(t: Tables) -> DataFrame:
-    return attention(_labelled_messages(t)).select("dst", F.posexplode("vec").alias("i", "x")).select("dst", "i", F.round("x", 5).alias("x"))
+    return elements(attention(_labelled_messages(t)), "vec", "dst")
 
 
-@query(f"WITH {CENTROIDS} SELECT cls, (i - 1)::INT AS i, round(c[i], 5) AS x FROM cent, range(1, 9) r(i)")
+@query(f"WITH {CENTROIDS} SELECT cls, (i - 1)::INT AS i, round(c[i], 5) AS x FROM cent, range(1, {DIM} + 1) r(i)")
 def mean_merge(t: Tables) -> DataFrame:
-    return centroids(t).select("cls", F.posexplode("c").alias("i", "x")).select("cls", "i", F.round("x", 5).alias("x"))
+    return elements(centroids(t), "c", "cls")
 
 
-@query(f"WITH {ATTENTION} SELECT vec_id, round(v[1] + x * 0.5, 5) AS first FROM emb JOIN att ON label = dst AND i = 0")
+@query(f"WITH {ATTENTION} SELECT vec_id, i::INT AS i, round(v[i + 1] + x * 0.5, 5) AS x FROM emb JOIN att ON label = dst")
 def residual_step(t: Tables) -> DataFrame:
     """Embeddings plus half of what their label has gathered."""
-    merged = attention(_labelled_messages(t))
-    out = residual_update(head(t).select(F.col("label").alias("node"), "v", "vec_id").select("node", F.col("v").alias("vec"), "vec_id").join(F.broadcast(merged.select(F.col("dst").alias("node"), F.col("vec").alias("message"))), "node", "left").select("vec_id", F.zip_with("vec", "message", lambda a, b: a + b * 0.5).alias("vec")).withColumnRenamed("vec_id", "node"), merged.where("false"))
-    return out.select(F.col("node").alias("vec_id"), F.round(F.element_at("vec", 1), 5).alias("first"))
+    merged = attention(_labelled_messages(t)).select(F.col("dst").alias("label"), F.col("vec").alias("message"))
+    rows = whole(t).join(small(merged), "label", "left")
+    return elements(rows.select("vec_id", residual(F.col("v"), F.col("message"), 0.5).alias("vec")), "vec", "vec_id")
 
 
-@query("""WITH RECURSIVE g AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) <= 20),
+@query("""WITH RECURSIVE g AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
 s AS (SELECT event_type, 0::BIGINT AS i, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v, 0.0::DOUBLE AS x FROM g WHERE i = 1 UNION ALL
 SELECT s.event_type, g.i, s.m * 0.9 + g.value * (1 - 0.9::DOUBLE), s.v * 0.999 + g.value * g.value * (1 - 0.999::DOUBLE),
 s.x - 0.001 * ((s.m * 0.9 + g.value * (1 - 0.9::DOUBLE)) / (1 - pow(0.9::DOUBLE, g.i))) / (sqrt((s.v * 0.999 + g.value * g.value * (1 - 0.999::DOUBLE)) / (1 - pow(0.999::DOUBLE, g.i))) + 1e-8) FROM s JOIN g ON g.event_type = s.event_type AND g.i = s.i + 1)
 SELECT event_type, round(arg_max(x, i), 6) AS moved FROM s GROUP BY 1""")
 def adam_step(t: Tables) -> DataFrame:
-    """Change of a parameter after 20 Adam steps, the gradients being the first events of each type."""
-    first = t.events.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))).where("i <= 20")
-    ordered = first.groupBy("event_type").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "value"))), lambda x: x["value"]).alias("g"))
-    return ordered.select("event_type", F.round(adam_fold(F.col("g"), 0.001), 6).alias("moved"))
+    """Change of a parameter by Adam steps over all events of each type, in order, their values being the gradients."""
+    pieces = in_ranges(t.events.select("event_type", "ts", "event_id", "value"), "event_type", "ts", "event_id")
+    return adam_moves(pieces, "event_type", "value", "string", 0.001).select("event_type", F.round("moved", 6).alias("moved"))
 
 
 @query("""SELECT event_type, round(-0.01 * sum(value), 3) AS moved, round(sqrt(sum(value * value) / count(*)), 5) AS grad_norm FROM events GROUP BY 1""")
@@ -174,7 +184,8 @@ def format_time(t: Tables) -> DataFrame:
     return t.events.select("event_id", S.pretty_time(F.round(F.col("value") * 1e9).cast("bigint")).alias("text"))
 
 
-@query("""SELECT conv_id, turn, format('({},{})-({},{})', turn, 1, turn, length(split_part(text, chr(10), 1))) AS span FROM conversations""")
+@query("""SELECT conv_id, turn, format('({},{})-({},{})', 1, 1, len(string_split(text, chr(10))), length(string_split(text, chr(10))[-1]) + 1) AS span FROM conversations""")
 def span_text(t: Tables) -> DataFrame:
-    line = F.element_at(F.split("text", "\n"), 1)
-    return t.conversations.select("conv_id", "turn", F.format_string("(%d,%d)-(%d,%d)", F.col("turn"), F.lit(1), F.col("turn"), F.length(line)).alias("span"))
+    """The span of a whole text, from one, as (line,column)-(line,column)."""
+    lines = F.split("text", "\n", -1)
+    return t.conversations.select("conv_id", "turn", F.format_string("(%d,%d)-(%d,%d)", F.lit(1), F.lit(1), F.size(lines), F.length(F.element_at(lines, -1)) + 1).alias("span"))
