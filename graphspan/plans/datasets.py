@@ -116,16 +116,19 @@ def assignment_diff(t: Tables) -> DataFrame:
     return t.lineitem.where(F.col("l_returnflag") != pred).select(F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("node"), F.col("l_returnflag").alias("gold"), pred.alias("pred"))
 
 
-@query(f"""WITH {PROPOSALS}, a AS (SELECT * FROM prop WHERE node = 1), b AS (SELECT * FROM prop WHERE node = 2), c AS (SELECT a.project, a.ty AS ty1, t.ty AS ty2, -ln(a.prob) - ln(b.prob) + CASE WHEN t.ty = b.ty THEN 0 ELSE 1 END AS cost FROM a JOIN b USING (project) CROSS JOIN (VALUES ('A'), ('N'), ('R')) t(ty)),
-r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY round(cost, 9), ty2, ty1)::INT AS rank FROM c) SELECT project, ty1, ty2, rank FROM r WHERE rank <= 2""")
+@query("""WITH RECURSIVE nd AS (SELECT l_orderkey AS project, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_quantity)::INT AS i, l_returnflag AS own, (1 + l_quantity) / (3 + l_quantity) AS p, 1 / (3 + l_quantity) AS q FROM lineitem),
+bm AS (SELECT DISTINCT project, 0 AS i, '' AS path, 0.0::DOUBLE AS cost FROM nd UNION ALL SELECT project, i, path, cost FROM (
+SELECT b.project, n.i, b.path || t.ty AS path, round(b.cost - ln(CASE WHEN n.own = t.ty THEN n.p ELSE n.q END) + CASE WHEN b.path = '' OR b.path[-1] = t.ty THEN 0 ELSE 0.5 END, 9) AS cost,
+row_number() OVER (PARTITION BY b.project ORDER BY round(b.cost - ln(CASE WHEN n.own = t.ty THEN n.p ELSE n.q END) + CASE WHEN b.path = '' OR b.path[-1] = t.ty THEN 0 ELSE 0.5 END, 9), b.path || t.ty) AS r
+FROM bm b JOIN nd n ON n.project = b.project AND n.i = b.i + 1 CROSS JOIN (VALUES ('A'), ('N'), ('R')) t(ty)) WHERE r <= 2),
+last AS (SELECT project, max(i) AS top FROM nd GROUP BY 1)
+SELECT bm.project, row_number() OVER (PARTITION BY bm.project ORDER BY cost, path)::INT AS rank, path, round(cost, 6) AS cost FROM bm JOIN last ON bm.project = last.project AND i = top""")
 def beam_topk(t: Tables) -> DataFrame:
-    """One step of a beam search of width 2: the first node's type with every type of the second."""
-    p = _proposals(t)
-    a = p.where("node = 1").select("project", F.col("ty").alias("ty1"), F.col("prob").alias("p1"))
-    b = p.where("node = 2").select("project", F.col("ty").alias("own"), F.col("prob").alias("p2"))
-    c = a.join(b, "project").withColumn("ty2", F.explode(F.array(*[F.lit(x) for x in "ANR"])))
-    c = c.withColumn("cost", -F.log("p1") - F.log("p2") + F.when(F.col("ty2") == F.col("own"), 0.0).otherwise(1.0))
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.round("cost", 9), "ty2", "ty1"))).where("rank <= 2").select("project", "ty1", "ty2", "rank")
+    """A beam of width 2 over all lines of an order; neighbours of different types cost half a unit."""
+    node = F.struct("l_linenumber", "l_partkey", F.col("l_returnflag").alias("own"), ((1 + F.col("l_quantity")) / (3 + F.col("l_quantity"))).alias("p"), (1 / (3 + F.col("l_quantity"))).alias("q"))
+    chains = t.lineitem.groupBy(F.col("l_orderkey").alias("project")).agg(F.sort_array(F.collect_list(node)).alias("nodes"))
+    beams = chains.select("project", F.posexplode(search.chain_beam(F.col("nodes"), ["A", "N", "R"], 2, 0.5)).alias("at", "b"))
+    return beams.select("project", (F.col("at") + 1).alias("rank"), "b.path", F.round("b.cost", 6).alias("cost"))
 
 
 def _bad_pairs(t: Tables) -> DataFrame:
@@ -163,6 +166,39 @@ def ce_search(t: Tables) -> DataFrame:
     return search.cross_entropy_search(*_search_input(t))
 
 
+@query()
+def anneal_log(t: Tables) -> DataFrame:
+    """Every epoch of a search with weighted neighbours, corrections and reboots."""
+    return search.anneal_trace(*_search_input(t), neighbour="weighted", correction="weighted", reboot=True, epochs=100)
+
+
+@query()
+def ce_log(t: Tables) -> DataFrame:
+    return search.cross_entropy_trace(*_search_input(t))
+
+
+@query()
+def beam_search(t: Tables) -> DataFrame:
+    """Whole assignments of projects, by a beam under the constraints."""
+    return search.beam_search(*_search_input(t), width=3)
+
+
+@query()
+def sampled_assignments(t: Tables) -> DataFrame:
+    return search.sampled_assignments(*_search_input(t), samples=3)
+
+
+COVER = {1: 4.0, 2: 3.0, 3: 5.0, 4: 3.0}
+COVER_PAIRS = [(1, 2), (1, 4), (4, 3), (1, 3), (2, 3)]
+
+
+@query("""SELECT node, left_over, left_over = 0 AS covered FROM (VALUES (1, 0.0::DOUBLE), (2, 0.0::DOUBLE), (3, 3.0::DOUBLE), (4, 0.0::DOUBLE)) v(node, left_over)""")
+def weighted_cover(t: Tables) -> DataFrame:
+    """The pricing method on a small graph: what is left of each node's cost."""
+    cover, left = search.weighted_patch_any(COVER, COVER_PAIRS)
+    return t.spark.createDataFrame([(n, c, n in cover) for n, c in sorted(left.items())], "node int, left_over double, covered boolean")
+
+
 @query("""WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT pos::INT AS pos, count(*) AS batch_size FROM s, LATERAL (SELECT unnest(range(n)) AS pos) GROUP BY 1""")
 def sequence_batches(t: Tables) -> DataFrame:
     return dataset.position_batches(t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "n")

@@ -2,7 +2,7 @@ import math
 
 import pandas as pd
 from graphspan.functions import names, scalars, vectors
-from graphspan.operators import dataset, graph, messages, ranking, search, types
+from graphspan.operators import order, dataset, graph, messages, ranking, search, types
 from graphspan.sources import json_ast
 from pyspark.sql import functions as F
 
@@ -99,7 +99,7 @@ def test_patch_any_covers_all_pairs(spark):
     rows = spark.createDataFrame([("p", a, b) for a, b in pairs], "project string, a bigint, b bigint")
     cover = {r.node for r in search.patch_any(rows).collect()}
     assert all(a in cover or b in cover for a, b in pairs)
-    weighted = search.weighted_patch_any({1: 4.0, 2: 3.0, 3: 5.0, 4: 3.0}, [(1, 2), (1, 4), (4, 3), (1, 3), (2, 3)])
+    weighted, left = search.weighted_patch_any({1: 4.0, 2: 3.0, 3: 5.0, 4: 3.0}, [(1, 2), (1, 4), (4, 3), (1, 3), (2, 3)])
     assert all(a in weighted or b in weighted for a, b in pairs)
 
 
@@ -116,6 +116,58 @@ def test_searches_agree_and_repeat(spark):
     assert len(agreement(spark, search.cross_entropy_search)) == 1
 
 
+def project_of(seed, nodes=5):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(seed)
+    rows = [(n, t, rng.random()) for n in range(nodes) for t in ("A", "B", "any")]
+    total = {n: sum(p for m, _, p in rows if m == n) for n in range(nodes)}
+    proposals = pd.DataFrame([(n, t, p / total[n]) for n, t, p in rows], columns=["node", "type_id", "prob"])
+    bonds = pd.DataFrame([(a, b) for a in range(nodes) for b in range(nodes) if a != b and rng.random() < 0.4], columns=["a", "b"])
+    return search.Project(proposals, bonds, frozenset({("A", "B")}))
+
+
+def test_searches_against_all_assignments():
+    """Corrections leave nothing violated, and searches come to the best of all assignments."""
+    import itertools
+
+    import numpy as np
+
+    for seed in range(12):
+        p = project_of(seed)
+        every = [dict(zip(p.nodes, ts, strict=True)) for ts in itertools.product("A B any".split(), repeat=len(p.nodes))]
+        least = min(map(p.cost, every))
+        rng = np.random.default_rng(seed)
+        for neighbour, correction, reboot in (("one", "none", False), ("weighted", "any", True), ("wrong_first", "weighted", False), ("one", "local", True)):
+            state, trace = p.anneal(rng, 400, 1.0, neighbour, correction, reboot)
+            assert len(trace) == 400 and all(a[2] >= b[2] for a, b in itertools.pairwise(trace))
+            assert p.cost(state) <= min(p.cost(p.corrected(p.likeliest(), correction)), trace[0][2]) + 1e-9
+            if correction in ("any", "weighted"):
+                assert not p.violated(p.corrected(p.likeliest(), correction))
+        assert abs(p.cost(p.beam(300)[0]) - least) < 1e-9 or not p.violated(p.beam(300)[0])
+        drawn = [p.sample(rng, p.prob) for _ in range(30)]
+        assert not any(p.violated(s) for s in drawn)
+        best, rounds = p.cross_entropy(rng, 20, 60, 6, 0.5, 4)
+        assert p.cost(best) <= min(map(p.cost, drawn)) * 1.2 + 1e-9 and rounds[-1][3] <= rounds[0][3]
+
+
+def test_neighbours_change_one_node_and_weigh_the_way_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = project_of(3)
+    for kind in ("one", "weighted", "wrong_first"):
+        for _ in range(200):
+            state = p.likeliest()
+            node, t, ratio = p.neighbour(rng, state, kind)
+            assert t != state[node] and t in p.prob[node]
+            if kind == "weighted":
+                old, new = p.prob[node][state[node]], p.prob[node][t]
+                assert abs(ratio - (old / (1 - new)) / (new / (1 - old))) < 1e-9
+
+
 def test_sampling_by_weight(spark):
     items = spark.createDataFrame([("k", 1, 0.1), ("k", 2, 0.4), ("k", 3, 0.3), ("k", 4, 0.1)], "k string, i int, w double")
     pick = lambda p: ranking.sample_by_weight(items, ["k"], "i", "w", F.lit(p)).first().i
@@ -135,7 +187,8 @@ def test_messages_have_no_self_loops_and_no_library_pairs(spark):
 
 
 def test_adam(spark):
-    got = spark.createDataFrame([([1.0, -0.5, 2.0],)], "g array<double>").select(messages.adam_fold(F.col("g"), 0.1).alias("x")).first().x
+    rows = spark.createDataFrame([("k", i, g) for i, g in enumerate([1.0, -0.5, 2.0])], "k string, i int, g double")
+    got = order.adam_moves(order.in_ranges(rows, "k", "i"), "k", "g", "string", 0.1).first().moved
     m = v = x = 0.0
     for t, g in enumerate([1.0, -0.5, 2.0], 1):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
