@@ -1,32 +1,39 @@
 """Document fingerprints: I-Match over randomised lexicon subsets.
 
-The lexicon has the terms within a band of inverse document frequency.  Terms
-are counted by one of 2**18 hash cells, so the lexicon has a fixed size and can
-be a literal in the plan however large the vocabulary is; terms that share a
-cell share its document frequency.  A document keeps the distinct terms of the
-band; each of SUBSETS random subsets of the lexicon sorts those of its terms and
-hashes them.  Subsets thin out with the length of the text, by powers of two, so
-that each keeps about one term of a document and survives small edits.  The
-hashes at the next power are kept as well, and two texts are compared at a power
-that both have, so a copy on the other side of a boundary stays alike.  All is
-DataFrame functions: no Python on the executors.
+The lexicon has the terms within a band of inverse document frequency.  Document
+frequencies are counted exactly, term by term, and terms are joined to the band.
+As the band has a lower end, relative to the number of documents, its size has a
+bound that does not grow with them: terms per document over that end.
+
+A document keeps the distinct terms of the band; each of SUBSETS random subsets
+of the lexicon sorts those of its terms and hashes them.  Subsets thin out with
+the length of the text, by powers of two, so that each keeps about one term of a
+document and survives small edits.  The hashes at the next power are kept as
+well, and two texts are compared at a power that both have, so a copy on the
+other side of a boundary stays alike.  All is DataFrame functions: no Python on
+the executors.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1 << 18
+from .common import cut, likely_in, small
+
 SUBSETS = 64
 #: Code points per document for which a subset of the lexicon is a 64th part.
-CHARS_PER_LEVEL = 1024
+CHARS_PER_LEVEL = 512
 #: Band of document frequency as a share of all documents; a term of one document only is out, too.
-BAND = (0.0, 0.02)
+BAND = (1e-4, 0.02)
+#: The band is broadcast up to so many terms, else joined by shuffling terms.
+BAND_ROWS = 2_000_000
 #: Marks a subset in which a document has no term.
 NONE = "-"
-#: Documents of one ordered run; what a task sorts.
-RUN = 500
+#: Documents of one ordered run, what a task sorts; and runs at most, beyond which runs get longer (sorts spill).
+RUN, MOST_RUNS = 500, 100_000
 
 
 def terms_of(text: Column) -> Column:
@@ -40,25 +47,14 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def cell_of(term: Column) -> Column:
-    return F.pmod(term, F.lit(CELLS)).cast("int")
+def lexicon(texts: DataFrame, n: int, band: tuple[float, float] = BAND) -> DataFrame:
+    """band_term: the terms of texts(t), n rows, whose document frequency lies in the band."""
+    counts = texts.select(F.explode(terms_of(F.col("t"))).alias("band_term")).groupBy("band_term").agg(F.count("*").alias("df"))
+    return cut(counts.where(F.col("df").between(max(2, math.ceil(band[0] * n)), max(2, math.floor(band[1] * n)))).select("band_term"))
 
 
-def lexicon(terms: DataFrame, band: tuple[float, float] = BAND) -> Column:
-    """The cells whose document frequency lies in the band, as a constant array of CELLS bits.
-
-    terms: a column `terms`, one row per document.  Counts come to the driver as
-    one row per cell at most.
-    """
-    cells = terms.select(F.explode(F.concat(F.array(F.lit(-1)), F.array_distinct(F.transform("terms", cell_of)))).alias("cell"))
-    counts = dict(cells.groupBy("cell").count().collect())
-    n = counts.pop(-1, 0)  # each document also counts once in the cell -1
-    bits = [0] * (CELLS // 64)
-    for cell, count in counts.items():
-        if count >= 2 and band[0] * n <= count <= max(2, band[1] * n):
-            bits[cell // 64] |= 1 << (cell % 64)
-    signed = (x - (1 << 64) if x >> 63 else x for x in bits)
-    return F.split(F.lit(",".join(map(str, signed))), ",").cast("array<bigint>")
+def level_of(n_chars: Column) -> Column:
+    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / CHARS_PER_LEVEL)).cast("int"))
 
 
 def slot_of(term: Column, level: Column) -> Column:
@@ -68,9 +64,12 @@ def slot_of(term: Column, level: Column) -> Column:
 
 def digests(chosen: Column) -> Column:
     """SUBSETS hashes (hexadecimal, or NONE) of sorted structs (s, t)."""
-    mine = lambda s: F.concat_ws(" ", F.transform(F.filter(chosen, lambda x: x["s"] == s), lambda x: F.hex(x["t"])))
-    joined = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), mine)
-    return F.transform(joined, lambda x: F.when(x == "", NONE).otherwise(F.substring(F.md5(x.cast("binary")), 1, 8)))
+    def of_group(group: Column, g: Column) -> Column:
+        mine = lambda k: F.concat_ws(" ", F.transform(F.filter(group, lambda x: x["s"] == g * 8 + k), lambda x: F.hex(x["t"])))
+        return F.transform(F.sequence(F.lit(0), F.lit(7)), mine)
+
+    groups = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS // 8 - 1)), lambda g: F.filter(chosen, lambda x: F.shiftright(x["s"], 3) == g))
+    return F.transform(F.flatten(F.transform(groups, of_group)), lambda x: F.when(x == "", NONE).otherwise(F.substring(F.md5(x.cast("binary")), 1, 8)))
 
 
 def at_level(chosen: Column, level: Column) -> Column:
@@ -78,25 +77,50 @@ def at_level(chosen: Column, level: Column) -> Column:
     return F.filter(chosen, lambda x: slot_of(x["t"], level) < SUBSETS)
 
 
-def fingerprint_of(terms: Column, n_chars: Column, marks: Column) -> Column:
-    """Struct of level, chosen terms and fp: SUBSETS hashes of a document's terms at its level, and as many at the next.
+def in_subsets(terms: Column, level: Column) -> Column:
+    """The terms that some subset of the level has, in the band or not."""
+    return F.filter(terms, lambda t: slot_of(t, level) < SUBSETS)
 
-    The subset s has the terms h with h / CELLS mod (SUBSETS * thin) = s, thin
-    being 2 to the level, the power of two that fits the length.
-    """
-    in_band = lambda t: F.getbit(F.get(marks, (cell_of(t) / 64).cast("int")), cell_of(t) % 64) == 1
-    level = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n_chars, F.lit(1)) / CHARS_PER_LEVEL)).cast("int"))
 
-    def choose(level: Column) -> Column:
-        """Structs (subset, term), sorted."""
-        kept = F.filter(terms, lambda t: (slot_of(t, level) < SUBSETS) & in_band(t))
-        return F.struct(level.alias("level"), F.sort_array(F.transform(kept, lambda t: F.struct(slot_of(t, level).alias("s"), t.alias("t")))).alias("chosen"))
+def fingerprint_of(terms: Column, level: Column) -> Column:
+    """Struct of level, chosen (sorted structs of subset and term) and fp: SUBSETS hashes at the level, and as many at the next.
 
+    terms: those of the band that the level's subsets have.  The subset s has the
+    terms h with h / 2**18 mod (SUBSETS * thin) = s, thin being 2 to the level.
+    """
     def complete(x: Column) -> Column:
         above = let(at_level(x["chosen"], x["level"] + 1), digests)
         return F.struct(x["level"].alias("level"), x["chosen"].alias("chosen"), F.concat(digests(x["chosen"]), above).alias("fp"))
 
-    return let(let(level, choose), complete)
+    chosen = lambda v: F.sort_array(F.transform(terms, lambda t: F.struct(slot_of(t, v).alias("s"), t.alias("t"))))
+    return let(let(level, lambda v: F.struct(v.alias("level"), chosen(v).alias("chosen"))), complete)
+
+
+def with_band_terms(rows: DataFrame, lists: list[Column], facts: list[str], band: DataFrame) -> DataFrame:
+    """facts, and terms: array of (term in the band, its last three bits being 1 + the number of its list), one row per row of rows.
+
+    Terms are exploded, kept if the band has them, and brought together again; a
+    row's facts travel with one entry of its own.  A bitmap of the band keeps most
+    other terms from being exploded.  The band is broadcast if a count shows it to
+    be small, else terms are shuffled.
+    """
+    likely = likely_in(band, "band_term")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    nothing = F.lit(None).cast(numbered.select(F.struct(*facts).alias("f")).schema["f"].dataType)
+    entry = lambda term, code, of: F.struct(term.alias("term"), F.lit(code).cast("long").alias("code"), of.alias("facts"))
+    own = F.array(entry(F.xxhash64("row"), 0, F.struct(*facts)))
+    listed = lambda terms, code: F.transform(F.filter(terms, likely), lambda t: entry(t, code, nothing))
+    entries = F.concat(own, *[listed(terms, k + 1) for k, terms in enumerate(lists)])
+    exploded = numbered.select("row", F.explode(entries).alias("e")).select("row", "e.term", "e.code", "e.facts")
+    joined = exploded.join(small(band, BAND_ROWS), F.col("term") == F.col("band_term"), "left").where("code = 0 OR band_term IS NOT NULL")
+    packed = F.when(F.col("code") > 0, F.col("term").bitwiseAND(F.lit(-8)).bitwiseOR(F.col("code")))
+    together = joined.groupBy("row").agg(F.first("facts", ignorenulls=True).alias("facts"), F.collect_list(packed).alias("terms"))
+    return together.select("facts.*", "terms")
+
+
+def of_list(*codes: int) -> Column:
+    """The terms of the lists with these numbers (from 1), without the number."""
+    return F.transform(F.filter("terms", lambda t: t.bitwiseAND(F.lit(7)).isin(*codes)), lambda t: t.bitwiseAND(F.lit(-8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,54 +140,72 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(apart == 0, likeness(own(a), own(b))).when(apart == 1, likeness(above(a), own(b))).when(apart == -1, likeness(own(a), above(b))).otherwise(likeness(common(a), common(b)))
 
 
-def ordered_runs(rows: DataFrame, id_col: str, run_rows: int = RUN) -> DataFrame:
-    """rows with _run and _guest, so that the order by descending id is found run by run.
+def ordered_runs(rows: DataFrame, n: int, run_rows: int = RUN) -> DataFrame:
+    """rows(id, t) with _h (a hash of t), _run, _sub and _guest, so that the order by descending id, then _h, is found run by run.
 
     A run holds about run_rows neighbours.  The first row of each run also comes
     as a guest to the run before it (that of the first run to the last), behind
     that run's own rows: what follows a row is then in its own run, and nothing
-    is sorted over the whole table.  Null ids come last, in a run of their own.
+    is sorted over the whole table.  An id with more rows than a run is cut into
+    runs by _h; null ids come last.
     """
-    n = rows.count()
-    runs = max(1, min(n // run_rows, 10_000))
-    edges = sorted({int(b) for b in rows.approxQuantile(id_col, [i / runs for i in range(1, runs)], 1 / (4 * runs))}) if runs > 1 else []
+    rows = rows.withColumn("_h", F.xxhash64("t"))
+    ident = F.col("id")
+    longest = max(run_rows, -(-n // MOST_RUNS))
+    runs = max(1, n // longest)
+    edges = {int(b) for b in rows.approxQuantile("id", [i / runs for i in range(1, runs)], 1 / (4 * runs))} if runs > 1 else set()
+    hot = [(r["id"], -(-r["count"] // longest)) for r in rows.groupBy("id").count().where(F.col("count") > longest).collect()]  # n / longest rows at most
+    edges = sorted(edges | {e for h, _ in hot if h is not None for e in (h - 1, h)})
     wide = max(1, int(len(edges) ** 0.5))
     groups = [edges[i : i + wide] for i in range(0, len(edges), wide)] or [[]]
     inner = F.from_json(F.lit(str(groups)), "array<array<bigint>>")
     outer = F.from_json(F.lit(str([g[0] for g in groups if g])), "array<bigint>")
-    ident = F.col(id_col)
     group = F.greatest(F.size(F.filter(outer, lambda e: e < ident)) - 1, F.lit(0))
     run = group * wide + F.size(F.filter(F.get(inner, group), lambda e: e < ident))
     rows = rows.withColumn("_run", F.when(ident.isNull(), -1).otherwise(run).cast("int"))
-    firsts = sorted(rows.groupBy("_run").agg(F.max(id_col)).collect(), key=lambda r: -r[0])  # one row per run
-    hosts = [(r[0], r[1], firsts[i - 1][0]) for i, r in enumerate(firsts)]
-    schema = "_run int, _first bigint, _host int"
-    hosts = F.broadcast(rows.sparkSession.createDataFrame(hosts, schema))
-    rows = rows.join(hosts, "_run")
-    guest = F.array(F.struct(F.col("_run").alias("run"), F.lit(False).alias("guest")), F.struct(F.col("_host").alias("run"), F.lit(True).alias("guest")))
-    places = F.when(ident.eqNullSafe(F.col("_first")), guest).otherwise(F.slice(guest, 1, 1))
-    return rows.withColumn("_place", F.explode(places)).withColumn("_run", F.col("_place.run")).withColumn("_guest", F.col("_place.guest")).drop("_place", "_first", "_host")
+    spark = rows.sparkSession
+    hot = F.broadcast(spark.createDataFrame(hot, "_hot bigint, _parts bigint"))
+    rows = rows.join(hot, ident.eqNullSafe(F.col("_hot")), "left").drop("_hot")
+    part = F.floor((F.col("_h") / float(1 << 64) + 0.5) * F.col("_parts"))
+    rows = rows.withColumn("_sub", F.coalesce(F.least(part, F.col("_parts") - 1), F.lit(0)).cast("int")).drop("_parts")
+    firsts = rows.groupBy("_run", "_sub").agg(F.min(F.struct(F.negative("id").alias("i"), F.col("_h").alias("h"))).alias("f")).collect()  # one row per run
+    firsts = sorted(((r["_run"], r["_sub"], r["f"]["i"], r["f"]["h"]) for r in firsts), key=lambda r: (-r[0], r[1]))
+    hosts = [(r[0], r[1], None if r[2] is None else -r[2], r[3], *firsts[i - 1][:2]) for i, r in enumerate(firsts)]
+    hosts = F.broadcast(spark.createDataFrame(hosts, "_r int, _s int, _first bigint, _first_h bigint, _host int, _host_sub int"))
+    rows = rows.join(hosts, (F.col("_run") == F.col("_r")) & (F.col("_sub") == F.col("_s")))
+    place = lambda run, sub, guest: F.struct(F.col(run).alias("run"), F.col(sub).alias("sub"), F.lit(guest).alias("guest"))
+    places = F.array(place("_run", "_sub", False), place("_host", "_host_sub", True))
+    first = ident.eqNullSafe(F.col("_first")) & (F.col("_h") == F.col("_first_h"))
+    rows = rows.withColumn("_place", F.explode(F.when(first, places).otherwise(F.slice(places, 1, 1))))
+    return rows.select("id", "t", "_h", F.col("_place.run").alias("_run"), F.col("_place.sub").alias("_sub"), F.col("_place.guest").alias("_guest"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """Fingerprints of each text and of its edited text, and how like they are.
 
     The edited text has its last third replaced by the head of the next
-    document's text (descending id; after the last the first; rows with one id
-    in the order of their texts).  Returns id_col, n_chars, edited_sha256,
-    fingerprint, edited_fingerprint, near_edited, near_next.
+    document's text (descending id, null last; after the last the first; rows
+    with one id in the order of a hash of their texts, so equal rows follow one
+    another).  Null texts count as empty; texts are taken whole.  Returns id_col,
+    n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next, one row per input row; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    marks = lexicon(rows.select(terms_of(F.col("t")).alias("terms")), band)
-    placed = ordered_runs(rows.select("id", "t"), "id").withColumn("n", F.length("t").cast("long"))
-    placed = placed.withColumn("fp", fingerprint_of(terms_of(F.col("t")), F.col("n"), marks))
-    follow = Window.partitionBy("_run").orderBy("_guest", F.col("id").desc_nulls_last(), "t")
-    pairs = placed.withColumn("next_t", F.lead("t").over(follow)).withColumn("next_fp", F.lead("fp").over(follow)).where("NOT _guest")
+    n = rows.count()
+    terms = lexicon(rows.select("t"), n, band)
+    follow = Window.partitionBy("_run", "_sub").orderBy("_guest", F.col("id").desc_nulls_last(), "_h", "t")
+    pairs = ordered_runs(rows, n).withColumn("next_t", F.lead("t").over(follow)).where("NOT _guest").withColumn("n", F.length("t").cast("long"))
     third = F.floor(F.col("n") / 3).cast("int")
     pairs = pairs.withColumn("e", F.concat(F.substring("t", F.lit(1), F.col("n").cast("int") - third), F.substring("next_t", F.lit(1), third)))
-    pairs = pairs.withColumn("efp", fingerprint_of(terms_of(F.col("e")), F.length("e").cast("long"), marks))
-    return pairs.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"),
+    pairs = pairs.select("id", "n", "t", "e", "next_t", F.sha2("e", 256).alias("sha"), *[level_of(F.length(c)).alias(f"{c}_level") for c in ("t", "e", "next_t")])
+    own, edited, after = (in_subsets(terms_of(F.col(c)), F.col(f"{c}_level")) for c in ("t", "e", "next_t"))
+    pairs = pairs.withColumn("own", own).withColumn("edited", edited)
+    lists = [F.array_except("own", "edited"), F.array_except("edited", "own"), F.array_intersect("own", "edited"), after]
+    found = with_band_terms(pairs, lists, ["id", "n", "sha", "t_level", "e_level", "next_t_level"], terms)
+    found = found.select("*", fingerprint_of(of_list(1, 3), F.col("t_level")).alias("fp"), fingerprint_of(of_list(2, 3), F.col("e_level")).alias("efp"), fingerprint_of(of_list(4), F.col("next_t_level")).alias("next_fp"))
+    return found.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         F.concat_ws(",", "fp.fp").alias("fingerprint"), F.concat_ws(",", "efp.fp").alias("edited_fingerprint"),
         alike(F.col("fp"), F.col("efp")).alias("near_edited"), alike(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )
@@ -173,8 +215,11 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band
     """id_col, fingerprint: the SUBSETS hashes of each text at its level and those at the next, joined by commas.
 
     Null texts count as empty; texts without terms of the band have NONE in all
-    places.  Equal texts have equal fingerprints.  One row per input row.
+    places.  Equal texts have equal fingerprints.  One row per input row; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    marks = lexicon(rows.select(terms_of(F.col("t")).alias("terms")), band)
-    return rows.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(terms_of(F.col("t")), F.length("t"), marks)["fp"]).alias("fingerprint"))
+    terms = lexicon(rows.select("t"), rows.count(), band)
+    rows = rows.withColumn("level", level_of(F.length("t")))
+    found = with_band_terms(rows, [in_subsets(terms_of(F.col("t")), F.col("level"))], ["id", "level"], terms)
+    return found.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(of_list(1), F.col("level"))["fp"]).alias("fingerprint"))
