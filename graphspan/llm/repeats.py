@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches, map_stream
-from .common import cut
+from .common import cut, likely_in
 from .textscan import BYTES, mix, powers, stretch_hashes, sums
 
 DEPTH = 400
@@ -38,7 +38,6 @@ DIGIT = 100
 TASK_LEAST, TASK_MOST = 256, 8192
 #: Windows that are scanned at once; a power of two, so that a position fits the low bits of a packed hash.
 STRIP = 1 << 19
-CELLS = 1 << 20
 U64 = np.uint64
 
 
@@ -104,21 +103,14 @@ def _text_key(text: Column) -> Column:
 
 
 def _with_text(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows(id, h, t) that wanted(id, h, items) names, with its items.
+    """rows(id, h, t) that wanted(id, h, items) names, each (id, h) once, with its items.
 
-    Which ids are wanted is first tested on a bitmap of CELLS bits, so that few
-    other texts are shuffled as long as there are fewer wanted ids than bits.
+    A bitmap of the wanted ids keeps most other texts out of the shuffle.
     """
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(CELLS)).cast("int")
-    words = wanted.select(cell(F.col("id")).alias("c")).distinct().groupBy((F.col("c") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c") % 64)).alias("bits"))
-    bits = [0] * (CELLS // 64)
-    for w, b in words.collect():  # CELLS / 64 rows at most
-        bits[w] = b
-    marks = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
-    c = cell(F.col("id"))
-    likely = rows.where(F.getbit(F.get(marks, (c / 64).cast("int")), c % 64) == 1)
     named = wanted.select(F.col("id").alias("wid"), F.col("h").alias("wh"), "items").hint("shuffle_hash")
-    return likely.join(named, (F.col("id") == F.col("wid")) & (F.col("h") == F.col("wh"))).select("id", "h", "t", "items")
+    likely = rows.where(likely_in(wanted, "id")(F.col("id")))
+    found = likely.join(named, (F.col("id") == F.col("wid")) & (F.col("h") == F.col("wh"))).select("id", "h", "t", "items")
+    return found.dropDuplicates(["id", "h"])
 
 
 def _extents(named: DataFrame) -> DataFrame:
@@ -229,12 +221,14 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     total = classes.where("kinds IS NOT NULL").count()
     share = int(min(TASK_MOST, max(TASK_LEAST, total // int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     item = F.struct("k", "p", "lo", "hi")
-    wanted = lambda cond: cut(marked.where(stands & F.col("kinds").isNotNull() & cond).groupBy("id", "h").agg(F.collect_list(item).alias("items")))
+    wanted = lambda cond: cut(marked.where(stands & F.col("kinds").isNotNull() & cond).groupBy("id", "h").agg(F.collect_set(item).alias("items")))
     small_groups = _sorted_in_tasks(_extents(_with_text(rows, wanted(F.col("kinds") <= share))))
     spans = done.unionByName(small_groups)
     large = wanted(F.col("kinds") > share)
     if not large.isEmpty():
         spans = spans.unionByName(_counted_apart(_with_text(rows, large)))
+    # rows that repeat an id and a text give the same spans: each is kept once, before spans come together
+    spans = spans.distinct()
     return spans.groupBy("id", "h").agg(F.collect_list(F.struct(F.col("first").alias("lo"), (F.col("last") + DEPTH).alias("hi"))).alias("spans"))
 
 
@@ -259,7 +253,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Every byte covered by a DEPTH-byte string that also starts elsewhere, in the
     same text or another, is removed; all is judged on the input.  Null texts
     count as empty.  Texts shorter than DEPTH bytes stay whole; of two equal rows
-    with longer texts each is removed as a whole.  Other columns are ignored.
+    with longer texts each is removed as a whole.  Texts are taken whole, however
+    long; an empty table gives no rows; other columns are ignored, whatever their
+    names.
     """
     rows = docs.select(F.coalesce(F.col(id_col), F.lit(-(1 << 63))).alias("id"), F.col(id_col).isNull().alias("null_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", _text_key(F.col("t")))
     spans = repeated_spans(rows.select("id", "h", "t")).select(F.col("id").alias("sid"), F.col("h").alias("sh"), "spans").hint("shuffle_hash")
