@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lattice, lowering, resolution
+from ..operators.graph import checkpointed
 from ..operators.types import ast_sizes
 from ..sources.program import parse_modules
 from ..sources.tables import Tables
@@ -66,11 +67,11 @@ def parse_statements(t: Tables) -> DataFrame:
 UNION ALL SELECT m, 9 + n + i, 'a' || i, m || '#' || (5 + i) FROM a UNION ALL SELECT m, 9 + 2 * n, 'customer', m || '#1' FROM n""")
 def resolve_names(t: Tables) -> DataFrame:
     """Uses of names to the innermost definition around them."""
-    return resolution.resolve_names(parse_modules(order_modules(t))).select("module", "id", "name", "target")
+    return resolution.resolve_names(checkpointed(parse_modules(order_modules(t)))).select("module", "id", "name", "target")
 
 
 def _lowered(t: Tables) -> DataFrame:
-    rows = parse_modules(order_modules(t))
+    rows = checkpointed(parse_modules(order_modules(t)))  # its uses, definitions and nodes are read apart
     return resolution.lower_statements(rows, resolution.resolve_names(rows))
 
 
@@ -91,13 +92,13 @@ def lowered_definitions(t: Tables) -> DataFrame:
 UNION ALL SELECT 'n' || c_nationkey, 'x' || o_orderkey, 'o' || o_orderkey || '#1' FROM orders JOIN customer ON o_custkey = c_custkey""")
 def module_exports(t: Tables) -> DataFrame:
     """Exports of orders, and what customers and nations pass on."""
-    rows = parse_modules(order_modules(t).union(linking_modules(t)))
+    rows = checkpointed(parse_modules(order_modules(t).union(linking_modules(t))))
     return resolution.linked_exports(rows).select("module", "symbol", "node")
 
 
 @query("""SELECT 'shop/c' || o_custkey AS module, 'x' || o_orderkey AS name, 'term' AS slot, 'o' || o_orderkey || '#1' AS target FROM orders""")
 def module_imports(t: Tables) -> DataFrame:
-    rows = parse_modules(order_modules(t).union(linking_modules(t)))
+    rows = checkpointed(parse_modules(order_modules(t).union(linking_modules(t))))
     return resolution.collect_imports(rows, resolution.collect_exports(rows)).select("module", "name", "slot", "target")
 
 

@@ -27,7 +27,8 @@ CONSTRUCTOR = "CONSTRUCTOR"
 # Names that every program may use without a definition.
 SPECIAL_NAMES = ["super", "this", "undefined", "$Async", "$Spread", "$Switch", "$Case", "$TypeOf", "$Delete", "$Yield", "$Template"]
 
-_TOKEN = re.compile(r'''"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|//[^\n]*|/\*.*?\*/|,(?=(?:\s|//[^\n]*|/\*.*?\*/)*[\]}])|.''', re.DOTALL)
+#: Strings, comments and commas before a closing bracket; what stands between them is left as it is.
+_TOKEN = re.compile(r'''"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|//[^\n]*|/\*.*?\*/|,(?=(?:\s|//[^\n]*|/\*.*?\*/)*[\]}])''', re.DOTALL)
 
 
 def read_lenient(text: str):
@@ -36,14 +37,9 @@ def read_lenient(text: str):
         t = m[0]
         if t[0] == "'":
             return json.dumps(re.sub(r"\\(.)", r"\1", t[1:-1], flags=re.DOTALL))
-        return "" if t == "," or t.startswith(("//", "/*")) else t
+        return t if t[0] == '"' else ""
 
-    # a comma between values is followed by a value, so only trailing ones match by themselves
-    return json.loads(_TOKEN.sub(lambda m: plain(m) if len(m[0]) > 1 or m[0] == "," and _trailing(text, m.end()) else m[0], text))
-
-
-def _trailing(text: str, at: int) -> bool:
-    return re.match(r"(?:\s|//[^\n]*|/\*.*?\*/)*[\]}]", text[at:], re.DOTALL) is not None if text[at : at + 1] else False
+    return json.loads(_TOKEN.sub(plain, text))
 
 
 def module_path(name: str) -> str:
