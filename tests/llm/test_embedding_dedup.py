@@ -44,6 +44,40 @@ def test_against_brute_force(spark, block):
     assert got == want
 
 
+def cloud(kind, n=3000, d=64):
+    """Vectors with a partner each at a cosine from 0.95 to 0.97."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, d))
+    if kind == "off-centre":
+        x += 2.0
+    if kind == "clustered":
+        x = rng.normal(size=(20, d))[rng.integers(0, 20, n)] * 2 + x * 0.8
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=(n, d))
+    if kind == "off-centre":
+        u += rng.normal(size=(n, 1))
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.9501, 0.97, size=(n, 1))
+    return np.concatenate([x, c * x + np.sqrt(1 - c * c) * u])
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "off-centre", "clustered"])
+def test_recall_against_all_rows(spark, kind):
+    x = cloud(kind)
+    rows = spark.createDataFrame([(i, v, 0, 1, "c") for i, v in enumerate(x.tolist())], SCHEMA.replace("array<float>", "array<double>"))
+    got = sum(r.n_links for r in cosine_links(rows).select("n_links").collect())
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((x @ x.T >= 0.95).sum()) - len(x)
+    assert want >= 6000 and 0.99 * want <= got <= want
+
+
+def test_repeated_ids_and_ties(spark):
+    """Rows that repeat an id are vectors of their own; equal vectors link with one another."""
+    rows = spark.createDataFrame([(7, [1.0, 0.0], 0, 1, "c"), (7, [1.0, 0.0], 0, 1, "c"), (7, [0.0, 1.0], 0, 1, "c"), (9, [2.0, 0.0], 0, 1, "c")], SCHEMA)
+    assert sorted(map(tuple, cosine_links(rows).collect())) == [(7, 0, 7, True), (7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False)]
+
+
 def test_empty_and_linkless(spark):
     assert cosine_links(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [tuple(r) for r in cosine_links(spark.createDataFrame([(1, None, 0, 0, "")], SCHEMA)).collect()] == [(1, 0, 1, True)]
