@@ -71,3 +71,38 @@ def learning_rate_scale(epoch: Column, epochs: int) -> Column:
 def sampling_key(seed: int, key: Column) -> Column:
     """Text to order by in place of a random shuffle."""
     return F.md5(F.concat_ws("|", F.lit(seed), key.cast("string")).cast("binary"))
+
+
+def safe_abs(x: Column) -> Column:
+    """Absolute value of a 32-bit integer; 0 for the least one, which has none."""
+    return F.when(x == -(1 << 31), F.lit(0)).otherwise(F.abs(x))
+
+
+def nearly_equal(x: Column, y: Column) -> Column:
+    return F.abs(x - y) <= 1e-8
+
+
+def aggressive_sigmoid(x: Column, aggressiveness: float) -> Column:
+    """A curve on [0, 1] that is the identity for 0.5 and rises ever earlier up to 1."""
+    return F.pow(x, F.lit(50 ** (2 * (0.5 - aggressiveness))))
+
+
+def aggressive_interpolate(x: Column, aggressiveness: float, low: float, high: float) -> Column:
+    return linear_interpolate(aggressive_sigmoid(x, aggressiveness), low, high)
+
+
+def in_quotes(text: Column) -> Column:
+    return F.concat(F.lit('"'), text, F.lit('"'))
+
+
+def source_text(text: Column, line: Column, start: Column, until_line: Column, until: Column) -> Column:
+    """What a zero-based span covers: within a line its columns, over several the first line's rest and three dots."""
+    first = F.get(F.split(text, "\n", -1), line)
+    return F.when(line == until_line, F.substring(first, start + 1, until - start)).otherwise(F.concat(F.substring(first, start + 1, F.length(first)), F.lit(" ...")))
+
+
+def mean_and_spread(mean: Column, spread: Column) -> Column:
+    """mean±deviation, with as many decimals as the deviation needs to show two of its digits."""
+    decimals = F.greatest(F.lit(0), 1 - F.floor(F.log10(spread)).cast("int"))
+    text = lambda x: F.coalesce(*[F.when(decimals == d, F.format_string(f"%.{d}f", x)) for d in range(8)], F.format_string("%.8f", x))
+    return F.when(spread > 0, F.concat(text(mean), F.lit("±"), text(spread))).otherwise(F.concat(mean.cast("string"), F.lit("±0")))

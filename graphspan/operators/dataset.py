@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sampling_key
+from .order import numbered, running
 
 
 def divide(projects: DataFrame, key: str, test: int, dev: int, seed: int = 1) -> DataFrame:
@@ -41,3 +42,40 @@ def destination(nodes: Column, predicates: Column, annotations: Column, lib: Col
         .when((annotations - lib) * 10 < lib, "TooFewProjectLabels")
         .otherwise("filteredRepos")
     )
+
+
+def select_points(rows: DataFrame, key: str, order: str, most: int, seed: int = 1) -> DataFrame:
+    """At most so many rows of each key, by a hash of key and order, and always the last one; all rows where there are no more.
+
+    The rows of a key are ranked by window, which sorts and spills but holds no list.
+    """
+    by_key = Window.partitionBy(key)
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), F.col(order).cast("string")).cast("binary"))
+    last = F.col(order) == F.max(order).over(by_key)
+    ranked = rows.withColumn("_rank", F.row_number().over(by_key.orderBy(F.when(last, 0).otherwise(1), draw, order)))
+    return ranked.where(F.col("_rank") <= most).drop("_rank")
+
+
+def indexed_set(rows: DataFrame, column: str) -> DataFrame:
+    """column, idx: its distinct values by first appearance in their own order, numbered from 0 range by range."""
+    return numbered(rows.select(column).distinct(), [column], "idx")
+
+
+def uniform_sample(indexed: DataFrame, column: str, n: int, seed: int = 1) -> DataFrame:
+    """n values of an indexed set, each as likely as any other; the choice depends on the seed alone."""
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("idx").cast("string")).cast("binary"))
+    return indexed.orderBy(draw, "idx").limit(n).select(column, "idx")
+
+
+def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """a, once a join has shown that no key of it is in b; else an error."""
+    both = a.select(key).join(b.select(key).distinct(), key, "left_semi")
+    found = both.limit(1).collect()
+    if found:
+        raise ValueError(f"{key} {found[0][0]} is in both")
+    return a
+
+
+def stack_positions(chains: DataFrame, key: str, length: str) -> DataFrame:
+    """chains with `start`: the lengths of all chains before, in the order of key."""
+    return running(chains, [key], {"start": F.col(length)})

@@ -211,3 +211,21 @@ def bidirectional_mean(t: Tables) -> DataFrame:
     rows = t.conversations.select("conv_id", "turn", F.length("text").cast("double").alias("x"))
     run = lambda order: F.avg("x").over(Window.partitionBy("conv_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("conv_id", "turn", F.round((run(F.col("turn")) + run(F.desc("turn"))) / 2, 8).alias("state"))
+
+
+@query("""WITH m AS (SELECT user_id, event_id, max(event_id) OVER (PARTITION BY user_id) AS last FROM events), r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_id = last THEN 0 ELSE 1 END, md5('1|' || user_id || '|' || event_id), event_id) AS k FROM m) SELECT user_id, event_id FROM r WHERE k <= 20""")
+def select_points(t: Tables) -> DataFrame:
+    """At most twenty points of each series for a plot, the last one among them."""
+    return dataset.select_points(t.events.select("user_id", "event_id"), "user_id", "event_id", 20)
+
+
+@query("""WITH i AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS idx FROM (SELECT DISTINCT p_type FROM part)) SELECT p_type, idx FROM i ORDER BY md5('1|' || idx), idx LIMIT 10""")
+def indexed_sample(t: Tables) -> DataFrame:
+    """A uniform sample of ten from an indexed set."""
+    return dataset.uniform_sample(dataset.indexed_set(t.part, "p_type"), "p_type", 10)
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, n, coalesce(sum(n) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM c""")
+def stack_positions(t: Tables) -> DataFrame:
+    """Where the rows of each conversation begin when all are stacked."""
+    return dataset.stack_positions(t.conversations.groupBy("conv_id").agg(F.count("*").alias("n")), "conv_id", "n")

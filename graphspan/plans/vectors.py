@@ -189,3 +189,23 @@ def span_text(t: Tables) -> DataFrame:
     """The span of a whole text, from one, as (line,column)-(line,column)."""
     lines = F.split("text", "\n", -1)
     return t.conversations.select("conv_id", "turn", F.format_string("(%d,%d)-(%d,%d)", F.lit(1), F.lit(1), F.size(lines), F.length(F.element_at(lines, -1)) + 1).alias("span"))
+
+
+@query("""SELECT p_partkey, abs(p_size - 25) AS distance, abs(p_size / 50.0::DOUBLE - 0.5) <= 1e-8 AS half, round(pow(p_size / 50.0::DOUBLE, pow(50.0::DOUBLE, 2 * (0.5 - 0.7))), 6) AS curve, round(pow(p_size / 50.0::DOUBLE, pow(50.0::DOUBLE, 2 * (0.5 - 0.3))) * 9 + 1, 6) AS moved, '"' || p_name || '"' AS quoted FROM part""")
+def scalar_extras(t: Tables) -> DataFrame:
+    share = F.col("p_size") / 50.0
+    return t.part.select("p_partkey", S.safe_abs(F.col("p_size") - 25).alias("distance"), S.nearly_equal(share, F.lit(0.5)).alias("half"), F.round(S.aggressive_sigmoid(share, 0.7), 6).alias("curve"), F.round(S.aggressive_interpolate(share, 0.3, 1.0, 10.0), 6).alias("moved"), S.in_quotes(F.col("p_name")).alias("quoted"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, text, string_split(text, chr(10)) AS lines FROM conversations) SELECT conv_id, turn, CASE WHEN len(lines) = 1 THEN substr(lines[1], 3, 8) ELSE substr(lines[1], 3) || ' ...' END AS shown FROM s""")
+def span_source(t: Tables) -> DataFrame:
+    """The text of a span from the third letter: eight letters on one line, or the rest of the first of several lines."""
+    lines = F.size(F.split("text", "\n", -1))
+    return t.conversations.select("conv_id", "turn", S.source_text(F.col("text"), F.lit(0), F.lit(2), lines - 1, F.lit(10)).alias("shown"))
+
+
+@query("""WITH g AS (SELECT event_type, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1), d AS (SELECT *, greatest(0, 1 - floor(log10(s))::INT) AS n FROM g)
+SELECT event_type, CASE n WHEN 0 THEN format('{:.0f}', m) || '±' || format('{:.0f}', s) WHEN 1 THEN format('{:.1f}', m) || '±' || format('{:.1f}', s) WHEN 2 THEN format('{:.2f}', m) || '±' || format('{:.2f}', s) WHEN 3 THEN format('{:.3f}', m) || '±' || format('{:.3f}', s) ELSE 'more' END AS text FROM d""")
+def mean_and_spread(t: Tables) -> DataFrame:
+    stats = t.events.groupBy("event_type").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    return stats.select("event_type", S.mean_and_spread(F.col("m"), F.col("s")).alias("text"))
