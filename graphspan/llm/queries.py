@@ -109,7 +109,7 @@ SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN size * (whole
 """
 
 OP6_SQL = r"""
-WITH u AS (
+WITH RECURSIVE u AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 k AS (SELECT *, ('.' || host) LIKE '%.net' AS net, ('.' || host) LIKE '%.example.net' AS en, ('.' || host) LIKE '%.example.com' AS ec, ('.' || host) LIKE '%.org' AS org FROM u),
@@ -118,19 +118,36 @@ b AS (SELECT page_id, host, path,
              WHEN org AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN net AND starts_with(path, '/') THEN 'net/' END AS rule,
         regexp_replace(regexp_replace(path, '[0-9a-fA-F]{16,}', '{h}', 'g'), '[0-9]+', '{n}', 'g') AS shape FROM k),
 v AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled FROM b),
-g AS (SELECT host, shape, count(*) AS n, count(*) FILTER (ruled = 'block') AS n_block, count(ruled) AS n_labelled FROM v GROUP BY ALL),
-e AS (SELECT g.*, i AS pos, string_split(shape, '/') AS parts FROM g, LATERAL (SELECT unnest(range(len(string_split(g.shape, '/')))) AS i)),
-o AS (SELECT host, shape, n, n_block, n_labelled, pos, parts[pos + 1] AS child, array_to_string(parts[1:pos], '/') AS prefix FROM e),
-w AS (SELECT host, prefix, pos FROM o GROUP BY ALL HAVING count(DISTINCT child) >= 16 AND sum(n) < 2 * count(DISTINCT child)),
-t AS (SELECT o.host, shape, n_block, n_labelled, string_agg(CASE WHEN w.host IS NOT NULL THEN '*' ELSE child END, '/' ORDER BY o.pos) AS template
+x AS (SELECT host, path, shape, max(CASE WHEN ruled = 'block' THEN 1 ELSE 0 END) AS b, max(CASE WHEN ruled IS NOT NULL THEN 1 ELSE 0 END) AS m FROM v GROUP BY ALL),
+g AS (SELECT host, shape, count(*) AS n, sum(b) AS b, sum(m) AS m FROM x GROUP BY ALL),
+e AS (SELECT g.*, unnest(range(len(string_split(g.shape, '/')))) AS pos, string_split(shape, '/') AS parts FROM g),
+o AS (SELECT host, shape, n, b, m, pos, parts[pos + 1] AS child, array_to_string(parts[1:pos], '/') AS prefix FROM e),
+w AS (SELECT host, prefix, pos FROM (SELECT host, prefix, pos, child, sum(n) AS n FROM o GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 16 AND sum(n) < 2 * count(*)),
+t AS (SELECT o.host, shape, n, b, m, list(CASE WHEN w.host IS NOT NULL THEN '*' ELSE child END ORDER BY o.pos) AS steps
       FROM o LEFT JOIN w ON o.host = w.host AND o.prefix = w.prefix AND o.pos = w.pos GROUP BY ALL),
-f AS (SELECT host, template, regexp_replace(template, '/[^/]*$', '') AS parent, sum(n_block) AS b, sum(n_labelled) AS m FROM t GROUP BY ALL),
-r AS (SELECT *, coalesce(CASE WHEN sum(m) OVER p > 0 THEN (sum(b) OVER p)::DOUBLE / (sum(m) OVER p)::DOUBLE END, 0) AS rate FROM f WINDOW p AS (PARTITION BY host, parent)),
-a AS (SELECT *, abs(b - m * rate) <= 1.96 * sqrt(m * rate * (1 - rate)) + 1e-9 AS alike FROM r),
-c AS (SELECT host, template, (CASE WHEN alike THEN sum(b) OVER q ELSE b END + 1.0)::DOUBLE / (CASE WHEN alike THEN sum(m) OVER q ELSE m END + 2.0)::DOUBLE AS purity
-      FROM a WINDOW q AS (PARTITION BY host, parent, alike))
-SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
-FROM v JOIN t ON v.host = t.host AND v.shape = t.shape JOIN c ON t.host = c.host AND t.template = c.template
+l AS (SELECT host, shape, n, b, m, pos, steps[pos + 1] AS step, array_to_string(steps[1:pos], '/') AS prefix, coalesce(steps[pos + 2], '/') AS follows FROM (SELECT *, unnest(range(len(steps))) AS pos FROM t)),
+cells AS (SELECT host, prefix, pos, step, follows, sum(n)::DOUBLE AS o, sum(b)::DOUBLE AS b, sum(m)::DOUBLE AS m FROM l GROUP BY ALL),
+sums AS (SELECT *, sum(o) OVER s AS of_step, sum(b) OVER s AS b1, sum(m) OVER s AS m1, sum(o) OVER f AS of_next, sum(o) OVER a AS total, sum(b) OVER a AS b2, sum(m) OVER a AS m2
+         FROM cells WINDOW s AS (PARTITION BY host, prefix, pos, step), f AS (PARTITION BY host, prefix, pos, follows), a AS (PARTITION BY host, prefix, pos)),
+gs AS (SELECT host, prefix, pos, step, any_value(b1) AS b1, any_value(m1) AS m1, any_value(b2) AS b2, any_value(m2) AS m2,
+         sum(2 * o * ln(o * total / (of_step * of_next)) + CASE WHEN of_next > o THEN 2 * (of_next - o) * ln((of_next - o) * total / ((total - of_step) * of_next)) ELSE 0 END)
+         + any_value(2 * total * ln(total / (total - of_step))) - sum(2 * of_next * ln(total / (total - of_step))) AS g
+       FROM sums WHERE total > of_step GROUP BY host, prefix, pos, step),
+dfs AS (SELECT host, prefix, pos, count(DISTINCT follows) - 1 AS df FROM cells GROUP BY ALL),
+gl AS (SELECT gs.*, df, CASE WHEN m1 > 0 AND m2 > m1 THEN
+         (CASE WHEN b1 > 0 THEN 2 * b1 * ln(b1 * m2 / (m1 * b2)) ELSE 0 END) + (CASE WHEN m1 > b1 THEN 2 * (m1 - b1) * ln((m1 - b1) * m2 / (m1 * (m2 - b2))) ELSE 0 END)
+         + (CASE WHEN b2 > b1 THEN 2 * (b2 - b1) * ln((b2 - b1) * m2 / ((m2 - m1) * b2)) ELSE 0 END) + (CASE WHEN m2 - m1 > b2 - b1 THEN 2 * (m2 - m1 - b2 + b1) * ln((m2 - m1 - b2 + b1) * m2 / ((m2 - m1) * (m2 - b2))) ELSE 0 END)
+         ELSE 0 END AS g2 FROM gs JOIN dfs USING (host, prefix, pos)),
+ok AS (SELECT host, prefix, pos, step FROM gl WHERE g <= df + 2 * sqrt(2 * df) + 1e-9 AND g2 <= 3.841),
+z AS (SELECT l.host, shape, b, m, list(CASE WHEN ok.host IS NOT NULL THEN '+' ELSE l.step END ORDER BY l.pos) AS steps
+      FROM l LEFT JOIN ok ON l.host = ok.host AND l.prefix = ok.prefix AND l.pos = ok.pos AND l.step = ok.step GROUP BY ALL),
+nd AS (SELECT host, shape, b, m, depth, array_to_string(steps[1:depth], '/') AS node, CASE WHEN depth > 1 THEN array_to_string(steps[1:depth - 1], '/') ELSE '' END AS above FROM (SELECT *, unnest(range(len(steps) + 1)) AS depth FROM z)),
+ct AS (SELECT host, depth, node, above, sum(b)::DOUBLE AS b, sum(m)::DOUBLE AS m FROM nd GROUP BY ALL),
+pu AS (SELECT host, depth, node, (b + 2.0 * 0.5) / (m + 2.0) AS purity FROM ct WHERE depth = 0
+       UNION ALL SELECT ct.host, ct.depth, ct.node, (ct.b + 2.0 * pu.purity) / (ct.m + 2.0) FROM ct JOIN pu ON ct.host = pu.host AND ct.depth = pu.depth + 1 AND (ct.depth = 1 OR ct.above = pu.node)),
+j AS (SELECT z.host, shape, array_to_string(steps, '/') AS template, purity FROM z JOIN pu ON z.host = pu.host AND len(steps) = pu.depth AND array_to_string(steps, '/') = pu.node)
+SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM v JOIN j ON v.host = j.host AND v.shape = j.shape
 """
 
 

@@ -145,7 +145,7 @@ def test_registers_are_mergeable_and_estimate():
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
     a, b = pool[:2000], pool[400:2400]
     ra, rb = near_dedup.registers(a), near_dedup.registers(b)
-    assert np.array_equal(near_dedup.union_registers(ra, rb), near_dedup.registers(np.union1d(a, b)))
+    assert np.array_equal(np.maximum(ra, rb), near_dedup.registers(np.union1d(a, b)))
     e = near_dedup.joint_estimate(np.array([(ra > rb).sum()]), np.array([(ra < rb).sum()]), np.array([2000.0]), np.array([2000.0]))[0]
     assert abs(e - 1600 / 2400) < 0.15
 
@@ -184,14 +184,17 @@ def test_secrets(spark):
         assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in secrets.BASE_KINDS] == plain_secrets(texts[r.doc_id])
 
 
-def test_ledger_is_incremental(spark):
+def test_ledger_is_incremental(spark, tmp_path):
     first, both = docs_of(spark, [(1, SECRET_TEXTS[3], "s"), (2, "plain", "s")]), docs_of(spark, [(1, SECRET_TEXTS[5], "s"), (2, "plain", "s"), (3, SECRET_TEXTS[3], "s")])
     ledger = secrets.scan_new_blobs(first)
     assert ledger.count() == 2
     assert secrets.scan_new_blobs(both, ledger).count() == 1  # only the new version
     old = ledger.withColumn("rule_version", F.lit(0))
     assert secrets.scan_new_blobs(both, old).count() == 3  # other rules: all again
-    assert {r.doc_id: len(r.spans) for r in secrets.secret_spans(both, ledger).collect()} == {1: 2, 2: 0, 3: 2}
+    folder = str(tmp_path / "ledger")
+    ledger.union(old).write.parquet(folder)
+    assert {r.doc_id: len(r.spans) for r in secrets.secret_spans(both, folder).collect()} == {1: 2, 2: 0, 3: 2}
+    assert spark.read.parquet(folder).count() == 5
 
 
 def test_redaction(spark):
@@ -280,12 +283,74 @@ def test_equal_texts_have_equal_fingerprints_and_edits_stay_near(spark):
     assert (pdf["near_edited"] > pdf["near_next"]).mean() > 0.95
 
 
+def test_fingerprints_against_plain_python(spark, monkeypatch):
+    """Exact document frequencies, subsets, hashes and likenesses, with the band broadcast and with it shuffled."""
+    import math
+    import re
+    from collections import Counter
+
+    import xxhash
+
+    rng = random.Random(12)
+    pool = [word(rng) for _ in range(900)]
+    texts = {i: " ".join(rng.choice(pool) for _ in range(rng.choice([0, 3, 60, 150, 400]))) for i in range(90)} | {90: None, 91: "", 92: "Straße ÉTÉ x-1 " * 300, 93: "one two " * 60_000}
+    rows = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    band = (0.03, 0.3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    terms = lambda t: {signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in re.split(r"[\W_]+", t.lower()) if w}
+    df = Counter(w for t in texts.values() for w in terms(t or ""))
+    lexicon = {w for w, c in df.items() if max(2, math.ceil(band[0] * len(texts))) <= c <= math.floor(band[1] * len(texts))}
+
+    def at(t, level):
+        slots = {}
+        for w in terms(t) & lexicon:
+            s = (w >> 18) & ((64 << level) - 1)
+            if s < 64:
+                slots.setdefault(s, []).append(w & -8)
+        text = lambda ws: " ".join(f"{w & (1 << 64) - 1:X}" for w in sorted(ws))
+        return [hashlib.md5(text(slots[s]).encode()).hexdigest()[:8] if s in slots else "-" for s in range(64)]
+
+    level = lambda t: max(0, math.floor(math.log2(max(len(t), 1) / 512)))
+    whole = lambda t: ",".join(at(t, level(t)) + at(t, level(t) + 1))
+
+    def like(a, b):
+        v = max(level(a), level(b))
+        pairs = [(x, y) for x, y in zip(at(a, v), at(b, v), strict=True) if (x, y) != ("-", "-")]
+        return sum(x == y for x, y in pairs) / len(pairs) if pairs else 1.0
+
+    order = sorted(texts, reverse=True)
+    for broadcast_rows in (10_000, 0):
+        monkeypatch.setattr(fingerprints, "BAND_ROWS", broadcast_rows)
+        got = {r.doc_id: r for r in fingerprints.edited_fingerprints(rows, band=band).collect()}
+        assert len(got) == len(texts)
+        for k, i in enumerate(order):
+            t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+            e = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+            assert (got[i].fingerprint, got[i].edited_fingerprint) == (whole(t), whole(e))
+            assert abs(got[i].near_edited - like(t, e)) < 1e-12 and abs(got[i].near_next - like(t, nxt)) < 1e-12
+    assert {r.doc_id: r.fingerprint for r in fingerprints.imatch(rows, band=band).collect()} == {i: whole(t or "") for i, t in texts.items()}
+
+
+def test_repeated_and_null_ids_are_cut_into_runs(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints.ordered_runs, "__defaults__", (4,))
+    rows = [(None, f"null {i}", "s") for i in range(30)] + [(5, f"five {i}", "s") for i in range(20)] + [(7, "same row", "s")] * 9 + [(i, f"id {i}", "s") for i in range(10, 20)]
+    df = docs_of(spark, rows)
+    runs = fingerprints.ordered_runs(df.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), len(rows))
+    own = runs.where("NOT _guest").groupBy("id", "_run", "_sub").count().where("id IS NULL OR id = 5").collect()
+    assert len(own) > 6 and max(r["count"] for r in own) < 14
+    got = fingerprints.edited_fingerprints(df).collect()
+    assert len(got) == len(rows)
+    # in the ring of all rows every text is followed by one other text
+    heads = {hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest() for _, a, _ in rows for _, b, _ in rows}
+    assert {r.edited_sha256 for r in got} <= heads
+
+
 def test_near_copies_across_a_length_boundary(spark):
     rng = random.Random(13)
     words = [word(rng) for _ in range(6000)]
     text = " ".join(words)[:16500]
     assert len(text) == 16500
-    cases = {10: 2060, 9: 2035, 8: 4110, 7: 4080, 6: 16400, 5: 16370}
+    cases = {10: 2060, 9: 2035, 8: 4110, 7: 4080, 6: 16400, 5: 16370}  # levels 2 and 1, 3 and 2, 5 and 4
     cases = {i: text[:n] for i, n in cases.items()} | {4: " ".join([text[:2000]] * 5), 3: text[:2000]}
     rows = docs_of(spark, [(i, t, "s") for i, t in cases.items()])
     got = {r.doc_id: r for r in fingerprints.edited_fingerprints(rows, band=(0.0, 1.0)).collect()}
@@ -369,3 +434,86 @@ def test_templates_generalise_and_reject(spark):
     df = spark.createDataFrame([(i, u, v) for i, (u, v) in enumerate(rows)], "page_id long, url string, v string")
     got = {r.page_id: (r.verdict, r.template) for r in url_filters.judge_urls(df, [], label=F.col("v")).collect()}
     assert got[64] == ("block", "/shop/item{n}/view") and got[65] == ("allow", "/blog/*/post") and got[66][0] == "allow"
+
+
+def brute_tree(urls):
+    """(host, path, label) of different urls -> (host, path) -> (template, purity), node by node over whole lists."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    def g_test(table):
+        rows, columns = [sum(r) for r in table], [sum(c) for c in zip(*table, strict=True)]
+        total = sum(rows)
+        return sum(2 * o * math.log(o * total / (rows[i] * columns[j])) for i, r in enumerate(table) for j, o in enumerate(r) if o)
+
+    shape = lambda p: re.sub(r"[0-9]+", "{n}", re.sub(r"[0-9a-fA-F]{16,}", "{h}", p))
+    rows = [[h, p, label, shape(p).split("/")] for h, p, label in urls]
+    shapes = [list(r[3]) for r in rows]
+    raw = defaultdict(list)
+    for r, s in zip(rows, shapes, strict=True):
+        for k in range(len(s)):
+            raw[r[0], tuple(s[:k])].append((r, k, s[k]))
+    for members in raw.values():
+        children = {c for _, _, c in members}
+        if len(children) >= 16 and len(members) < 2 * len(children):
+            for r, k, _ in members:
+                r[3][k] = "*"
+    steps = [list(r[3]) for r in rows]
+    nodes = defaultdict(list)
+    for r, s in zip(rows, steps, strict=True):
+        for k in range(len(s)):
+            nodes[r[0], tuple(s[:k])].append((r, k, s))
+    for members in nodes.values():
+        children = {s[k] for _, k, s in members}
+        following = sorted({s[k + 1] if k + 1 < len(s) else "/" for _, k, s in members})
+        for c in children if len(children) > 1 else ():
+            count = {own: Counter(s[k + 1] if k + 1 < len(s) else "/" for _, k, s in members if (s[k] == c) == own) for own in (True, False)}
+            labels = {own: Counter(r[2] for r, k, s in members if (s[k] == c) == own and r[2]) for own in (True, False)}
+            df = len(following) - 1
+            same = g_test([[count[own][f] for f in following] for own in (True, False)]) <= df + 2 * math.sqrt(2 * df) + 1e-9
+            if all(labels.values()):
+                kinds = [x for x in ("block", "allow") if labels[True][x] + labels[False][x]]
+                same &= g_test([[labels[own][x] for x in kinds] for own in (True, False)]) <= 3.841
+            if same:
+                for r, k, s in members:
+                    if s[k] == c:
+                        r[3][k] = "+"
+    out = {}
+    for h, p, _, s in rows:
+        purity = 0.5
+        for k in range(len(s) + 1):
+            under = [r[2] for r in rows if r[0] == h and r[3][:k] == s[:k] and len(r[3]) >= k and r[2]]
+            purity = (under.count("block") + 2 * purity) / (len(under) + 2)
+        out[h, p] = ("/".join(s), purity)
+    return out
+
+
+def test_tree_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    urls = {}
+    for _ in range(500):
+        host = rng.choice(["a.x", "b.x"])
+        section = rng.choice(["news", "shop", "blog", "tag", ""])
+        path = rng.choice([f"/{section}/{rng.choice('pqr')}/{rng.randint(0, 9)}", f"/{section}/{''.join(rng.choices('abcdefgh', k=4))}", f"/{section}", "", f"/{section}/deep/{'ab' * 9}/x/{rng.randint(0, 99)}"])
+        label = None if rng.random() < 0.4 else "block" if (section == "shop") != (rng.random() < 0.1) else "allow"
+        urls.setdefault((host, path), label)
+    rows = [(i, f"http://{h}{p}", v) for i, ((h, p), v) in enumerate(urls.items())]
+    rows += [(1000 + r[0], *r[1:]) for r in rows]  # repeated urls change nothing
+    df = spark.createDataFrame(rows, "page_id long, url string, v string")
+    want = brute_tree([(h, p, v) for (h, p), v in urls.items()])
+    got = url_filters.judge_urls(df, [], label=F.col("v")).collect()
+    assert len(got) == len(rows)
+    assert {r.template for r in got} == {t for t, _ in want.values()} and any("+" in t for t, _ in want.values()) and any("*" in t for t, _ in want.values())
+    for r in got:
+        template, purity = want[r.host, r.path]
+        assert r.template == template and abs(r.purity - purity) < 1e-9 and r.verdict == ("block" if purity >= 0.8 else "allow")
+    assert {r.verdict for r in got} == {"block", "allow"}
+
+
+def test_a_very_long_url(spark):
+    url = "http://h.x/" + "/".join(f"part{chr(97 + i % 26)}" for i in range(2000)) + "/" + "z" * 100_000
+    got = url_filters.judge_urls(spark.createDataFrame([(1, url), (1, url)], "page_id long, url string"), []).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0].path == url[len("http://h.x") :] and got[0].verdict == "allow"
