@@ -67,7 +67,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, stop: DataFrame | None = None,
         frontier = checkpointed(new.join(found, "node", "left_anti").withColumn("hops", F.lit(hops)))
         if frontier.isEmpty():
             return found
-        found = checkpointed(found.union(frontier))
+        # each round is written once; only now and then are they put together
+        found = found.union(frontier)
+        if hops % 16 == 0:
+            found = checkpointed(found)
 
 
 def topological_levels(edges: DataFrame) -> DataFrame:
@@ -78,10 +81,12 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     frontier = checkpointed(nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(0)))
     k = 0
     while not frontier.isEmpty():
-        levels = frontier if levels is None else checkpointed(levels.union(frontier).groupBy("node").agg(F.max("level").alias("level")))
+        levels = frontier if levels is None else levels.union(frontier)
         k += 1
+        if k % 16 == 0:
+            levels = checkpointed(levels.groupBy("node").agg(F.max("level").alias("level")))
         frontier = checkpointed(edges.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.lit(k).alias("level")).distinct())
-    return levels
+    return levels if levels is None else levels.groupBy("node").agg(F.max("level").alias("level"))
 
 
 def resolve_exports(own: DataFrame, reexports: DataFrame, rounds: int = 10) -> DataFrame:
