@@ -83,6 +83,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(table(spark, sf_dir, "documents"), vocabulary(), outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -150,10 +168,43 @@ SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.8 THEN
 FROM v JOIN j ON v.host = j.host AND v.shape = j.shape
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+q AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+qt AS (SELECT i, term, count(*) AS times FROM (SELECT i, unnest(terms) AS term FROM q) GROUP BY ALL),
+dt AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n, sum(len(terms))::BIGINT AS l FROM d),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM dt CROSS JOIN s GROUP BY term),
+m AS (SELECT k, doc_id, 100 - 75 + ((75 * len(terms) * s.n) // s.l) AS m FROM d CROSS JOIN s WHERE s.l > 0),
+x AS (SELECT i, m.k, m.doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m.m)))::BIGINT AS score FROM qt JOIN dt USING (term) JOIN w USING (term) JOIN m ON dt.k = m.k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r JOIN q USING (i) WHERE rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(concat(doc_id::VARCHAR, ':', run))), '..'), lambda b: ('0x' || b)::BIGINT)),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM runs CROSS JOIN crc),
+e AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+lacks AS (SELECT word, n, pos, substring(word, 1, pos) || substring(word, pos + 2) AS rest FROM (SELECT word, n, unnest(range(length(word)))::INT AS pos FROM w)),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM lacks a JOIN lacks b ON a.rest = b.rest AND a.pos = b.pos AND a.word <> b.word
+  UNION SELECT w.word, w.n, b.word, b.n FROM w JOIN lacks b ON w.word = b.rest
+  UNION SELECT b.word, b.n, w.word, w.n FROM w JOIN lacks b ON w.word = b.rest),
+best AS (SELECT word, count(*) AS n_near, min(CASE WHEN near_n >= 5 * n THEN {'minus': -near_n, 'form': near} END) AS b FROM pairs GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, b.form AS form, (-b.minus)::BIGINT AS form_n FROM w LEFT JOIN best USING (word)),
+t AS (SELECT word, word AS root FROM f UNION SELECT t.word, f.form FROM t JOIN f ON t.root = f.word WHERE f.form IS NOT NULL),
+last AS (SELECT t.word, t.root FROM t JOIN f ON t.root = f.word WHERE f.form IS NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN last USING (word)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_mix_sources, op4_repeated_passages, op5_near_dedup, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_embedding_dedup, op3_mix_sources, op4_repeated_passages, op5_near_dedup, op6_url_filters, op7_fingerprints, op8_toxicity, op9_secret_scan, op10_bpe, op11_lexical_search, op12_token_counts, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op6_url_filters": OP6_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op6_url_filters": OP6_SQL, "op11_lexical_search": OP11_SQL, "op13_spelling_variants": OP13_SQL}
