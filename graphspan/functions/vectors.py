@@ -71,3 +71,25 @@ def cross_entropy_softmax(logits: Column, target: Column) -> Column:
 def cross_entropy_sigmoid(z: Column, target: Column) -> Column:
     soft = F.log(1 + F.exp(-z))
     return soft * target + (1 - target) * (z + soft)
+
+
+def seeded_vector(key: Column, size: int, seed: int = 1) -> Column:
+    """A vector in [-1, 1) that depends on nothing but the key as text and the seed."""
+    digest = lambda i: F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), i.cast("string")).cast("binary"))
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.conv(F.substring(digest(i), 1, 12), 16, 10).cast("double") / float(1 << 47) - 1)
+
+
+def unit(v: Column) -> Column:
+    """The vector by its norm; a zero vector stays."""
+    n = norm(v)
+    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+
+
+def sum_arrays(df: DataFrame, keys: list[str], vector: str, size: int, out: str, count: str | None = None) -> DataFrame:
+    """keys, out[, count]: element-wise sums of vectors of a known small size, each element an aggregate of its own.
+
+    One row of sums for each key and task is shuffled, however many rows a key has.
+    """
+    sums = [F.sum(F.get(vector, F.lit(i))).alias(f"_s{i}") for i in range(size)]
+    rows = df.groupBy(*keys).agg(*sums, *([F.count("*").alias(count)] if count else []))
+    return rows.select(*keys, F.array(*[f"_s{i}" for i in range(size)]).alias(out), *([count] if count else []))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import graph, layers, lowering
+from ..operators import blocks, graph, layers, lowering
 from ..sources.tables import Tables, binary_relations, nodes
 from .graphs import NODES, RELS, literal_types
 from .registry import query
@@ -109,9 +109,8 @@ def tensor_binary(t: Tables) -> DataFrame:
 
 @query(f"""WITH {EMB}, x AS (SELECT vec_id, label, i, v[i + 1] AS a FROM emb, range({DIM}) r(i)) SELECT x.i::INT AS i, y.i::INT AS j, round(sum(x.a * y.a), 5) AS dot FROM x JOIN x y USING (vec_id) GROUP BY 1, 2""")
 def matrix_dot(t: Tables) -> DataFrame:
-    """A matrix, transposed, times itself: outer products of rows where they lie, summed before the shuffle."""
-    x = whole(t).select("v", F.posexplode("v").alias("i", "a")).select("i", "a", F.posexplode("v").alias("j", "b"))
-    return x.groupBy("i", "j").agg(F.round(F.sum(F.col("a") * F.col("b")), 5).alias("dot"))
+    """A matrix, transposed, times itself: a product for each batch of rows where they lie, summed before the shuffle."""
+    return blocks.gram(whole(t), "v").select("i", "j", F.round("dot", 5).alias("dot"))
 
 
 WEIGHTS = layers.seeded_weights("linear", 3, DIM)
