@@ -41,6 +41,8 @@ STRIP = 1 << 22
 RECALL = 0.995
 #: Made-up pairs, half of them along differences of the sample's vectors.
 PAIRS = 4000
+#: Links of the sample are heeded if there are so many.
+LEAST_PAIRS = 200
 #: Vectors for each entry of a table, on average.
 PER_ENTRY = 8
 #: With more tables than that, substrings become shorter.
@@ -96,6 +98,20 @@ def pairs_at(sample: np.ndarray, threshold: float, rng: np.random.Generator, n:
     return x, threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * step
 
 
+def pairs_found(sample: np.ndarray, threshold: float, n: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Up to n pairs of rows of the sample that are links, but not near copies: they lie where vectors are dense, as real links do."""
+    firsts, seconds = [np.zeros(0, int)], [np.zeros(0, int)]
+    for at in range(0, len(sample), 256):
+        if sum(map(len, firsts)) >= n:
+            break
+        close = sample[at : at + 256] @ sample[at:].T
+        i, j = np.nonzero((close >= threshold) & (close < (1 + threshold) / 2))
+        firsts.append(i[j > i] + at)
+        seconds.append(j[j > i] + at)
+    i, j = np.concatenate(firsts)[:n], np.concatenate(seconds)[:n]
+    return sample[i], sample[j]
+
+
 def learn_quantiser(sample: np.ndarray, rows: int, threshold: float, seed: int = 7) -> Quantiser:
     """sample: unit vectors; rows: how many vectors the tables are to hold."""
     d = sample.shape[1]
@@ -103,7 +119,9 @@ def learn_quantiser(sample: np.ndarray, rows: int, threshold: float, seed: int =
     mean = sample.mean(axis=0)
     _, pca = np.linalg.eigh((sample - mean).T @ (sample - mean))
     projected = (sample - mean) @ pca
-    x, y = (p - mean for p in pairs_at(sample, threshold, rng))
+    made, found = pairs_at(sample, threshold, rng), pairs_found(sample, threshold)
+    x, y = (np.concatenate(p) - mean for p in zip(made, found, strict=True))
+    kinds = [slice(0, PAIRS // 2), slice(PAIRS // 2, PAIRS), *([slice(PAIRS, None)] if len(found[0]) >= LEAST_PAIRS else [])]
     axes: list[np.ndarray] = []  # one axis each, in the order in which tables take them
     same: list[np.ndarray] = []  # whether the pairs agree on it
 
@@ -115,8 +133,8 @@ def learn_quantiser(sample: np.ndarray, rows: int, threshold: float, seed: int =
     def tables_of(width: int) -> int:
         met = np.zeros(len(x), bool)
         tables = 0
-        # both kinds of pairs must meet
-        while min(met[: len(x) // 2].mean(), met[len(x) // 2 :].mean()) < RECALL and tables < 4 * MANY_TABLES:
+        # all kinds of pairs must meet
+        while min(met[k].mean() for k in kinds) < RECALL and tables < 4 * MANY_TABLES:
             while len(axes) < (tables + 1) * width:
                 more()
             met |= np.logical_and.reduce(same[tables * width : (tables + 1) * width])
@@ -124,8 +142,11 @@ def learn_quantiser(sample: np.ndarray, rows: int, threshold: float, seed: int =
         return tables
 
     width = int(np.clip(round(math.log2(max(2, rows / PER_ENTRY))), 6, 60))
-    while (tables := tables_of(width)) > MANY_TABLES and width > 6:
+    while (tables := tables_of(width)) > MANY_TABLES and width > 1:
         width -= 1
+    if tables > MANY_TABLES:  # no number of tables would do: one entry holds all, which are compared block by block
+        width = tables = 1
+        axes[0] = np.zeros(d)
     n = tables * width
     apart = n - np.sum(same[:n], axis=0)
     return Quantiser(mean, np.column_stack(axes[:n]), width, tables, int(apart.max()) + 3)
@@ -206,7 +227,8 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     it.  Null, zero and non-finite vectors, and those that are not as long as
     most, link with nothing and are components of their own.  Repeated ids with
     equal vectors count as different vectors; equal cosines need no order, and
-    the smallest id of a component stands for it.  An empty table gives no rows;
+    the smallest id of a component stands for it.  Rows without an id link like
+    others and are kept; a component of such rows alone has no id.  An empty table gives no rows;
     other columns are ignored, whatever their names.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -219,9 +241,10 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == dim))
     classes = cut(rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("copies"), F.first("v").alias("v")))
     shared = cut(classes.groupBy(F.col("owner").alias("o")).count().where("count > 1").select("o"))
-    versions = not shared.isEmpty()  # an id with several vectors: its classes get negative numbers of their own
+    # an id with several vectors, or vectors without an id: such classes get negative numbers of their own
+    versions = not shared.isEmpty() or not classes.where("owner IS NULL").isEmpty()
     own = -1 - F.shiftrightunsigned(F.xxhash64("owner", "h1", "h2"), 1)
-    key = F.when(F.col("o").isNull(), F.col("owner")).otherwise(own) if versions else F.col("owner")
+    key = F.when(F.col("o").isNull() & F.col("owner").isNotNull(), F.col("owner")).otherwise(own) if versions else F.col("owner")
     classes = (classes.join(shared, F.col("owner").eqNullSafe(F.col("o")), "left") if versions else classes).withColumn("rep", key).drop("o")
     classes = cut(classes) if versions else classes
     drawn = classes.select("v", unit(F.col("rep"), 3).alias("u"), "rep").orderBy("u", "rep").limit(sample).select("v").toArrow()
