@@ -42,27 +42,38 @@ def maximal_segments(scored: list[tuple[int, float]], drift: float = DRIFT) -> l
     """All maximal-scoring segments (first token, end, score) of a sequence in which
     the listed positions have the listed positive scores and all others -drift.
 
-    Each candidate carries the running sum before and after it.  A new one joins
-    leftwards the nearest candidate with a lower sum before it, as long as that
-    one's sum after it is lower than its own.
+    Each candidate carries the running sum before and after it, and a link to the
+    last earlier candidate with a lower sum before it.  A new one follows links to the nearest candidate with a
+    lower sum before it than its own, and joins it as long as that one's sum after it is lower than its own.
+    What a link passes over is never looked at again, so the scan is linear.
     """
-    open_: list[tuple[int, int, float, float]] = []  # first, end, sum before, sum after
+    firsts: list[int] = []
+    ends: list[int] = []
+    befores: list[float] = []
+    afters: list[float] = []
+    links: list[int] = []
     total, at = 0.0, 0
     for position, score in scored:
         total -= drift * (position - at)
         first, before = position, total
         total += score
         at = position + 1
+        j = len(firsts) - 1
         while True:
-            j = len(open_) - 1
-            while j >= 0 and open_[j][2] >= before:
-                j -= 1
-            if j < 0 or open_[j][3] >= total:
-                open_.append((first, at, before, total))
+            while j >= 0 and befores[j] >= before:
+                j = links[j]
+            if j < 0 or afters[j] >= total:
                 break
-            first, before = open_[j][0], open_[j][2]
-            del open_[j:]
-    return [(a, b, after - before) for a, b, before, after in open_]
+            first, before, onward = firsts[j], befores[j], links[j]
+            for column in (firsts, ends, befores, afters, links):
+                del column[j:]
+            j = onward
+        firsts.append(first)
+        ends.append(at)
+        befores.append(before)
+        afters.append(total)
+        links.append(j)
+    return [(a, b, after - before) for a, b, before, after in zip(firsts, ends, befores, afters, strict=True)]
 
 
 @dataclass
