@@ -34,7 +34,8 @@ PEM = re.compile(r"-----(BEGIN|END) ([A-Z ]{0,40}PRIVATE KEY)-----")
 PEM_LINES = re.compile(r"(?:(?:\s|\\[rn])+(?:(?:Proc-Type|DEK-Info|Comment):[^\n\\]*|[A-Za-z0-9+/]{16,}={0,2}))*(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/]{1,15}={0,2}(?=[ \t]*(?:[\r\n\\\"']|\Z)))?", re.ASCII)
 GITHUB = re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")
 SLACK = re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")
-JWT = re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+#: Parts of a JSON web token: three of 10 letters and more (the first after its head) with dots between.
+JWT_HEAD, JWT_PART, JWT_LEAST = "eyJ", re.compile(r"[A-Za-z0-9_-]*"), 10
 
 
 def pem_spans(text: str) -> list[tuple[int, int]]:
@@ -48,6 +49,27 @@ def pem_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def jwt_spans(text: str) -> list[tuple[int, int]]:
+    """JSON web tokens, leftmost first and without overlap.
+
+    A head is only looked for once in a run of letters: a later one in the same
+    run is followed by the same parts and has fewer letters of its own.
+    """
+    spans, at = [], text.find(JWT_HEAD)
+    while at >= 0:
+        first = JWT_PART.match(text, at).end()
+        next_ = first
+        if first - at >= len(JWT_HEAD) + JWT_LEAST and text.startswith(".", first):
+            second = JWT_PART.match(text, first + 1).end()
+            if second - first > JWT_LEAST and text.startswith(".", second):
+                third = JWT_PART.match(text, second + 1).end()
+                if third - second > JWT_LEAST:
+                    spans.append((at, third))
+                    next_ = third
+        at = text.find(JWT_HEAD, next_)
+    return spans
+
+
 #: kind -> spans of a text.  The first three are the base kinds.
 RULES: dict[str, Callable[[str], list[tuple[int, int]]]] = {
     "assign": lambda t: [m.span() for m in ASSIGN.finditer(t) if m.end(2) - m.start(2) >= 8] if ASSIGN_HINT.search(t) else [],
@@ -56,7 +78,7 @@ RULES: dict[str, Callable[[str], list[tuple[int, int]]]] = {
     "pem": lambda t: pem_spans(t) if "PRIVATE KEY-----" in t else [],
     "github": lambda t: [m.span() for m in GITHUB.finditer(t)] if "gh" in t else [],
     "slack": lambda t: [m.span() for m in SLACK.finditer(t)] if "xox" in t else [],
-    "jwt": lambda t: [m.span() for m in JWT.finditer(t)] if "eyJ" in t else [],
+    "jwt": jwt_spans,
 }
 BASE_KINDS = ("assign", "access", "hex")
 ORDER = {k: i for i, k in enumerate(RULES)}
