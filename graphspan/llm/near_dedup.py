@@ -20,6 +20,7 @@ with it and sends on only what is linked by them; nothing is capped.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ BASE = 1.001
 #: Estimates below that are not verified: four standard errors under the limit.
 PROMISING = 0.6
 PIECE = 256
+#: Rows that those at home in a piece are compared with at a time.
+STRIP = 4096
 MULTIPLIERS = random_values(REGISTERS, 103)
 GRID = np.linspace(0.02, 1.0, 50)
 
@@ -69,25 +72,41 @@ def joint_estimate(larger: np.ndarray, smaller: np.ndarray, n_a: np.ndarray, n_b
     return np.take_along_axis(j, like.argmax(axis=1)[:, None], axis=1)[:, 0]
 
 
-def promising_pairs(regs: np.ndarray, n: np.ndarray, allowed: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, estimate), i < j, of the rows of regs whose sizes allow a link and whose estimate is promising."""
-    near = np.triu(100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]), 1)
-    if allowed is not None:
-        near &= allowed
-    i, j = np.nonzero(near)
+def sized_pairs(n: np.ndarray, comp: np.ndarray | None, guest: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows whose sizes allow a link, each once: rows at home against strips of all rows.
+
+    comp: only pairs of different components; guest: not pairs of two guests.  No
+    more than PIECE x STRIP cells are looked at together, however many rows there are.
+    """
+    home = np.arange(len(n)) if guest is None else np.flatnonzero(~guest)
+    for h in range(0, len(home), PIECE):
+        i = home[h : h + PIECE, None]
+        for s in range(0, len(n), STRIP):
+            j = np.arange(s, min(s + STRIP, len(n)))[None, :]
+            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            near &= (i < j) if guest is None else (i < j) | guest[j]
+            if comp is not None:
+                near &= comp[i] != comp[j]
+            a, b = np.nonzero(near)
+            yield i[a, 0], j[0, b]
+
+
+def promising_pairs(regs: np.ndarray, n: np.ndarray, comp: np.ndarray | None = None, guest: np.ndarray | None = None, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, estimate) of the rows of regs whose sizes allow a link and whose estimate is promising."""
     keep_i, keep_j, keep_e = [], [], []
-    for at in range(0, len(i), 4096):
-        a, b = i[at : at + 4096], j[at : at + 4096]
-        ra, rb = regs[a], regs[b]
-        equal = (ra == rb).sum(axis=1)
-        some = equal >= 0.5 * PROMISING * REGISTERS  # cheap: equal registers alone must be near
-        a, b, ra, rb = a[some], b[some], ra[some], rb[some]
-        if len(a):
-            e = joint_estimate((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), n[a].astype(float), n[b].astype(float))
-            good = e >= PROMISING
-            keep_i.append(a[good])
-            keep_j.append(b[good])
-            keep_e.append(e[good])
+    for i, j in sized_pairs(n, comp, guest, percent):
+        for at in range(0, len(i), 4096):
+            a, b = i[at : at + 4096], j[at : at + 4096]
+            ra, rb = regs[a], regs[b]
+            equal = (ra == rb).sum(axis=1)
+            some = equal >= 0.5 * PROMISING * REGISTERS  # cheap: equal registers alone must be near
+            a, b, ra, rb = a[some], b[some], ra[some], rb[some]
+            if len(a):
+                e = joint_estimate((ra > rb).sum(axis=1), (ra < rb).sum(axis=1), n[a].astype(float), n[b].astype(float))
+                good = e >= PROMISING
+                keep_i.append(a[good])
+                keep_j.append(b[good])
+                keep_e.append(e[good])
     if not keep_i:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     return np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_e)
@@ -148,7 +167,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("rep", "regs"), make, "rep bigint, key bigint, band int")
 
 
-def linked_across(regs: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, heads: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+def linked_across(regs: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, heads: Callable[[int], np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which of the pairs meet first in this band and are linked by the upper halves of their hashes.
 
     Upper halves of different hashes are seldom equal, so a pair within two
@@ -159,7 +178,7 @@ def linked_across(regs: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, hea
         a, b = regs[i[at : at + 4096]], regs[j[at : at + 4096]]
         out[at : at + 4096] = (a == b).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
     for k in np.flatnonzero(out):
-        x, y = heads[i[k]], heads[j[k]]
+        x, y = heads(i[k]), heads(j[k])
         common = len(np.intersect1d(x, y))
         out[k] = 100 * common >= (percent - 2) * (len(x) + len(y) - common)
     return out
@@ -201,9 +220,9 @@ def _search(members: DataFrame, across: bool) -> DataFrame:
                 continue
             regs = np.frombuffer(b"".join(t.column("regs").slice(a, b - a).to_pylist()), np.uint16).reshape(b - a, REGISTERS)
             if across:
-                c, g = comp[a:b], guest[a:b]
-                i, j, e = promising_pairs(regs, n[a:b], (c[:, None] != c[None, :]) & ~(g[:, None] & g[None, :]))
-                heads = [np.frombuffer(x, np.uint32) for x in t.column("heads").slice(a, b - a).to_pylist()]
+                i, j, e = promising_pairs(regs, n[a:b], comp[a:b], guest[a:b])
+                packed = t.column("heads").slice(a, b - a).combine_chunks()
+                heads = lambda k, packed=packed: np.frombuffer(packed[int(k)].as_buffer(), np.uint32)
                 pick = linked_across(regs, i, j, int(band[a]), heads)
             else:
                 i, j, e = promising_pairs(regs, n[a:b])
