@@ -1,4 +1,4 @@
 """Named queries over a folder of tables."""
 
-from . import datasets, encoders, graphs, lookups, metrics, names, programs, syntax, vectors  # noqa: F401
+from . import bounds, datasets, encoders, graphs, lookups, metrics, names, programs, syntax, vectors  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
