@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lattice, lowering, resolution
+from ..operators import lattice, lowering, resolution, syntax_text
 from ..operators.graph import checkpointed
 from ..operators.types import ast_sizes
 from ..sources.program import parse_modules
@@ -102,6 +102,36 @@ def module_imports(t: Tables) -> DataFrame:
     return resolution.collect_imports(rows, resolution.collect_exports(rows)).select("module", "name", "slot", "target")
 
 
+@query(f"""WITH {N}, l AS (SELECT m, list('a' || i ORDER BY i) AS args FROM a GROUP BY m)
+SELECT n.m AS module, 'export const customer: number = ' || c || chr(59) || chr(10) || 'function total (' || coalesce(array_to_string(args, ', '), '') || ')' || chr(10) || '{{' || chr(10)
+|| '  return price(' || array_to_string(list_append(coalesce(args, []), 'customer'), ', ') || ')' || chr(59) || chr(10) || '}}' || chr(10) AS text FROM n LEFT JOIN l ON n.m = l.m""")
+def module_text(t: Tables) -> DataFrame:
+    """The source text of every order's module."""
+    return syntax_text.source_text(checkpointed(parse_modules(order_modules(t)))).select("module", "text")
+
+
+CUSTOMER = ("customer", "m || '#1'", "'number'")
+HEAD = ["beginModule", "beginVarDef", "const", CUSTOMER, ("Number", "'lib:Number'", "NULL"), "endVarDef", "beginFuncDef", ("total", "m || '#3'", "NULL")]
+MIDDLE = ["beforeReturn", ("missing", "m || '#' || (5 + n)", "NULL"), "beginBlock", "beginVarDef", "const", ("missing", "m || '#' || (7 + n)", "NULL"), "beginCall", ("price", "'unknown:price'", "NULL")]
+END = [CUSTOMER, "endCall", "endVarDef", "return", ("missing", "m || '#' || (7 + n)", "NULL"), "endBlock", "endFuncDef", "endModule"]
+
+
+def sql_tokens(tokens: list) -> str:
+    """Keywords, and (name, node, target) in SQL, as a list of structs."""
+    one = lambda t: f"{{'t': '{t}', 'k': true, 'd': NULL::VARCHAR, 'g': NULL::VARCHAR}}" if isinstance(t, str) else f"{{'t': '{t[0]}', 'k': false, 'd': ({t[1]})::VARCHAR, 'g': ({t[2]})::VARCHAR}}"
+    return "[" + ", ".join(map(one, tokens)) + "]"
+
+
+@query(f"""WITH {N}, l AS (SELECT m, list({{'t': 'a' || i, 'k': false, 'd': m || '#' || (5 + i), 'g': NULL::VARCHAR}} ORDER BY i) AS args FROM a GROUP BY m),
+k AS (SELECT n.m, n.n, coalesce(args, []) AS args FROM n LEFT JOIN l ON n.m = l.m),
+s AS (SELECT m, list_concat({sql_tokens(HEAD)}, list_concat(args, list_concat({sql_tokens(MIDDLE)}, list_concat(args, {sql_tokens(END)})))) AS t FROM k)
+SELECT m AS module, (i - 1)::INT AS pos, t[i].t AS token, t[i].k AS keyword, t[i].d AS node, t[i].g AS target FROM s, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i) u""")
+def token_stream(t: Tables) -> DataFrame:
+    """Every order's module as a stream of tokens, with the types that users have given as targets."""
+    rows = checkpointed(parse_modules(order_modules(t)))
+    return syntax_text.token_stream(rows, resolution.resolve_names(rows)).drop("project")
+
+
 LINE_TYPES = """w AS (SELECT l_orderkey, l_returnflag AS label, list_reduce(list(CASE WHEN l_shipdate > TIMESTAMP '1996-01-01' THEN 'any' ELSE l_linestatus || (l_linenumber % 2) END ORDER BY l_linenumber, l_partkey, l_suppkey), lambda a, b: CASE WHEN a = 'any' THEN b WHEN b = 'any' THEN a WHEN a = b THEN a ELSE 'any' END) AS ty FROM lineitem GROUP BY 1, 2),
 m AS (SELECT l_orderkey, '{' || string_agg(label || ': ' || ty, ', ' ORDER BY label) || '}' AS type, count(*) AS n FROM w GROUP BY 1)"""
 
