@@ -14,6 +14,7 @@ from ..operators import lattice, lowering, resolution, syntax_text
 from ..operators.graph import checkpointed
 from ..operators.types import ast_sizes
 from ..sources.program import parse_modules
+from ..sources.projects import parse_projects, statuses
 from ..sources.tables import Tables
 from .registry import query
 
@@ -132,6 +133,17 @@ def token_stream(t: Tables) -> DataFrame:
     return syntax_text.token_stream(rows, resolution.resolve_names(rows)).drop("project")
 
 
+@query(f"""WITH {N}, p AS (SELECT 'c' || c AS project, count(*) AS k, sum(10 + 2 * n) AS nodes FROM n GROUP BY c)
+SELECT project, CASE WHEN k > 14 THEN 'too_big' WHEN k < 5 THEN 'too_small' ELSE 'ok' END AS status, (CASE WHEN k BETWEEN 5 AND 14 THEN k ELSE 0 END)::INT AS modules, k::INT AS lines, (CASE WHEN k BETWEEN 5 AND 14 THEN nodes ELSE 0 END)::INT AS nodes FROM p""")
+def project_status(t: Tables) -> DataFrame:
+    """Customers as projects of their orders' modules (a line each), parsed if they have 5 to 14 lines."""
+    names = F.regexp_extract("json", '"name": "([^"]*)"', 1)
+    owner = t.orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".ts")).alias("file"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("project"))
+    modules = order_modules(t).select(names.alias("path"), F.col("json").alias("text"))
+    files = modules.join(owner, F.col("path") == F.col("file")).select("project", "path", "text")
+    return statuses(parse_projects(files, most_lines=14, least_lines=5, seconds=600.0)).drop("reason")
+
+
 LINE_TYPES = """w AS (SELECT l_orderkey, l_returnflag AS label, list_reduce(list(CASE WHEN l_shipdate > TIMESTAMP '1996-01-01' THEN 'any' ELSE l_linestatus || (l_linenumber % 2) END ORDER BY l_linenumber, l_partkey, l_suppkey), lambda a, b: CASE WHEN a = 'any' THEN b WHEN b = 'any' THEN a WHEN a = b THEN a ELSE 'any' END) AS ty FROM lineitem GROUP BY 1, 2),
 m AS (SELECT l_orderkey, '{' || string_agg(label || ': ' || ty, ', ' ORDER BY label) || '}' AS type, count(*) AS n FROM w GROUP BY 1)"""
 
