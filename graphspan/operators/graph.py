@@ -89,20 +89,22 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     return levels if levels is None else levels.groupBy("node").agg(F.max("level").alias("level"))
 
 
-def resolve_exports(own: DataFrame, reexports: DataFrame, rounds: int = 10) -> DataFrame:
-    """module, symbol, origin after a fixed number of rounds.
+def resolve_exports(own: DataFrame, reexports: DataFrame, rounds: int | None = None) -> DataFrame:
+    """module, symbol, origin: exports through chains of any length (or so many rounds).
 
     own(module, symbol, origin); reexports(module, from_module).  A module's own
     symbols win over re-exported ones; of several re-exports the last origin wins.
+    Rounds go on until nothing changes: chains and cycles end, as origins only grow.
     """
-    exports = checkpointed(own.select("module", "symbol", "origin"))
-    for _ in range(rounds):
+    own = checkpointed(own.select("module", "symbol", "origin"))
+    exports = own
+    while rounds is None or rounds > 0:
         passed = reexports.join(exports.withColumnRenamed("module", "from_module"), "from_module").select("module", "symbol", "origin").groupBy("module", "symbol").agg(F.max("origin").alias("origin"))
-        new = checkpointed(own.select("module", "symbol", "origin").union(passed.join(own.select("module", "symbol"), ["module", "symbol"], "left_anti")))
-        stable = new.exceptAll(exports).isEmpty() and exports.exceptAll(new).isEmpty()
+        new = checkpointed(own.union(passed.join(own.select("module", "symbol"), ["module", "symbol"], "left_anti")))
+        if new.exceptAll(exports).isEmpty() and exports.exceptAll(new).isEmpty():
+            break
         exports = new
-        if stable:
-            break  # further rounds would give the same rows
+        rounds = None if rounds is None else rounds - 1
     return exports
 
 

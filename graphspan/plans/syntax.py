@@ -73,7 +73,7 @@ def resolve_names(t: Tables) -> DataFrame:
 
 def _lowered(t: Tables) -> DataFrame:
     rows = checkpointed(parse_modules(order_modules(t)))  # its uses, definitions and nodes are read apart
-    return resolution.lower_statements(rows, resolution.resolve_names(rows))
+    return resolution.lower_statements(rows, checkpointed(resolution.resolve_names(rows)))  # terms and super types are read apart
 
 
 @query(f"""WITH {N} SELECT m || '#1' AS lhs, 'lib:Number' AS rhs, 'equal' AS category FROM n UNION ALL SELECT m || '#' || (5 + n), m || '#' || (7 + n), 'assign' FROM n""")

@@ -11,7 +11,7 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..operators import lattice
@@ -21,6 +21,8 @@ NODE_SCHEMA = (
     "type string, mark string, exported string, is_const boolean, line int, path string, alias string, scopes array<int>"
 )
 COLUMNS = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+#: The columns between kind and scopes.
+FACTS = COLUMNS[COLUMNS.index("kind") + 1 : -1]
 EXTENSIONS = (".d.ts", ".tsx", ".ts")
 CONSTRUCTOR = "CONSTRUCTOR"
 
@@ -138,16 +140,16 @@ class Walk:
     """Rows of one module, in preorder."""
 
     def __init__(self, project: str, module: str):
-        self.base = {"project": project, "module": module}
-        self.rows: list[dict] = []
+        self.base = (project, module)
+        self.rows: list[tuple] = []
         self.scopes: dict[int, list[int]] = {0: [0]}
 
     def add(self, kind: str, parent: int | None, role: str, pos: int, block: int, **facts) -> int:
-        row = dict.fromkeys(COLUMNS) | self.base | {"id": len(self.rows), "parent": parent, "role": role, "pos": pos, "block": block, "kind": kind, "scopes": self.scopes[block]} | facts
+        own = len(self.rows)
+        self.rows.append((*self.base, own, parent, role, pos, block, kind, *[facts.get(c) for c in FACTS], self.scopes[block]))
         if kind == "Block":  # scopes from the outermost to the block
-            self.scopes[row["id"]] = [*self.scopes[block], row["id"]]
-        self.rows.append(row)
-        return row["id"]
+            self.scopes[own] = [*self.scopes[block], own]
+        return own
 
     @staticmethod
     def marked(mark) -> dict:
@@ -269,8 +271,8 @@ class Walk:
             self.expression(x, own, f"{label}:{r}" if label else r, i - first if r == "arg" else i if label else 0, block)
 
 
-def module_rows(project: str, text: str) -> list[dict]:
-    """Rows of one module {name, stmts}; a node `Module` stands at its root."""
+def module_rows(project: str, text: str) -> list[tuple]:
+    """Rows of one module {name, stmts}, values in the order of COLUMNS; a node `Module` stands at its root."""
     tree = read_lenient(text)
     walk = Walk(project, module_path(tree["name"]))
     root = walk.add("Module", None, "root", 0, 0, name=tree["name"], is_const=tree["name"].endswith(".d.ts"))
@@ -279,6 +281,21 @@ def module_rows(project: str, text: str) -> list[dict]:
     return walk.rows
 
 
+def row_of(**values) -> tuple:
+    """A row with these values and nulls."""
+    return tuple(values.get(c) for c in COLUMNS)
+
+
+ARROW_KINDS = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+ARROW = pa.schema([(name, ARROW_KINDS[kind]) for name, kind in map(str.split, NODE_SCHEMA.split(", "))])
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as an Arrow batch of NODE_SCHEMA."""
+    columns = zip(*rows, strict=True) if rows else [()] * len(COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ARROW, strict=True)], schema=ARROW)
+
+
 def parse_modules(rows: DataFrame) -> DataFrame:
     """rows(project, json) -> NODE_SCHEMA: a row per node of every module, as `module_rows` gives them.
 
@@ -286,26 +303,20 @@ def parse_modules(rows: DataFrame) -> DataFrame:
     value; null texts give none.
     """
 
-    def table(found: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(found, columns=COLUMNS)
-        for c in ("id", "parent", "pos", "block", "line"):
-            out[c] = out[c].astype("Int32")
-        out["is_const"] = out["is_const"].astype("boolean")
-        return out
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found: list[dict] = []
-            for project, text in zip(frame["project"], frame["json"], strict=True):
-                if text is None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for project, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not text.is_valid:
                     continue
                 try:
-                    found += module_rows(project, text)
+                    found += module_rows(project, text.as_py())
                 except (ValueError, KeyError, TypeError) as e:
-                    found.append(dict.fromkeys(COLUMNS) | {"project": project, "id": 0, "role": "root", "pos": 0, "block": 0, "kind": "Error", "value": f"{type(e).__name__}: {e}", "scopes": [0]})
+                    found.append(row_of(project=project, id=0, role="root", pos=0, block=0, kind="Error", value=f"{type(e).__name__}: {e}", scopes=[0]))
                 if len(found) > 20_000:
-                    yield table(found)
+                    yield packed_rows(found)
                     found = []
-            yield table(found)
+            if found:
+                yield packed_rows(found)
 
-    return rows.select("project", "json").mapInPandas(run, NODE_SCHEMA)
+    return rows.select("project", "json").mapInArrow(run, NODE_SCHEMA)

@@ -13,11 +13,11 @@ import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .program import COLUMNS, NODE_SCHEMA, module_rows
+from .program import NODE_SCHEMA, module_rows, packed_rows, row_of
 
 #: A row of this kind ends each project: status as value, the reason as name, parsed modules as pos, lines as line, rows as id.
 STATUS = "Project"
@@ -74,14 +74,14 @@ def parse_projects(files: DataFrame, most_lines: int | None = None, least_lines:
     within = files.join(judged.where("status IS NULL"), F.col("project").eqNullSafe(F.col("p"))).select("project", "path", "text", "lines")
     dealt = within.repartition("project").sortWithinPartitions("project", "path")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
-        for frame in frames:
-            for project, path, text, n in zip(frame["project"], frame["path"], frame["text"], frame["lines"], strict=True):
+        for batch in batches:
+            for project, path, text, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now["project"] != project:
                     if now is not None:
                         yield ended(now)
-                    now = {"project": project, "lines": int(n), "rows": [], "modules": 0, "status": "ok", "why": None, "left": seconds}
+                    now = {"project": project, "lines": n, "rows": [], "modules": 0, "status": "ok", "why": None, "left": seconds}
                 if now["status"] == "ok":
                     parse(now, path, text or "")
         if now is not None:
@@ -100,15 +100,11 @@ def parse_projects(files: DataFrame, most_lines: int | None = None, least_lines:
         if now["left"] is not None:
             now["left"] = max(1e-3, now["left"] - (time.monotonic() - began))
 
-    def ended(now: dict) -> pd.DataFrame:
-        last = dict.fromkeys(COLUMNS) | {"project": now["project"], "kind": STATUS, "value": now["status"], "name": now["why"], "pos": now["modules"], "line": now["lines"], "id": len(now["rows"])}
-        out = pd.DataFrame([*now["rows"], last], columns=COLUMNS)
-        for c in ("id", "parent", "pos", "block", "line"):
-            out[c] = out[c].astype("Int32")
-        out["is_const"] = out["is_const"].astype("boolean")
-        return out
+    def ended(now: dict) -> pa.RecordBatch:
+        last = row_of(project=now["project"], kind=STATUS, value=now["status"], name=now["why"], pos=now["modules"], line=now["lines"], id=len(now["rows"]))
+        return packed_rows([*now["rows"], last])
 
-    parsed = dealt.mapInPandas(run, NODE_SCHEMA)
+    parsed = dealt.mapInArrow(run, NODE_SCHEMA)
     known = {"project": F.col("p"), "kind": F.lit(STATUS), "value": F.col("status"), "pos": F.lit(0), "line": F.col("lines").cast("int"), "id": F.lit(0)}
     rest = judged.where("status IS NOT NULL").select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in parsed.schema.fields])
     return parsed.unionByName(rest)
