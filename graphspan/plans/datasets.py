@@ -188,15 +188,17 @@ def sampled_assignments(t: Tables) -> DataFrame:
     return search.sampled_assignments(*_search_input(t), samples=3)
 
 
-COVER = {1: 4.0, 2: 3.0, 3: 5.0, 4: 3.0}
-COVER_PAIRS = [(1, 2), (1, 4), (4, 3), (1, 3), (2, 3)]
-
-
-@query("""SELECT node, left_over, left_over = 0 AS covered FROM (VALUES (1, 0.0::DOUBLE), (2, 0.0::DOUBLE), (3, 3.0::DOUBLE), (4, 0.0::DOUBLE)) v(node, left_over)""")
+@query("""WITH RECURSIVE c AS (SELECT c_nationkey AS p, c_custkey AS node, 1 + floor(abs(c_acctbal)) AS cost, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS next FROM customer),
+r AS (SELECT p, node, k, cost AS owing, 0.0::DOUBLE AS left_over, next FROM c WHERE k = 1
+UNION ALL SELECT c.p, c.node, c.k, CASE WHEN owing > 1e-6 AND cost > 1e-6 THEN cost - least(owing, cost) ELSE cost END, CASE WHEN owing > 1e-6 AND cost > 1e-6 THEN owing - least(owing, cost) ELSE owing END, c.next FROM r JOIN c ON c.p = r.p AND c.k = r.k + 1),
+f AS (SELECT p, node, k, coalesce(lead(left_over) OVER (PARTITION BY p ORDER BY k), owing)::DOUBLE AS left_over FROM r)
+SELECT p::INT AS project, node, left_over, left_over = 0 AS covered FROM f WHERE p IN (SELECT p FROM c WHERE k = 2)""")
 def weighted_cover(t: Tables) -> DataFrame:
-    """The pricing method on a small graph: what is left of each node's cost."""
-    cover, left = search.weighted_patch_any(COVER, COVER_PAIRS)
-    return t.spark.createDataFrame([(n, c, n in cover) for n, c in sorted(left.items())], "node int, left_over double, covered boolean")
+    """The pricing method over each nation's customers, of whom neighbours in the order of keys are bad pairs: what is left of each one's cost."""
+    w = Window.partitionBy("project").orderBy("a")
+    rows = t.customer.select(F.col("c_nationkey").cast("int").alias("project"), F.col("c_custkey").cast("bigint").alias("a"), (1 + F.floor(F.abs("c_acctbal"))).cast("double").alias("cost_a"))
+    pairs = rows.select("*", F.lead("a").over(w).alias("b"), F.lead("cost_a").over(w).alias("cost_b")).where("b IS NOT NULL")
+    return search.weighted_cover(pairs)
 
 
 @query("""WITH s AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT pos::INT AS pos, count(*) AS batch_size FROM s, LATERAL (SELECT unnest(range(n)) AS pos) GROUP BY 1""")

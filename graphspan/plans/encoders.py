@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.names import select_by_frequency, segment_name
 from ..functions.vectors import seeded_vector
-from ..operators import blocks, encoders, gradients, lattice
+from ..operators import blocks, encoders, gradients, lattice, lowering
 from ..operators.blocks import Layer
 from ..operators.graph import checkpointed
 from ..operators.layers import seeded_weights
+from ..operators.types import ast_sizes, nongenerify, subtype_pairs
 from ..sources.tables import Tables, binary_relations
 from .graphs import RELS
 from .names import SEGMENTS
@@ -61,7 +62,7 @@ EMPTY = seeded_weights("emptyObject", 1, SIZE)[0]
 
 def type_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(types, children): a nation is an object with its region, a customer one with nation and segment, an order a function from a customer to the type of its lines."""
-    made = lambda df, tag, key, kind: df.select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("type_id"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("name"))
+    made = lambda df, tag, key, kind: df.select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("type_id"), F.lit(kind).alias("kind"), (F.concat(F.lit(tag), F.col(key).cast("string")) if kind == "var" else F.lit(None).cast("string")).alias("name"))
     held = lambda df, tag, key, pos, label, child: df.select(F.concat(F.lit(tag), F.col(key).cast("string")).alias("type_id"), F.lit(pos).alias("pos"), F.lit(label).cast("string").alias("label"), child.alias("child"))
     of = lambda tag, c: F.concat(F.lit(tag), F.col(c).cast("string"))
     lines = checkpointed(line_types(t))
@@ -76,6 +77,38 @@ def type_graph(t: Tables) -> tuple[DataFrame, DataFrame]:
     return checkpointed(types), checkpointed(reduce(DataFrame.union, parts, children))
 
 
+TYPE_TEXTS = f"""{LINE_TYPES}, ft AS (SELECT DISTINCT type, label, ty FROM w JOIN m USING (l_orderkey)), cx AS (SELECT 'c:' || c_custkey AS id, '{{nation: {{region: r:' || n_regionkey || '}}, segment: m:' || c_mktsegment || '}}' AS text FROM customer JOIN nation ON c_nationkey = n_nationkey),
+tx AS (SELECT 'r:' || r_regionkey AS id, 'var' AS kind, 1 AS size, 'r:' || r_regionkey AS text FROM region UNION ALL SELECT DISTINCT 'm:' || c_mktsegment, 'var', 1, 'm:' || c_mktsegment FROM customer
+UNION ALL SELECT DISTINCT ty, CASE WHEN ty = 'any' THEN 'any' ELSE 'var' END, 1, ty FROM w UNION ALL SELECT 'n:' || n_nationkey, 'object', 2, '{{region: r:' || n_regionkey || '}}' FROM nation UNION ALL SELECT id, 'object', 4, text FROM cx
+UNION ALL SELECT DISTINCT type, 'object', 1 + n, type FROM m UNION ALL SELECT 'o:' || o_orderkey, 'func', 6 + n, '(' || text || ')->' || type FROM orders JOIN m ON l_orderkey = o_orderkey JOIN cx ON id = 'c:' || o_custkey)"""
+
+
+@query(f"WITH {TYPE_TEXTS} SELECT id AS type_id, text FROM tx")
+def type_pretty(t: Tables) -> DataFrame:
+    """Every type of the graph of types as text."""
+    return lowering.type_texts(*type_graph(t))
+
+
+@query(f"WITH {TYPE_TEXTS} SELECT id AS type_id, size::BIGINT AS size FROM tx")
+def type_ast_size(t: Tables) -> DataFrame:
+    """Tree sizes of the same types."""
+    return ast_sizes(*type_graph(t))
+
+
+@query(f"WITH {TYPE_TEXTS} SELECT id AS type_id, CASE kind WHEN 'func' THEN 'Function' WHEN 'var' THEN text ELSE 'any' END AS target FROM tx")
+def nongenerify_types(t: Tables) -> DataFrame:
+    return nongenerify(type_graph(t)[0])
+
+
+@query(f"""WITH {TYPE_TEXTS}, ts AS (SELECT DISTINCT type AS x, false AS leaf FROM m UNION ALL SELECT DISTINCT ty, true FROM w),
+bad AS (SELECT DISTINCT a.x AS c, p.type AS p FROM ts a JOIN ft p ON true LEFT JOIN ft k ON k.type = a.x AND k.label = p.label AND (k.ty = p.ty OR k.ty = 'any' OR p.ty = 'any') WHERE NOT a.leaf AND k.type IS NULL)
+SELECT a.x AS child, b.x AS parent FROM ts a, ts b WHERE a.x = b.x OR a.x = 'any' OR b.x = 'any' OR (NOT a.leaf AND NOT b.leaf AND NOT EXISTS (SELECT 1 FROM bad WHERE c = a.x AND p = b.x))""")
+def subtype_pairs_fixpoint(t: Tables) -> DataFrame:
+    """All pairs of subtypes among the types of lines and their parts."""
+    types, children = lattice.hash_consed(checkpointed(line_types(t)), "type")
+    return subtype_pairs(checkpointed(types), checkpointed(children))
+
+
 def type_embeddings(t: Tables) -> DataFrame:
     types, children = type_graph(t)
     leaves = types.where("kind IN ('any', 'var')").select("type_id", seeded_vector(F.concat(F.lit("leaf/"), F.col("type_id")), SIZE).alias("vec"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, messages
 from ..operators.order import numbered
-from ..operators.types import ast_sizes, nongenerify, subtype_pairs
 from ..sources.tables import Tables, binary_relations, nodes
 from .registry import query
 
@@ -165,35 +164,6 @@ def object_labels(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_orderkey").alias("node")).agg(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_set("l_linenumber")), ", "), F.lit("]")).alias("labels"))
 
 
-def literal_types(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A small context of types: points in two and three dimensions, comparators, any."""
-    types = [("any", "any", None), ("int", "var", "int"), ("number", "var", "number"), ("string", "var", "string"), ("p2", "object", None), ("p3", "object", None), ("p2s", "object", None), ("cmp", "func", None), ("cmp_any", "func", None), ("cmp3", "func", None), ("node", "object", None), ("loop", "object", None)]
-    kids = [
-        ("p2", 0, "x", "int"), ("p2", 1, "y", "int"), ("p3", 0, "x", "int"), ("p3", 1, "y", "int"), ("p3", 2, "z", "int"), ("p2s", 0, "x", "string"), ("p2s", 1, "y", "int"),
-        ("cmp", 0, None, "p2"), ("cmp", -1, None, "int"), ("cmp_any", 0, None, "any"), ("cmp_any", -1, None, "int"), ("cmp3", 0, None, "p3"), ("cmp3", -1, None, "int"),
-        ("node", 0, "next", "node"), ("node", 1, "value", "int"), ("loop", 0, "next", "node"),
-    ]
-    return t.spark.createDataFrame(types, "type_id string, kind string, name string"), t.spark.createDataFrame(kids, "type_id string, pos int, label string, child string")
-
-
-@query("""WITH t AS (SELECT unnest(['any', 'int', 'number', 'string', 'p2', 'p3', 'p2s', 'cmp', 'cmp_any', 'cmp3', 'node', 'loop']) AS x),
-also AS (SELECT * FROM (VALUES ('p3', 'p2'), ('cmp', 'cmp3'), ('cmp', 'cmp_any'), ('cmp3', 'cmp_any'), ('cmp_any', 'cmp'), ('cmp_any', 'cmp3'), ('node', 'loop')) v(c, p))
-SELECT a.x AS child, b.x AS parent FROM t a, t b WHERE a.x = b.x OR a.x = 'any' OR b.x = 'any' OR (a.x, b.x) IN (SELECT (c, p) FROM also)""")
-def subtype_pairs_fixpoint(t: Tables) -> DataFrame:
-    return subtype_pairs(*literal_types(t))
-
-
-@query("""SELECT * FROM (VALUES ('any', 'any'), ('int', 'int'), ('number', 'number'), ('string', 'string'), ('p2', 'any'), ('p3', 'any'), ('p2s', 'any'), ('cmp', 'Function'), ('cmp_any', 'Function'), ('cmp3', 'Function'), ('node', 'any'), ('loop', 'any')) AS v(type_id, target)""")
-def nongenerify_types(t: Tables) -> DataFrame:
-    return nongenerify(literal_types(t)[0])
-
-
-@query("""SELECT * FROM (VALUES ('any', 1), ('int', 1), ('number', 1), ('string', 1), ('p2', 3), ('p3', 4), ('p2s', 3), ('cmp', 5), ('cmp_any', 3), ('cmp3', 6)) AS v(type_id, size)""".replace("(type_id, size)", "(type_id, s0)").replace("SELECT *", "SELECT type_id, s0::BIGINT AS size"))
-def type_ast_size(t: Tables) -> DataFrame:
-    """Tree sizes of the types that do not contain themselves."""
-    return ast_sizes(*literal_types(t))
-
-
 @query(f"WITH {NODES} SELECT node, row_number() OVER (ORDER BY from_lib DESC, node)::INT - 1 AS idx FROM nodes WHERE is_type")
 def prediction_space_index(t: Tables) -> DataFrame:
     """Library types first, numbered range by range of the order."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import blocks, graph, layers, lowering
 from ..sources.tables import Tables, binary_relations, nodes
-from .graphs import NODES, RELS, literal_types
+from .graphs import NODES, RELS
 from .registry import query
 from .vectors import DIM, EMB, elements, whole
 
@@ -46,31 +46,30 @@ def define_relations(t: Tables) -> DataFrame:
     return lowering.definitions(statements(t))
 
 
+#: Forms of statements; # stands for the number of a page.
 IMPORTS = [
-    "import A from './a';", "import * as B from \"lib/b\";", "import {c} from 'c'", "import { d as e, f, } from './d'", "import G, {h} from 'g'", "import 'side/effect';", "import K = require('k');",
+    "import A# from './a#';", "import * as B# from \"lib/b#\";", "import {c#} from 'c#'", "import { d# as e#, f#, } from './d#'", "import G#, {h#} from 'g#'", "import 'side/effect#';", "import K# = require('k#');",
 ]
+EXPORTS = ["export default Main#;", "export {a#, b# as c#}", "export * from './x#'", "export {d#} from \"y#\"", "export as namespace N#;"]
 
 
-@query("""SELECT * FROM (VALUES (0, 'default', './a', 'default', 'A'), (1, 'module', 'lib/b', '*', 'B'), (2, 'single', 'c', 'c', 'c'), (3, 'single', './d', 'd', 'e'), (3, 'single', './d', 'f', 'f'),
-(4, 'default', 'g', 'default', 'G'), (4, 'single', 'g', 'h', 'h'), (5, 'none', 'side/effect', NULL, NULL), (6, 'require', 'k', '*', 'K')) v(i, kind, path, name, alias)""")
-def import_patterns(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(list(enumerate(IMPORTS)), "i int, text string")
-    return rows.select("i", F.explode(lowering.parse_import(F.col("text"))).alias("e")).select("i", "e.*")
+def page_statements(t: Tables, forms: list[str]) -> DataFrame:
+    """page_id, text: a statement for every page, in turns of the forms."""
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % len(forms)).cast("int") + 1)
+    return t.pages.select("page_id", F.replace(form, F.lit("#"), F.col("page_id").cast("string")).alias("text"))
 
 
-EXPORTS = ["export default Main;", "export {a, b as c}", "export * from './x'", "export {d} from \"y\"", "export as namespace N;"]
+@query("""WITH v AS (SELECT * FROM (VALUES (0, 'default', './a#', 'default', 'A#'), (1, 'module', 'lib/b#', '*', 'B#'), (2, 'single', 'c#', 'c#', 'c#'), (3, 'single', './d#', 'd#', 'e#'), (3, 'single', './d#', 'f#', 'f#'),
+(4, 'default', 'g#', 'default', 'G#'), (4, 'single', 'g#', 'h#', 'h#'), (5, 'none', 'side/effect#', NULL, NULL), (6, 'require', 'k#', '*', 'K#')) v(i, kind, path, name, alias))
+SELECT page_id, kind, replace(path, '#', page_id::VARCHAR) AS path, replace(name, '#', page_id::VARCHAR) AS name, replace(alias, '#', page_id::VARCHAR) AS alias FROM pages JOIN v ON page_id % 7 = i""")
+def import_patterns(t: Tables) -> DataFrame:
+    return page_statements(t, IMPORTS).select("page_id", F.explode(lowering.parse_import(F.col("text"))).alias("e")).select("page_id", "e.*")
 
 
-@query("""SELECT * FROM (VALUES (0, 'default', NULL, 'Main', 'default'), (1, 'single', NULL, 'a', 'a'), (1, 'single', NULL, 'b', 'c'), (2, 'all', './x', '*', '*'), (3, 'single', 'y', 'd', 'd'), (4, 'namespace', NULL, 'N', 'N')) v(i, kind, path, name, alias)""")
+@query("""WITH v AS (SELECT * FROM (VALUES (0, 'default', NULL, 'Main#', 'default'), (1, 'single', NULL, 'a#', 'a#'), (1, 'single', NULL, 'b#', 'c#'), (2, 'all', './x#', '*', '*'), (3, 'single', 'y#', 'd#', 'd#'), (4, 'namespace', NULL, 'N#', 'N#')) v(i, kind, path, name, alias))
+SELECT page_id, kind, replace(path, '#', page_id::VARCHAR) AS path, replace(name, '#', page_id::VARCHAR) AS name, replace(alias, '#', page_id::VARCHAR) AS alias FROM pages JOIN v ON page_id % 5 = i""")
 def export_patterns(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame(list(enumerate(EXPORTS)), "i int, text string")
-    return rows.select("i", F.explode(lowering.parse_export(F.col("text"))).alias("e")).select("i", "e.*")
-
-
-@query("""SELECT * FROM (VALUES ('any', 'any'), ('int', 'int'), ('number', 'number'), ('string', 'string'), ('p2', '{x: int, y: int}'), ('p3', '{x: int, y: int, z: int}'), ('p2s', '{x: string, y: int}'),
-('cmp', '({x: int, y: int})->int'), ('cmp_any', '(any)->int'), ('cmp3', '({x: int, y: int, z: int})->int')) v(type_id, text)""")
-def type_pretty(t: Tables) -> DataFrame:
-    return lowering.type_texts(*literal_types(t))
+    return page_statements(t, EXPORTS).select("page_id", F.explode(lowering.parse_export(F.col("text"))).alias("e")).select("page_id", "e.*")
 
 
 @query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type, p_size) AS root FROM part) SELECT DISTINCT l_orderkey, root AS l_partkey FROM lineitem JOIN m ON l_partkey = p_partkey""")

@@ -161,10 +161,11 @@ def sgd_step(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.round(-0.01 * F.sum("value"), 3).alias("moved"), F.round(F.sqrt(F.sum(F.col("value") * F.col("value")) / F.count("*")), 5).alias("grad_norm"))
 
 
-@query("""SELECT k::INT AS k, round(2.0 * ln(2) / ln(k + 1), 6) AS log_t, round(2.0 * pow(0.95, k - 1), 6) AS exp_t, round(2.0::DOUBLE / k, 6) AS fast_t, round(greatest(0.3, 1 - 0.7 * k / 100), 6)::DOUBLE AS lr FROM range(1, 101) r(k)""")
+@query("""SELECT k::INT AS k, round(2.0 * ln(2) / ln(k + 1), 6) AS log_t, round(2.0 * pow(0.95, k - 1), 6) AS exp_t, round(2.0::DOUBLE / k, 6) AS fast_t, round(greatest(0.3, 1 - 0.7 * k / 100), 6)::DOUBLE AS lr FROM (SELECT event_id + 1 AS k FROM events)""")
 def anneal_schedules(t: Tables) -> DataFrame:
+    """Temperatures and learning rates at the step of every event."""
     k = F.col("k")
-    rows = t.spark.range(1, 101).select(F.col("id").cast("int").alias("k"))
+    rows = t.events.select((F.col("event_id") + 1).cast("int").alias("k"))
     return rows.select("k", *[F.round(c, 6).alias(n) for n, c in (("log_t", S.anneal_log(2.0, k)), ("exp_t", S.anneal_exp(2.0, 0.95, k)), ("fast_t", S.anneal_fast(2.0, k)), ("lr", S.learning_rate_scale(k, 100).cast("double")))])
 
 

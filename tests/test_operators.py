@@ -76,14 +76,14 @@ def test_longest_prefix(spark):
 
 
 def point_context(spark):
-    from graphspan.plans.graphs import literal_types
-
-    class T:
-        pass
-
-    t = T()
-    t.spark = spark
-    return literal_types(t)
+    """A small context of types: points in two and three dimensions, comparators, types that contain themselves, any."""
+    kinds = [("any", "any", None), ("int", "var", "int"), ("number", "var", "number"), ("string", "var", "string"), ("p2", "object", None), ("p3", "object", None), ("p2s", "object", None), ("cmp", "func", None), ("cmp_any", "func", None), ("cmp3", "func", None), ("node", "object", None), ("loop", "object", None)]
+    kids = [
+        ("p2", 0, "x", "int"), ("p2", 1, "y", "int"), ("p3", 0, "x", "int"), ("p3", 1, "y", "int"), ("p3", 2, "z", "int"), ("p2s", 0, "x", "string"), ("p2s", 1, "y", "int"),
+        ("cmp", 0, None, "p2"), ("cmp", -1, None, "int"), ("cmp_any", 0, None, "any"), ("cmp_any", -1, None, "int"), ("cmp3", 0, None, "p3"), ("cmp3", -1, None, "int"),
+        ("node", 0, "next", "node"), ("node", 1, "value", "int"), ("loop", 0, "next", "node"),
+    ]
+    return spark.createDataFrame(kinds, "type_id string, kind string, name string"), spark.createDataFrame(kids, "type_id string, pos int, label string, child string")
 
 
 def test_subtyping(spark):
@@ -208,3 +208,23 @@ def test_source_files(spark, tmp_path):
     (tmp_path / "a.d.ts").write_text("one\ntwo")
     rows = json_ast.source_files(spark, str(tmp_path)).toPandas()
     assert isinstance(rows, pd.DataFrame) and rows["loc"].tolist() == [2] and rows["is_decl"].tolist() == [True]
+
+
+def test_subtypes_of_the_point_context(spark):
+    """All pairs, as stated by hand: any with everything, wider objects below narrower ones, functions the other way in their arguments, types that contain themselves."""
+    context = point_context(spark)
+    names = [r.type_id for r in context[0].collect()]
+    also = {("p3", "p2"), ("cmp", "cmp3"), ("cmp", "cmp_any"), ("cmp3", "cmp_any"), ("cmp_any", "cmp"), ("cmp_any", "cmp3"), ("node", "loop")}
+    want = {(a, b) for a in names for b in names if a == b or "any" in (a, b)} | also
+    assert {(r.child, r.parent) for r in types.subtype_pairs(*context).collect()} == want
+    assert {r.type_id: r.size for r in types.ast_sizes(*context).collect()} == {"any": 1, "int": 1, "number": 1, "string": 1, "p2": 3, "p3": 4, "p2s": 3, "cmp": 5, "cmp_any": 3, "cmp3": 6}
+
+
+def test_weighted_cover_of_each_project(spark):
+    from graphspan.operators import search
+
+    cost = {1: 4.0, 2: 3.0, 3: 5.0, 4: 3.0}
+    rows = [(p, a, b, cost[a], cost[b]) for p in (1, 2) for a, b in [(1, 2), (1, 4), (3, 4), (1, 3), (2, 3)]]
+    got = {(r.project, r.node): (r.left_over, r.covered) for r in search.weighted_cover(spark.createDataFrame(rows, "project int, a bigint, b bigint, cost_a double, cost_b double")).collect()}
+    # in order: (1, 2) pays 3, (1, 3) pays 1, then 1 and 2 are paid for; (3, 4) pays 3
+    assert got == {(p, n): x for p in (1, 2) for n, x in {1: (0.0, True), 2: (0.0, True), 3: (1.0, False), 4: (0.0, True)}.items()}
