@@ -33,11 +33,13 @@ def select_by_frequency(counts: DataFrame, key: str, count: str, coverage: float
     """Rows of counts above min_count, most frequent first (ties by key), as long as the share before
     a row is under coverage; at_least rows if there are so many.
 
-    Counts are summed before this; running sums go range by range of the order.
+    Counts are summed once, before this; running sums go range by range of the order.
     """
+    from ..operators.graph import checkpointed
     from ..operators.order import running
 
-    kept = counts.select(F.col(key).alias("_key"), F.col(count).alias("_count")).where(F.col("_count") > min_count)
+    # the ranges, the rows in them and the total are read apart: counted once, behind a checkpoint
+    kept = checkpointed(counts.select(F.col(key).alias("_key"), F.col(count).alias("_count")).where(F.col("_count") > min_count))
     ranked = running(kept, [F.desc("_count"), F.asc("_key")], {"_before": F.col("_count"), "_rank": F.lit(1)})
     total = F.broadcast(kept.agg(F.sum("_count").alias("_total")))  # one row
     covered = F.col("_before") / F.col("_total")

@@ -165,7 +165,7 @@ def named(counts: DataFrame, coverage: float) -> DataFrame:
     """label, vec of counts(word, n): segments are weighed by the uses of their words, those outside the coverage share buckets."""
     counts = checkpointed(counts)
     uses = counts.select("n", F.explode(segment_name(F.col("word"))).alias("segment")).groupBy("segment").agg(F.sum("n").alias("uses"))
-    vocabulary = checkpointed(select_by_frequency(checkpointed(uses), "segment", "uses", coverage))
+    vocabulary = checkpointed(select_by_frequency(uses, "segment", "uses", coverage))
     return encoders.encode_labels(counts, "word", vocabulary, NAME, SIZE)
 
 
