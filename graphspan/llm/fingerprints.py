@@ -10,8 +10,9 @@ of the lexicon sorts those of its terms and hashes them.  Subsets thin out with
 the length of the text, by powers of two, so that each keeps about one term of a
 document and survives small edits.  The hashes at the next power are kept as
 well, and two texts are compared at a power that both have, so a copy on the
-other side of a boundary stays alike.  All is DataFrame functions: no Python on
-the executors.
+other side of a boundary stays alike.  A text that has no term in any subset is
+told by a hash of all its terms instead, so only empty texts look alike by having
+nothing.  All is DataFrame functions: no Python on the executors.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BAND = (1e-4, 0.02)
 BAND_ROWS = 2_000_000
 #: Marks a subset in which a document has no term.
 NONE = "-"
+#: Begins the first place of a text that no subset has a term of; a hash of all its terms follows.
+WHOLE = "="
 #: Documents of one ordered run, what a task sorts; and runs at most, beyond which runs get longer (sorts spill).
 RUN, MOST_RUNS = 500, 100_000
 
@@ -82,18 +85,35 @@ def in_subsets(terms: Column, level: Column) -> Column:
     return F.filter(terms, lambda t: slot_of(t, level) < SUBSETS)
 
 
-def fingerprint_of(terms: Column, level: Column) -> Column:
-    """Struct of level, chosen (sorted structs of subset and term) and fp: SUBSETS hashes at the level, and as many at the next.
+def sketch(text: Column, level: Column) -> Column:
+    """Struct of terms, those that some subset of the level has, and mark, which stands for all terms.
+
+    The mark does not depend on their order.  A text without terms is marked by
+    itself, an empty one not at all.
+    """
+    mark = lambda ts: F.when(F.size(ts) > 0, F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(t))).when(text != "", F.xxhash64(text))
+    return let(terms_of(text), lambda ts: F.struct(in_subsets(ts, level).alias("terms"), mark(ts).alias("mark")))
+
+
+def marked(hashes: Column, x: Column) -> Column:
+    """hashes, the first replaced by WHOLE and the mark if x has chosen no terms but has a mark."""
+    own = F.concat(F.lit(WHOLE), F.lower(F.hex(x["mark"])))
+    return F.when((F.size(x["chosen"]) == 0) & x["mark"].isNotNull(), F.concat(F.array(own), F.slice(hashes, 2, SUBSETS - 1))).otherwise(hashes)
+
+
+def fingerprint_of(terms: Column, level: Column, mark: Column) -> Column:
+    """Struct of level, mark, chosen (sorted structs of subset and term) and fp: SUBSETS hashes at the level, and as many at the next.
 
     terms: those of the band that the level's subsets have.  The subset s has the
     terms h with h / 2**18 mod (SUBSETS * thin) = s, thin being 2 to the level.
     """
     def complete(x: Column) -> Column:
-        above = let(at_level(x["chosen"], x["level"] + 1), digests)
-        return F.struct(x["level"].alias("level"), x["chosen"].alias("chosen"), F.concat(digests(x["chosen"]), above).alias("fp"))
+        at = lambda chosen: marked(let(chosen, digests), x)
+        fp = F.concat(at(x["chosen"]), at(at_level(x["chosen"], x["level"] + 1)))
+        return F.struct(x["level"].alias("level"), x["mark"].alias("mark"), x["chosen"].alias("chosen"), fp.alias("fp"))
 
     chosen = lambda v: F.sort_array(F.transform(terms, lambda t: F.struct(slot_of(t, v).alias("s"), t.alias("t"))))
-    return let(let(level, lambda v: F.struct(v.alias("level"), chosen(v).alias("chosen"))), complete)
+    return let(let(level, lambda v: F.struct(v.alias("level"), mark.alias("mark"), chosen(v).alias("chosen"))), complete)
 
 
 def with_band_terms(rows: DataFrame, lists: list[Column], facts: list[str], band: DataFrame) -> DataFrame:
@@ -124,7 +144,7 @@ def of_list(*codes: int) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Equal subsets among those in which either document has a term; two documents without any: 1."""
+    """Equal places among those in which either document has something; two documents without any: 1."""
     def share(pairs: Column) -> Column:
         equal = F.size(F.filter(pairs, lambda p: p["x"] == p["y"]))
         return F.when(F.size(pairs) == 0, 1.0).otherwise(equal / F.size(pairs)).cast("double")
@@ -136,7 +156,7 @@ def alike(a: Column, b: Column) -> Column:
     """likeness of two results of fingerprint_of, both at the higher of their levels."""
     own, above = (lambda x: F.slice(x["fp"], 1, SUBSETS)), (lambda x: F.slice(x["fp"], SUBSETS + 1, SUBSETS))
     apart = b["level"] - a["level"]
-    common = lambda x: let(at_level(x["chosen"], F.greatest(a["level"], b["level"])), digests)
+    common = lambda x: marked(let(at_level(x["chosen"], F.greatest(a["level"], b["level"])), digests), x)
     return F.when(apart == 0, likeness(own(a), own(b))).when(apart == 1, likeness(above(a), own(b))).when(apart == -1, likeness(own(a), above(b))).otherwise(likeness(common(a), common(b)))
 
 
@@ -194,16 +214,23 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     n = rows.count()
     terms = lexicon(rows.select("t"), n, band)
-    follow = Window.partitionBy("_run", "_sub").orderBy("_guest", F.col("id").desc_nulls_last(), "_h", "t")
-    pairs = ordered_runs(rows, n).withColumn("next_t", F.lead("t").over(follow)).where("NOT _guest").withColumn("n", F.length("t").cast("long"))
+    runs, order = Window.partitionBy("_run", "_sub"), ("_guest", F.col("id").desc_nulls_last(), "_h")
+    pairs = ordered_runs(rows, n).withColumn("next_t", F.lead("t").over(runs.orderBy(*order, "t"))).withColumn("n", F.length("t").cast("long"))
     third = F.floor(F.col("n") / 3).cast("int")
     pairs = pairs.withColumn("e", F.concat(F.substring("t", F.lit(1), F.col("n").cast("int") - third), F.substring("next_t", F.lit(1), third)))
-    pairs = pairs.select("id", "n", "t", "e", "next_t", F.sha2("e", 256).alias("sha"), *[level_of(F.length(c)).alias(f"{c}_level") for c in ("t", "e", "next_t")])
-    own, edited, after = (in_subsets(terms_of(F.col(c)), F.col(f"{c}_level")) for c in ("t", "e", "next_t"))
-    pairs = pairs.withColumn("own", own).withColumn("edited", edited)
-    lists = [F.array_except("own", "edited"), F.array_except("edited", "own"), F.array_intersect("own", "edited"), after]
-    found = with_band_terms(pairs, lists, ["id", "n", "sha", "t_level", "e_level", "next_t_level"], terms)
-    found = found.select("*", fingerprint_of(of_list(1, 3), F.col("t_level")).alias("fp"), fingerprint_of(of_list(2, 3), F.col("e_level")).alias("efp"), fingerprint_of(of_list(4), F.col("next_t_level")).alias("next_fp"))
+    pairs = pairs.withColumn("own_level", level_of(F.length("t"))).withColumn("edited_level", level_of(F.length("e")))
+    pairs = pairs.withColumn("own", sketch(F.col("t"), F.col("own_level"))).withColumn("edited", sketch(F.col("e"), F.col("edited_level")))
+    pairs = pairs.select("_run", "_sub", "_guest", "_h", "id", "n", F.sha2("e", 256).alias("sha"), "own_level", "edited_level", "own", "edited")
+    # the same order once more, without texts: what was found of the next text
+    following = F.lead(F.struct("own", "own_level")).over(runs.orderBy(*order))
+    pairs = pairs.withColumn("next", following).where("NOT _guest").withColumn("next_level", F.col("next.own_level"))
+    pairs = pairs.select("*", *[F.col(f"{c}.mark").alias(f"{k}_mark") for k, c in (("own", "own"), ("edited", "edited"), ("next", "next.own"))])
+    own, edited, after = F.col("own.terms"), F.col("edited.terms"), F.col("next.own.terms")
+    lists = [F.array_except(own, edited), F.array_except(edited, own), F.array_intersect(own, edited), after]
+    kinds = {"own": (1, 3), "edited": (2, 3), "next": (4,)}
+    found = with_band_terms(pairs, lists, ["id", "n", "sha", *[f"{k}_{what}" for k in kinds for what in ("level", "mark")]], terms)
+    fps = [fingerprint_of(of_list(*codes), F.col(f"{k}_level"), F.col(f"{k}_mark")) for k, codes in kinds.items()]
+    found = found.select("*", *[fp.alias(name) for fp, name in zip(fps, ("fp", "efp", "next_fp"), strict=True)])
     return found.select(
         F.col("id").alias(id_col), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
         F.concat_ws(",", "fp.fp").alias("fingerprint"), F.concat_ws(",", "efp.fp").alias("edited_fingerprint"),
@@ -214,12 +241,13 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = BAND) -> DataFrame:
     """id_col, fingerprint: the SUBSETS hashes of each text at its level and those at the next, joined by commas.
 
-    Null texts count as empty; texts without terms of the band have NONE in all
-    places.  Equal texts have equal fingerprints.  One row per input row; an empty
-    table gives no rows; other columns are ignored, whatever their names.
+    Null texts count as empty, and empty ones have NONE in all places; a text that
+    no subset has a term of has WHOLE and a hash of all its terms (if it has none, of itself) in
+    the first.  Equal texts have equal fingerprints.  One row per input row; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     terms = lexicon(rows.select("t"), rows.count(), band)
-    rows = rows.withColumn("level", level_of(F.length("t")))
-    found = with_band_terms(rows, [in_subsets(terms_of(F.col("t")), F.col("level"))], ["id", "level"], terms)
-    return found.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(of_list(1), F.col("level"))["fp"]).alias("fingerprint"))
+    rows = rows.withColumn("level", level_of(F.length("t"))).withColumn("own", sketch(F.col("t"), F.col("level"))).withColumn("mark", F.col("own.mark"))
+    found = with_band_terms(rows, [F.col("own.terms")], ["id", "level", "mark"], terms)
+    return found.select(F.col("id").alias(id_col), F.concat_ws(",", fingerprint_of(of_list(1), F.col("level"), F.col("mark"))["fp"]).alias("fingerprint"))

@@ -285,7 +285,9 @@ def test_equal_texts_have_equal_fingerprints_and_edits_stay_near(spark):
 
 def test_fingerprints_against_plain_python(spark, monkeypatch):
     """Exact document frequencies, subsets, hashes and likenesses, with the band broadcast and with it shuffled."""
+    import functools
     import math
+    import operator
     import re
     from collections import Counter
 
@@ -293,7 +295,7 @@ def test_fingerprints_against_plain_python(spark, monkeypatch):
 
     rng = random.Random(12)
     pool = [word(rng) for _ in range(900)]
-    texts = {i: " ".join(rng.choice(pool) for _ in range(rng.choice([0, 3, 60, 150, 400]))) for i in range(90)} | {90: None, 91: "", 92: "Straße ÉTÉ x-1 " * 300, 93: "one two " * 60_000}
+    texts = {i: " ".join(rng.choice(pool) for _ in range(rng.choice([0, 3, 60, 150, 400]))) for i in range(90)} | {90: None, 91: "", 92: "Straße ÉTÉ x-1 " * 300, 93: "one two " * 60_000, 94: "quaint", 95: "Quaint quaint", 96: "!?", 97: "!!"}
     rows = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
     band = (0.03, 0.3)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -302,12 +304,15 @@ def test_fingerprints_against_plain_python(spark, monkeypatch):
     lexicon = {w for w, c in df.items() if max(2, math.ceil(band[0] * len(texts))) <= c <= math.floor(band[1] * len(texts))}
 
     def at(t, level):
-        slots = {}
+        slots, own = {}, max(0, math.floor(math.log2(max(len(t), 1) / 512)))
         for w in terms(t) & lexicon:
             s = (w >> 18) & ((64 << level) - 1)
             if s < 64:
                 slots.setdefault(s, []).append(w & -8)
         text = lambda ws: " ".join(f"{w & (1 << 64) - 1:X}" for w in sorted(ws))
+        if not any((w >> 18) & ((64 << own) - 1) < 64 for w in terms(t) & lexicon) and t:
+            mark = functools.reduce(operator.xor, terms(t)) if terms(t) else signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+            return [f"={mark & (1 << 64) - 1:x}"] + ["-"] * 63
         return [hashlib.md5(text(slots[s]).encode()).hexdigest()[:8] if s in slots else "-" for s in range(64)]
 
     level = lambda t: max(0, math.floor(math.log2(max(len(t), 1) / 512)))
@@ -331,6 +336,16 @@ def test_fingerprints_against_plain_python(spark, monkeypatch):
     assert {r.doc_id: r.fingerprint for r in fingerprints.imatch(rows, band=band).collect()} == {i: whole(t or "") for i, t in texts.items()}
 
 
+def test_only_empty_texts_look_alike_by_having_nothing(spark):
+    """Texts of words of their own, of signs alone, a long one: each has a fingerprint of its own, whatever the order of its words."""
+    texts = ["alpha beta", "Beta, ALPHA", "gamma delta", "...", "?!", "", None, " ".join(f"w{i}" for i in range(40_000)), "alpha beta gamma"]
+    rows = docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    fp = {r.doc_id: r.fingerprint for r in fingerprints.imatch(rows, band=(0.9, 1.0)).collect()}
+    assert fp[0] == fp[1] and fp[5] == fp[6] and len(set(fp.values())) == 7
+    near = {r.doc_id: r.near_next for r in fingerprints.edited_fingerprints(rows, band=(0.9, 1.0)).collect()}
+    assert near == {8: 0.0, 7: 0.0, 6: 1.0, 5: 0.0, 4: 0.0, 3: 0.0, 2: 0.0, 1: 1.0, 0: 0.0}
+
+
 def test_repeated_and_null_ids_are_cut_into_runs(spark, monkeypatch):
     monkeypatch.setattr(fingerprints.ordered_runs, "__defaults__", (4,))
     rows = [(None, f"null {i}", "s") for i in range(30)] + [(5, f"five {i}", "s") for i in range(20)] + [(7, "same row", "s")] * 9 + [(i, f"id {i}", "s") for i in range(10, 20)]
