@@ -12,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_map import map_batches
-from .common import unit
+from .common import cut, unit
 from .labelled import TRAIN_ROWS, fit_logistic, labelled_texts, logistic, prior_weights
 from .toxicity import score_texts
 
@@ -25,8 +26,8 @@ LEVEL = 3
 DICT_BYTES = 112_640
 #: Bytes that are compressed at once: in longer blocks a text's own repeats outweigh the dictionary.
 BLOCK = 2048
-#: Blocks of all blocks of the sample that a dictionary is made from; its trainer wants a hundred times the dictionary.
-DICT_BLOCKS = 5000
+#: Blocks that are trained on at once; its trainer wants a hundred times the dictionary.
+GROUP_BLOCKS = 5000
 FEATURES = 9
 SCALE = 10.0
 
@@ -38,12 +39,47 @@ def blocks_of(data: bytes) -> list[bytes]:
 
 
 def train_dictionary(blocks: list[bytes]) -> bytes:
-    """A dictionary of DICT_BYTES at most; few or tiny blocks are used as they are."""
-    blocks = [b for b in blocks if len(b) >= 8]
+    """A dictionary of DICT_BYTES at most; blocks under 8 bytes, which the trainer refuses, go as one with the last.
+
+    Too few blocks to train on, or too like each other, are used as they are, each once.
+    """
+    tiny = b"".join(b for b in blocks if len(b) < 8)
+    fit = [b for b in blocks if len(b) >= 8]
+    if tiny:
+        fit = [*fit[:-1], fit[-1] + tiny] if fit else [tiny]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, fit, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b"".join(blocks)[-DICT_BYTES:]
+        return b"".join(dict.fromkeys(fit))[-DICT_BYTES:]
+
+
+def dictionary_of(blocks: DataFrame, group_blocks: int = GROUP_BLOCKS) -> bytes:
+    """A dictionary from all of blocks(block, place), place being a hash that spreads them; without blocks, an empty one.
+
+    Executors make one from each group of about group_blocks blocks; the blocks
+    of these dictionaries are grouped in turn, until there is one group.  So no
+    block is left out, and no task holds more than a group.
+    """
+
+    def train(group):
+        made = train_dictionary([bytes(b) for b in group.sort_values(["u", "block"])["block"]])
+        return pd.DataFrame({"dictionary": [made]})
+
+    def cut_up():
+        def work(batch):
+            found = [b for d in batch.column(0).to_pylist() for b in blocks_of(d)]
+            return {"block": found}
+
+        return work
+
+    while True:
+        blocks = cut(blocks)
+        groups = -(-blocks.count() // group_blocks)
+        grouped = blocks.select("block", F.xxhash64(F.lit(5), "block").alias("u"), F.pmod("place", F.lit(max(1, groups))).alias("g"))
+        made = grouped.groupBy("g").applyInPandas(train, "dictionary binary")
+        if groups < 2:
+            return b"".join(bytes(r[0]) for r in made.collect())
+        blocks = map_batches(made, cut_up, "block binary").select("block", F.xxhash64(F.lit(6), "block").alias("place"))
 
 
 @dataclass
@@ -96,29 +132,32 @@ class QualityModel:
 def fit_quality(sample: DataFrame, counts: dict[int, int]) -> QualityModel:
     """From id, label, t: about two thirds of each label make the dictionaries, the rest the curve.
 
-    A dictionary is made from DICT_BLOCKS blocks of those texts at most, chosen by
-    a hash of the block; the rest's texts give a row of features each.  Without
-    both labels all scores are 0.5.
+    A dictionary is made from all blocks of those texts; the rest's texts give a
+    row of features each.  Without both labels all scores are 0.5.
     """
     model = QualityModel()
     part = sample.withColumn("made_of", unit(F.col("id"), 9) < 2 / 3)
 
     def cut_up():
         def work(batch):
-            out = {"label": [], "block": []}
-            for label, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = {"block": [], "id": [], "n": []}
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = blocks_of(t.encode("utf-8", "replace"))
                 out["block"] += found
-                out["label"] += [label] * len(found)
+                out["id"] += [i] * len(found)
+                out["n"] += range(len(found))
             return out
 
         return work
 
-    blocks = map_batches(part.where("made_of").select("label", "t"), cut_up, "label int, block binary").withColumn("u", F.xxhash64(F.lit(5), "block"))
-    by = {v: [bytes(r[0]) for r in blocks.where(F.col("label") == v).orderBy("u", "block").limit(DICT_BLOCKS).select("block").collect()] for v in (0, 1)}
+    def blocks(label: int) -> DataFrame:
+        found = map_batches(part.where(F.col("made_of") & (F.col("label") == label)).select("id", "t"), cut_up, "block binary, id bigint, n int")
+        return found.select("block", F.xxhash64("id", "n").alias("place"))  # equal blocks spread, too
+
+    by = {v: dictionary_of(blocks(v)) for v in (0, 1)}
     if not by[0] or not by[1]:
         return model
-    model.good, model.bad = train_dictionary(by[1]), train_dictionary(by[0])
+    model.good, model.bad = by[1], by[0]
 
     def measure():
         def work(batch):

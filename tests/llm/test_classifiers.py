@@ -80,6 +80,34 @@ def test_empty_tables(spark, kind, score):
     assert score(docs, labels.where("false"), F.lit(True)).toPandas()["score"].nunique() == 1
 
 
+def test_dictionaries_of_all_blocks(spark):
+    """A group holds all blocks of a small sample; of a large one every group's words come into the dictionary."""
+    import random
+
+    import zstandard
+
+    rng = random.Random(4)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)] for _ in range(6)]
+    kinds = [[" ".join(rng.choices(ws, k=60)).encode() for _ in range(50)] for ws in words]
+    flat = [b for blocks in kinds for b in blocks]
+    rows = spark.createDataFrame([(bytearray(b), i * 7919) for i, b in enumerate(flat)], "block binary, place bigint")
+    plain = quality.dictionary_of(rows)
+    u = {b: k for b, k in ((bytes(r[0]), r[1]) for r in rows.select("block", F.xxhash64(F.lit(5), "block")).collect())}
+    assert plain == quality.train_dictionary(sorted(flat, key=lambda b: (u[b], b)))
+    many = quality.dictionary_of(rows, group_blocks=60)
+    assert 0 < len(many) <= quality.DICT_BYTES
+    sizes = lambda d, blocks: sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d)).compress(b)) for b in blocks)
+    for blocks in kinds:
+        assert sizes(many, blocks) < 0.8 * sum(len(zstandard.ZstdCompressor().compress(b)) for b in blocks)
+    assert quality.dictionary_of(rows.where("false")) == b""
+
+
+def test_tiny_blocks_go_into_the_dictionary():
+    assert quality.train_dictionary([b"ab", b"cd"]) == b"abcd"
+    assert quality.train_dictionary([b"long enough", b"ab", b"long enough", b"cd"]) == b"long enoughlong enoughabcd"
+    assert quality.train_dictionary([b"the same block"] * 3) == b"the same block"
+
+
 def test_quality_scores_against_plain_compression(spark):
     """Every score from four sizes per block, taken with compressors of the test's own."""
     import math
