@@ -72,7 +72,9 @@ def parse_projects(files: DataFrame, most_lines: int | None = None, least_lines:
     status = status.when(F.col("lines") > most_lines, "too_big") if most_lines is not None else status
     judged = sizes.select("p", "lines", status.alias("status"))
     within = files.join(judged.where("status IS NULL"), F.col("project").eqNullSafe(F.col("p"))).select("project", "path", "text", "lines")
-    dealt = within.repartition("project").sortWithinPartitions("project", "path")
+    # a fixed number of parts: texts are short for what parsing them takes, and would be put together to a few tasks
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = within.repartition(parts, "project").sortWithinPartitions("project", "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = None
