@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed, shuffled
+
 # Library names of the basic types and of their constructors.
 BASIC_TYPES = {
     "number": "Number", "string": "String", "boolean": "Boolean", "symbol": "Symbol", "void": "Void", "object": "Object", "array": "Array", "bigint": "BigInt",
@@ -59,10 +61,10 @@ def resolve_names(rows: DataFrame, imports: DataFrame | None = None, library: Da
     """
     uses = uses_of(rows)
     at = uses.select("*", F.posexplode("scopes").alias("depth", "block")).drop("scopes")
-    found = at.join(definitions_of(rows), [*KEY, "block", "name", "slot"]).groupBy(*KEY, "id", "name", "slot").agg(F.max_by("node", "depth").alias("own"))
-    out = uses.drop("scopes").join(found, [*KEY, "id", "name", "slot"], "left")
+    found = at.join(shuffled(definitions_of(rows)), [*KEY, "block", "name", "slot"]).groupBy(*KEY, "id", "name", "slot").agg(F.max_by("node", "depth").alias("own"))
+    out = uses.drop("scopes").join(shuffled(found), [*KEY, "id", "name", "slot"], "left")
     if imports is not None:
-        out = out.join(imports.select(*KEY, "name", "slot", F.col("target").alias("imported")), [*KEY, "name", "slot"], "left")
+        out = out.join(shuffled(imports.select(*KEY, "name", "slot", F.col("target").alias("imported"))), [*KEY, "name", "slot"], "left")
     if library is not None:
         out = out.join(library.select("name", "slot", F.col("node").alias("known")), ["name", "slot"], "left")
     lit = F.lit(None).cast("string")
@@ -84,7 +86,7 @@ def collect_imports(rows: DataFrame, exports: DataFrame, aliases: DataFrame | No
     whole = asked.where("symbol = '*'").select(*KEY, F.col("as_name").alias("name"), F.explode(F.array(F.lit("term"), F.lit("namespace"))).alias("slot"), F.concat(F.lit("module:"), "from_module").alias("target"))
     given = exports.select(F.col("project").alias("ep"), F.col("module").alias("em"), F.col("symbol").alias("es"), "slot", "node")
     match = (F.col("project") == F.col("ep")) & (F.col("from_module") == F.col("em")) & (F.col("symbol") == F.col("es"))
-    single = asked.where("symbol <> '*'").join(given, match, "left")
+    single = asked.where("symbol <> '*'").join(shuffled(given), match, "left")
     unknown = F.concat(F.lit("unknown:"), "from_module", F.lit("/"), "symbol")
     return whole.union(single.select(*KEY, F.col("as_name").alias("name"), F.coalesce("slot", F.lit("term")).alias("slot"), F.coalesce("node", unknown).alias("target")))
 
@@ -106,9 +108,9 @@ def collect_exports(rows: DataFrame) -> DataFrame:
     """
     top = definitions_of(rows).where("block = 0")
     marked = rows.where("block = 0 AND exported IS NOT NULL").select(*KEY, "name", "exported").distinct()
-    direct = top.join(marked, [*KEY, "name"]).select(*KEY, F.explode(F.when(F.col("exported") == "default", F.array("name", F.lit("default"))).otherwise(F.array("name"))).alias("symbol"), "slot", "node")
+    direct = top.join(shuffled(marked), [*KEY, "name"]).select(*KEY, F.explode(F.when(F.col("exported") == "default", F.array("name", F.lit("default"))).otherwise(F.array("name"))).alias("symbol"), "slot", "node")
     named = rows.where("kind = 'Export' AND path IS NULL AND name IS NOT NULL AND name <> '*'").select(*KEY, "name", F.col("alias").alias("symbol"))
-    return direct.union(named.join(top, [*KEY, "name"]).select(*KEY, "symbol", "slot", "node")).distinct()
+    return direct.union(named.join(shuffled(top), [*KEY, "name"]).select(*KEY, "symbol", "slot", "node")).distinct()
 
 
 def export_links(rows: DataFrame) -> DataFrame:
@@ -122,14 +124,12 @@ def linked_exports(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     A module's own export wins over one that it passes on, a link by name over
     `*`; defaults do not pass through `*`.
     """
-    from .graph import checkpointed
-
     links = checkpointed(export_links(rows))
     known = checkpointed(collect_exports(rows).withColumn("rank", F.lit(0)))
     while rounds is None or rounds > 0:
         given = known.select(F.col("project").alias("p"), F.col("module").alias("m"), "symbol", "slot", "node")
         star = F.col("old") == "*"
-        hit = links.join(given, (F.col("project") == F.col("p")) & (F.col("from_module") == F.col("m")) & (star & (F.col("symbol") != "default") | (F.col("old") == F.col("symbol"))))
+        hit = links.join(shuffled(given), (F.col("project") == F.col("p")) & (F.col("from_module") == F.col("m")) & (star & (F.col("symbol") != "default") | (F.col("old") == F.col("symbol"))))
         passed = hit.select(*KEY, F.when(star, F.col("symbol")).otherwise(F.col("new")).alias("symbol"), "slot", "node", F.when(star, 2).otherwise(1).alias("rank"))
         best = known.unionByName(passed).groupBy(*KEY, "symbol", "slot").agg(F.min(F.struct("rank", "node")).alias("b")).select(*KEY, "symbol", "slot", "b.node", "b.rank")
         new = checkpointed(best)
@@ -150,10 +150,10 @@ def lower_statements(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """
     targets = resolved.where("slot = 'term'").select(*KEY, "id", "target")
     constant = F.when(F.col("kind") == "Const", F.coalesce(basic_type(F.col("type")), F.concat(F.lit("lib:"), "type")))
-    valued = rows.join(targets, [*KEY, "id"], "left").withColumn("v", F.coalesce(F.when(F.col("kind") == "Var", F.col("target")), constant, node_of()))
+    valued = rows.join(shuffled(targets), [*KEY, "id"], "left").withColumn("v", F.coalesce(F.when(F.col("kind") == "Var", F.col("target")), constant, node_of()))
     child = F.struct("role", "pos", "name", F.col("v").alias("node"))
     children = valued.where("parent IS NOT NULL AND kind NOT IN ('Block', 'Comment', 'Import', 'Export')").groupBy(*KEY, F.col("parent").alias("id")).agg(F.sort_array(F.collect_list(child)).alias("kids"))
-    full = valued.join(children, [*KEY, "id"], "left")
+    full = valued.join(shuffled(children), [*KEY, "id"], "left")
     one = lambda role: F.element_at(F.filter("kids", lambda k: k["role"] == role), 1)["node"]
     several = lambda test, label: F.transform(F.filter("kids", test), lambda k: F.struct(label(k).alias("label"), k["node"].alias("arg")))
     position = lambda k: k["pos"].cast("string")
@@ -175,6 +175,6 @@ def lower_statements(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     kept = flat.where("was IN ('VarDef', 'Assign', 'Return', 'If', 'While', 'Call', 'Object', 'Access', 'IfExpr', 'Cast', 'FuncDef', 'Class')")
     # a class and each of its super types
     supers = resolved.where("slot = 'type'").groupBy(*KEY, "id").agg(F.sort_array(F.collect_list("target")).alias("supers"))
-    out = kept.join(supers, [*KEY, "id"], "left").withColumn("rhs", F.explode_outer(F.when(F.col("was") == "Class", F.col("supers")).otherwise(F.array("rhs"))))
+    out = kept.join(shuffled(supers), [*KEY, "id"], "left").withColumn("rhs", F.explode_outer(F.when(F.col("was") == "Class", F.col("supers")).otherwise(F.array("rhs"))))
     named = F.when(F.col("was") == "Class", "ClassDef").otherwise(F.col("was"))
     return out.select(*KEY, "id", named.alias("kind"), "v", "rhs", "rhs2", "cond", "type_node", "args")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import checkpointed, shuffled
 from .resolution import KEY, basic_type, node_of
 
 #: Order of a node's children by role; others come last, by position.
@@ -77,8 +77,8 @@ def _with_tour(rows: DataFrame) -> DataFrame:
     """rows with their tour, and the kind and name of the node above as above, above_name."""
     places = tour(rows).select(*[F.col(c).alias(f"_{c}") for c in (*KEY, "id")], "enter", "leave", "depth", "children")
     above = rows.select(*[F.col(c).alias(f"^{c}") for c in KEY], F.col("id").alias("^id"), F.col("kind").alias("above"))
-    met = rows.join(places, [F.col(c) == F.col(f"_{c}") for c in (*KEY, "id")])
-    return met.join(above, [*[F.col(c) == F.col(f"^{c}") for c in KEY], F.col("parent") == F.col("^id")], "left").select(*rows.columns, "enter", "leave", "depth", "children", "above")
+    met = rows.join(shuffled(places), [F.col(c) == F.col(f"_{c}") for c in (*KEY, "id")])
+    return met.join(shuffled(above), [*[F.col(c) == F.col(f"^{c}") for c in KEY], F.col("parent") == F.col("^id")], "left").select(*rows.columns, "enter", "leave", "depth", "children", "above")
 
 
 def _first_of(role: str, *others: str) -> Column:
@@ -132,9 +132,9 @@ def source_text(rows: DataFrame) -> DataFrame:
 def inside(rows: DataFrame, kinds: list[str]) -> DataFrame:
     """project, module, id, inner: every node within a node of some kinds, by their places in the tour; a range join within a module."""
     places = checkpointed(tour(rows))
-    outer = places.join(rows.where(F.col("kind").isin(*kinds)).select(*KEY, "id"), [*KEY, "id"]).select(*KEY, "id", F.col("enter").alias("lo"), F.col("leave").alias("hi"))
+    outer = places.join(shuffled(rows.where(F.col("kind").isin(*kinds)).select(*KEY, "id")), [*KEY, "id"]).select(*KEY, "id", F.col("enter").alias("lo"), F.col("leave").alias("hi"))
     inner = places.select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("id").alias("inner"), F.col("enter").alias("at"))
-    return outer.join(inner, [*[F.col(c) == F.col(f"_{c}") for c in KEY], (F.col("at") > F.col("lo")) & (F.col("at") < F.col("hi"))]).select(*KEY, "id", "inner")
+    return outer.join(shuffled(inner), [*[F.col(c) == F.col(f"_{c}") for c in KEY], (F.col("at") > F.col("lo")) & (F.col("at") < F.col("hi"))]).select(*KEY, "id", "inner")
 
 
 TOKEN = "struct<token:string,keyword:boolean,node:string,target:string>"
@@ -156,14 +156,14 @@ def token_stream(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     stated = rows.where("mark = 'user' AND kind IN ('VarDef', 'Arg', 'Result', 'Field')").select(node_of().alias("_stated"), F.col("type").alias("target"))
     targets = resolved.where("slot = 'term'").select(*[F.col(c).alias(f"_{c}") for c in KEY], F.col("id").alias("_id"), F.col("target").alias("found"))
-    met = rows.join(targets, [*[F.col(c) == F.col(f"_{c}") for c in KEY], F.col("id") == F.col("_id")], "left").select(*rows.columns, "found")
+    met = rows.join(shuffled(targets), [*[F.col(c) == F.col(f"_{c}") for c in KEY], F.col("id") == F.col("_id")], "left").select(*rows.columns, "found")
     constant = F.when(F.col("kind") == "Const", F.coalesce(basic_type(F.col("type")), F.concat(F.lit("lib:"), "type")))
     own = F.coalesce(F.when(F.col("kind") == "Var", F.col("found")), constant, node_of())
     named = F.coalesce(F.when(F.col("kind").isin("Var", "VarDef", "Arg", "FuncDef", "Class", "Field"), F.col("name")), F.regexp_replace(constant, "^lib:", ""), F.lit(MISSING))
-    met = met.withColumn("node", own).withColumn("token", named).join(stated, F.col("node") == F.col("_stated"), "left").drop("_stated")
+    met = met.withColumn("node", own).withColumn("token", named).join(shuffled(stated), F.col("node") == F.col("_stated"), "left").drop("_stated")
     met = checkpointed(met.withColumn("tk", F.struct("token", F.lit(False).alias("keyword"), "node", "target")))
     kids = met.where("parent IS NOT NULL AND kind NOT IN ('Block', 'Comment')").groupBy(*[F.col(c).alias(f"+{c}") for c in KEY], F.col("parent").alias("+id")).agg(F.sort_array(F.collect_list(F.struct("pos", "role", "id", "tk"))).alias("kids"))
-    placed = _with_tour(met).join(kids, [*[F.col(c) == F.col(f"+{c}") for c in KEY], F.col("id") == F.col("+id")], "left")
+    placed = _with_tour(met).join(shuffled(kids), [*[F.col(c) == F.col(f"+{c}") for c in KEY], F.col("id") == F.col("+id")], "left")
     placed = placed.withColumn("kids", F.coalesce("kids", F.array().cast(kids.schema["kids"].dataType)))
     of = lambda role: F.transform(F.filter("kids", lambda k: k["role"] == role), lambda k: k["tk"])
     word = lambda text: F.struct(text.alias("token"), F.lit(False).alias("keyword"), none.alias("node"), none.alias("target"))
