@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import checkpointed, shuffled
 
 KEY = ["param", "row", "col"]
 SCHEMA = "param string, row bigint, col int, value double"
@@ -129,19 +129,23 @@ def logistic_bag_gradient(entries: DataFrame, key: str, row: str, times: str, tr
     """(gradient, losses): of the mean log loss of truth(key, y) under sigmoid(mean of table rows . weights).
 
     The gradient has the rows of the table that occur, and the weights (row 0).
-    losses(key, p, loss): a row for each key.
+    losses(key, p, loss): a row for each key.  A mean's product with the weights is the mean of its
+    rows' products, and the weights' gradient is the table times what each of its rows gets, so
+    entries only ever meet one number for each row or key, whatever the size of a row.
     """
-    means = checkpointed(mean_of_rows(entries, key, row, times, parameters, table, "x"))
     w = parameters.where(F.col("param") == weights).select(F.col("col").alias("_c"), F.col("value").alias("w"))
-    scored = means.join(F.broadcast(w), F.col("col") == F.col("_c")).groupBy(key).agg(F.sum(F.col("x") * F.col("w")).alias("z"))  # weights: a row for each element
+    rows = parameters.where(F.col("param") == table).select(F.col("row").alias("_r"), "col", "value")
+    products = rows.join(F.broadcast(w), F.col("col") == F.col("_c")).groupBy("_r").agg(F.sum(F.col("value") * F.col("w")).alias("_s"))  # weights: a row for each element
+    # an entry whose row the table lacks has no part in the mean
+    met = entries.join(shuffled(products), F.col(row) == F.col("_r"), "left")
+    scored = met.groupBy(key).agg((F.sum(F.col("_s") * F.col(times)) / F.sum(F.when(F.col("_s").isNotNull(), F.col(times)))).alias("z"), F.sum(times).alias("_n")).where("z IS NOT NULL")
     p = 1 / (1 + F.exp(-F.col("z")))
-    out = checkpointed(scored.join(truth, key).select(key, p.alias("p"), "y", (p - F.col("y")).alias("e"), -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))))
-    out = out.toDF(key, "p", "y", "e", "loss")
+    out = checkpointed(scored.join(truth, key).select(key, p.alias("p"), "y", (p - F.col("y")).alias("e"), -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)), "_n"))
+    out = out.toDF(key, "p", "y", "e", "loss", "_n")
     n = out.count()
-    sizes = entries.groupBy(F.col(key).alias("_k")).agg(F.sum(times).alias("_n"))
-    share = entries.join(sizes, F.col(key) == F.col("_k")).join(out.select(F.col(key).alias("_o"), "e"), F.col(key) == F.col("_o"))
-    of_row = share.groupBy(row).agg(F.sum(F.col("e") * F.col(times) / F.col("_n") / n).alias("s"))  # one number for each row, then times the weights
+    share = entries.join(out.select(F.col(key).alias("_o"), "e", "_n"), F.col(key) == F.col("_o"))
+    of_row = checkpointed(share.groupBy(row).agg(F.sum(F.col("e") * F.col(times) / F.col("_n") / n).alias("s")))  # one number for each row, then times the weights
     of_table = of_row.select(F.lit(table).alias("param"), F.col(row).cast("bigint").alias("row"), "s").join(F.broadcast(w)).select("param", "row", F.col("_c").alias("col"), (F.col("s") * F.col("w")).alias("value"))
-    of_weights = means.join(out.select(F.col(key).alias("_o"), "e"), F.col(key) == F.col("_o")).groupBy("col").agg(F.sum(F.col("x") * F.col("e") / n).alias("value"))
+    of_weights = rows.join(shuffled(of_row), F.col("_r") == F.col(row)).groupBy("col").agg(F.sum(F.col("value") * F.col("s")).alias("value"))
     of_weights = of_weights.select(F.lit(weights).alias("param"), F.lit(0).cast("bigint").alias("row"), "col", "value")
     return accumulate(of_table, of_weights), out.select(key, "p", "loss")
