@@ -13,3 +13,9 @@ FOLDER = "/root/testdata/sf0.001"
 def test_syntax_rows_are_not_broadcast(spark, name):
     plan = plans.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
+def test_calls_and_signatures_are_not_broadcast(spark):
+    plan = plans.QUERIES["call_bounds"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
