@@ -143,9 +143,11 @@ def logistic_bag_gradient(entries: DataFrame, key: str, row: str, times: str, tr
     out = checkpointed(scored.join(truth, key).select(key, p.alias("p"), "y", (p - F.col("y")).alias("e"), -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p)), "_n"))
     out = out.toDF(key, "p", "y", "e", "loss", "_n")
     n = out.count()
-    share = entries.join(out.select(F.col(key).alias("_o"), "e", "_n"), F.col(key) == F.col("_o"))
+    share = entries.join(shuffled(out.select(F.col(key).alias("_o"), "e", "_n")), F.col(key) == F.col("_o"))
     of_row = checkpointed(share.groupBy(row).agg(F.sum(F.col("e") * F.col(times) / F.col("_n") / n).alias("s")))  # one number for each row, then times the weights
     of_table = of_row.select(F.lit(table).alias("param"), F.col(row).cast("bigint").alias("row"), "s").join(F.broadcast(w)).select("param", "row", F.col("_c").alias("col"), (F.col("s") * F.col("w")).alias("value"))
     of_weights = rows.join(shuffled(of_row), F.col("_r") == F.col(row)).groupBy("col").agg(F.sum(F.col("value") * F.col("s")).alias("value"))
     of_weights = of_weights.select(F.lit(weights).alias("param"), F.lit(0).cast("bigint").alias("row"), "col", "value")
-    return accumulate(of_table, of_weights), out.select(key, "p", "loss")
+    # each row and element comes once, so two parameters have no cells to add up
+    found = accumulate(of_table, of_weights) if table == weights else of_table.unionByName(of_weights).where("value <> 0")
+    return found, out.select(key, "p", "loss")
