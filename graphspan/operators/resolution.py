@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed, shuffled
+from .graph import Stored, release, shuffled
 
 # Library names of the basic types and of their constructors.
 BASIC_TYPES = {
@@ -124,20 +124,35 @@ def linked_exports(rows: DataFrame, rounds: int | None = None) -> DataFrame:
     A module's own export wins over one that it passes on, a link by name over
     `*`; defaults do not pass through `*`.
     """
-    links = checkpointed(export_links(rows))
-    known = checkpointed(collect_exports(rows).withColumn("rank", F.lit(0)))
-    while rounds is None or rounds > 0:
-        given = known.select(F.col("project").alias("p"), F.col("module").alias("m"), "symbol", "slot", "node")
-        star = F.col("old") == "*"
-        hit = links.join(shuffled(given), (F.col("project") == F.col("p")) & (F.col("from_module") == F.col("m")) & (star & (F.col("symbol") != "default") | (F.col("old") == F.col("symbol"))))
-        passed = hit.select(*KEY, F.when(star, F.col("symbol")).otherwise(F.col("new")).alias("symbol"), "slot", "node", F.when(star, 2).otherwise(1).alias("rank"))
-        best = known.unionByName(passed).groupBy(*KEY, "symbol", "slot").agg(F.min(F.struct("rank", "node")).alias("b")).select(*KEY, "symbol", "slot", "b.node", "b.rank")
-        new = checkpointed(best)
-        if new.count() == known.count() and new.exceptAll(known.select(new.columns)).isEmpty():
+    return passed_on(collect_exports(rows), export_links(rows), rounds)
+
+
+def passed_on(own: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """own(project, module, symbol, slot, node) with what links(project, module, from_module, old, new) pass on, as `linked_exports` says.
+
+    A round passes on only what the last one has found or bettered; what is known is written once.
+    """
+    spark, export = own.sparkSession, [*KEY, "symbol", "slot"]
+    kept = Stored(spark, "exports")
+    links = kept.put("links", links)
+    star = F.col("old") == "*"
+    best = lambda df: df.groupBy(*export).agg(F.min(F.struct("rank", "node")).alias("b"))
+    known = new = kept.put("0", best(own.withColumn("rank", F.lit(0))))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
+        given = new.select(F.col("project").alias("p"), F.col("module").alias("m"), "symbol", "slot", "b.node")
+        of_module = (F.col("project") == F.col("p")) & (F.col("from_module") == F.col("m"))
+        all_ = links.where(star).join(shuffled(given.where("symbol <> 'default'")), of_module).select(*KEY, "symbol", "slot", "node", F.lit(2).alias("rank"))
+        named = links.where(~star).join(shuffled(given), of_module & (F.col("old") == F.col("symbol"))).select(*KEY, F.col("new").alias("symbol"), "slot", "node", F.lit(1).alias("rank"))
+        before = known.select(*[F.col(c).alias(f"_{c}") for c in export], F.col("b").alias("_b"))
+        better = best(named.union(all_)).join(shuffled(before), [*[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in export], F.col("_b") <= F.col("b")], "left_anti")
+        new = kept.put(str(done), better)
+        release(spark)
+        if new.isEmpty():
             break
-        known = new
-        rounds = None if rounds is None else rounds - 1
-    return known.drop("rank")
+        known = known.union(new)
+    return best(known.select(*export, "b.rank", "b.node")).select(*export, "b.node")
 
 
 def lower_statements(rows: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -126,6 +126,32 @@ def test_definitions_of_a_module(spark):
     compare(spark, Module.definitions, "node string, define string, pos int, label string, arg string", lambda rows: lowering.definitions(lowered(rows)))
 
 
+def test_exports_and_links_of_a_module(spark):
+    compare(spark, Module.exports, "symbol string, slot string, node string", resolution.collect_exports)
+    path = resolution.resolved_path(resolution.F.col("module"), resolution.F.col("path"))
+    texts = spark.createDataFrame(TEXTS, "project string, json string")
+    got = each_module(texts, Module.links, "path string, old string, new string").select("project", "module", path.alias("from_module"), "old", "new")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, resolution.export_links(program.parse_modules(texts)).collect()))
+
+
+def test_a_better_export_is_passed_on_again(spark):
+    # n gets x through * first, then by name from farther away, and what it passed on is bettered
+    own = spark.createDataFrame([("p", m, "x", "term", f"{m}#1") for m in "abz"] + [("p", "z", "default", "term", "z#2")], "project string, module string, symbol string, slot string, node string")
+    links = spark.createDataFrame(
+        [("p", "n", "z", "*", "*"), ("p", "k", "b", "x", "y"), ("p", "n", "k", "y", "x"), ("p", "t", "n", "*", "*"), ("p", "n", "t", "*", "*"), ("p", "a", "n", "*", "*"), ("p", "o", "z", "default", None)],
+        "project string, module string, from_module string, old string, new string",
+    )
+    got = {(r.module, r.symbol): r.node for r in resolution.passed_on(own, links).collect()}
+    assert got == {("a", "x"): "a#1", ("b", "x"): "b#1", ("z", "x"): "z#1", ("z", "default"): "z#2", ("k", "y"): "b#1", ("n", "x"): "b#1", ("t", "x"): "b#1", ("o", None): "z#2"}
+    before = checkpoints(spark)
+    resolution.passed_on(own, links)
+    assert len(checkpoints(spark) - before) <= 1  # it was one for each round
+
+
+def checkpoints(spark):
+    return {f for f in os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")) if f.startswith("rdd-")}
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 @pytest.mark.parametrize(("name", "shuffles"), [("token_stream", 4), ("resolve_names", 4), ("module_text", 4), ("lowered_definitions", 4), ("lower_statements", 5)])
 def test_syntax_is_not_shuffled(spark, name, shuffles):
